@@ -11,9 +11,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+DOUBLE = DoubleType()
+INTERVAL = StructType([StructField("low", DOUBLE), StructField("high", DOUBLE)])
+
+
+def _elementwise(fn, x):
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()], dtype=float).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _elementwise(math.lgamma, x)
+
+
+def _erfc(x):
+    return _elementwise(math.erfc, x)
 
 
 def norm_sf(z):
@@ -199,32 +213,32 @@ def _masked(fn, *series):
     return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(lambda a, b: np.where(b > 0, t_sf2(a, np.where(b > 0, b, 1.0)), np.nan), t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def t_quantile_of(p: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(lambda a, b: np.where(b > 0, t_quantile(a, np.where(b > 0, b, 1.0)), np.nan), p, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _masked(f_sf, f, d1, d2)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(chi2_sf, x, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def normal_p_value(z: pd.Series) -> pd.Series:
     return _masked(lambda a: 2.0 * norm_sf(np.abs(a)), z)
 
 
-@pandas_udf("low double, high double")
+@pandas_udf(INTERVAL)
 def noncentral_t_interval(t: pd.Series, df: pd.Series, level: pd.Series) -> pd.DataFrame:
     rows = [
         nct_limits(float(a), float(b), float(c)) if pd.notna(a) and pd.notna(b) and b > 0 else (None, None)
@@ -233,7 +247,7 @@ def noncentral_t_interval(t: pd.Series, df: pd.Series, level: pd.Series) -> pd.D
     return pd.DataFrame(rows, columns=["low", "high"], dtype="Float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def rank_sum_p_exact(w: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
     return _masked(
         lambda a, b, c: np.array([rank_sum_exact_p(x, int(y), int(z)) for x, y, z in zip(a, b, c)]), w, m, n
@@ -241,11 +255,12 @@ def rank_sum_p_exact(w: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def hedges_correction(df):
-    """Small-sample factor J(df); its log-gamma form is built in to Spark only as a series, so use dist."""
-    return np.exp(_lgamma(np.asarray(df) / 2.0) - _lgamma((np.asarray(df) - 1.0) / 2.0)) / np.sqrt(np.asarray(df) / 2.0)
+    """Small-sample factor J(df) of the standardised mean."""
+    df = np.asarray(df, float)
+    return np.exp(_lgamma(df / 2.0) - _lgamma((df - 1.0) / 2.0)) / np.sqrt(df / 2.0)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def hedges_j(df: pd.Series) -> pd.Series:
     return _masked(lambda a: np.where(a > 1, hedges_correction(np.where(a > 1, a, 2.0)), np.nan), df)
 
