@@ -164,14 +164,19 @@ def nct_limits(t: float, df: float, level: float = 0.95) -> tuple[float, float]:
     """Non-centrality values for which ``t`` is the upper and the lower tail bound."""
     out = []
     for prob in (0.5 + level / 2.0, 0.5 - level / 2.0):
-        lo, hi = t - 10.0 - abs(t), t + 10.0 + abs(t)
-        for _ in range(80):
-            mid = 0.5 * (lo + hi)
-            if nct_cdf(t, df, mid) > prob:  # decreasing in the non-centrality
-                lo = mid
+        lo, hi = t - 6.0 - 0.5 * abs(t), t + 6.0 + 0.5 * abs(t)
+        f_lo, f_hi = nct_cdf(t, df, lo) - prob, nct_cdf(t, df, hi) - prob  # decreasing in the non-centrality
+        for _ in range(100):  # false position, halving the weight of a side that stays put
+            mid = hi - f_hi * (hi - lo) / (f_hi - f_lo)
+            f_mid = nct_cdf(t, df, mid) - prob
+            if f_mid * f_hi < 0:
+                lo, f_lo = hi, f_hi
             else:
-                hi = mid
-        out.append(0.5 * (lo + hi))
+                f_lo *= 0.5
+            step, hi, f_hi = abs(mid - hi), mid, f_mid
+            if step < 1e-11 * (1.0 + abs(mid)) or f_hi == 0:
+                break
+        out.append(hi)
     return out[0], out[1]
 
 
