@@ -1 +1,259 @@
-"""stub"""
+"""Model fits and the end-to-end analyses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from axonframe.operators import models, reshape
+from axonframe.plans import ei as ei_plan
+from axonframe.plans import enhancement
+from suite.base import b, big, num, query, r
+from suite.stats import t_p_sql
+from suite.summaries import top1
+from suite.surrogates import EI_ORDINAL, surrogate, with_
+
+ORD = "o1, o2, o3"
+
+# --- E/I balance -----------------------------------------------------------------------------------
+
+CELLS = {
+    "a": top1("ei", "filename_plus10", f"filename_minus55, {ORD}", "color = 'blue'"),
+    "bb": top1("(SELECT * EXCLUDE (rn) FROM a)", "filename_minus55", f"filename_plus10, {ORD}"),
+    "e": "SELECT * EXCLUDE (rn), amp_plus10 / -amp_minus55 AS bal, concat_ws('_', CAST(brain_id AS VARCHAR), CAST(slice_id AS VARCHAR), CAST(cell_id AS VARCHAR)) AS cell_key"
+    " FROM bb WHERE amp_plus10 IS NOT NULL AND amp_minus55 IS NOT NULL",
+    "large": top1("e", "cell_key", "amp_minus55", "amp_minus55 > -120 AND amp_minus55 < -70 AND rough_ap IS NOT NULL", "rank"),
+}
+
+
+def large_cells(spark, sf):
+    raw = surrogate(spark, sf, "ei")
+    return ei_plan.large_response_cells(ei_plan.ei_balance(ei_plan.paired_recordings(raw, EI_ORDINAL)))
+
+
+@query(
+    "e1_region_balance",
+    with_(
+        "ei", **CELLS,
+        then=f"SELECT region, {r('avg(bal)')} AS mean, {r('stddev_samp(bal) / sqrt(count(bal))')} AS sem, {b('count(*)')} AS n FROM large GROUP BY 1",
+    ),
+)
+def e1(spark, sf):
+    d = ei_plan.region_summary(surrogate(spark, sf, "ei"), EI_ORDINAL)
+    return d.select("region", num("mean", "mean"), num("sem", "sem"), big("n_rows", "n"))
+
+
+@query(
+    "e1_small_response_cells",
+    with_(
+        "ei", **{k: v for k, v in CELLS.items() if k != "large"},
+        small=top1("e", "cell_key", f"abs(amp_minus55 + 40), {ORD}, filename_plus10", "amp_minus55 > -50 AND amp_minus55 < -10 AND rough_ap IS NOT NULL"),
+        then=f"SELECT cell_key, region, {r('bal')} AS ei_balance, {r('ln(bal)')} AS log_ei_balance FROM small",
+    ),
+)
+def e1_small(spark, sf):
+    bal = ei_plan.ei_balance(ei_plan.paired_recordings(surrogate(spark, sf, "ei"), EI_ORDINAL))
+    d = ei_plan.small_response_cells(bal, [*EI_ORDINAL, "filename_plus10"])
+    return d.select("cell_key", "region", num("ei_balance", "ei_balance"), num("log_ei_balance", "log_ei_balance"))
+
+
+def positive(spark, sf):
+    return surrogate(spark, sf, "ei").withColumn("y", F.col("amp_plus10") / -F.col("amp_minus55"))
+
+
+YD = "SELECT *, ln(amp_plus10 / -amp_minus55) AS ly, amp_plus10 / -amp_minus55 AS y FROM ei WHERE amp_plus10 IS NOT NULL AND region IS NOT NULL"
+
+
+@query(
+    "t13_two_way_anova",
+    with_(
+        "ei", d=YD,
+        cell="SELECT region, ap_region, count(*) AS n, avg(ly) AS m, sum(ly * ly) AS q FROM d GROUP BY 1, 2",
+        g="SELECT sum(n) AS n, sum(n * m) / sum(n) AS gm, sum(q) - sum(n * m * m) AS rss FROM cell",
+        ra="SELECT region, sum(n) AS n, sum(n * m) / sum(n) AS m, sum(CASE WHEN ap_region = 'anterior' THEN n END) * sum(CASE WHEN ap_region = 'posterior' THEN n END) / sum(n) AS w,"
+        " max(CASE WHEN ap_region = 'anterior' THEN m END) - max(CASE WHEN ap_region = 'posterior' THEN m END) AS df FROM cell GROUP BY 1",
+        ss="SELECT (SELECT sum(ra.n * pow(ra.m - g.gm, 2)) FROM ra, g) AS a, (SELECT pow(sum(w * df), 2) / sum(w) FROM ra) AS bb,"
+        " (SELECT sum(w * df * df) - pow(sum(w * df), 2) / sum(w) FROM ra) AS ab, g.rss, g.n - 4 AS rdf FROM g",
+        t="SELECT 'region' AS term, a AS s, rss, rdf FROM ss UNION ALL SELECT 'ap_region', bb, rss, rdf FROM ss UNION ALL SELECT 'region:ap_region', ab, rss, rdf FROM ss",
+        then=f"SELECT term, {b('1')} AS df, {r('s', 5)} AS sumsq, {r('s / (rss / rdf)', 4)} AS f, {r(t_p_sql('sqrt(s / (rss / rdf))', 'rdf'), 4)} AS p FROM t"
+        f" UNION ALL SELECT 'Residuals', {b('rdf')}, {r('rss', 5)}, NULL, NULL FROM ss",
+    ),
+)
+def t13(spark, sf):
+    d = surrogate(spark, sf, "ei").withColumn("ly", F.log(F.col("amp_plus10") / -F.col("amp_minus55")))
+    out = models.two_way_anova(d, "ly", "region", "ap_region")
+    return out.select("term", big("df", "df"), num("sumsq", "sumsq", 5), num("f", "f", 4), num("p", "p", 4))
+
+
+@query(
+    "t14_gamma_glm_region",
+    with_(
+        "ei", d=YD,
+        g="SELECT region, count(*) AS n, avg(y) AS m FROM d GROUP BY 1",
+        ph="SELECT sum(pow((y - m) / m, 2)) / (count(*) - 2) AS phi, count(*) - 2 AS rdf FROM d JOIN g USING (region)",
+        c="SELECT '(Intercept)' AS term, ln(m) AS e, sqrt(phi / n) AS se, rdf FROM g, ph WHERE region = 'ACC'"
+        " UNION ALL SELECT 'regionRSC', ln(x.m / z.m), sqrt(phi / x.n + phi / z.n), rdf FROM g x, g z, ph WHERE x.region = 'RSC' AND z.region = 'ACC'",
+        then=f"SELECT term, {r('e')} AS estimate, {r('se')} AS std_error, {r('e / se', 3)} AS statistic, {r('CASE WHEN abs(e / se) > 30 THEN 0 ELSE ' + t_p_sql('(e / se)', 'rdf') + ' END', 4)} AS p_value FROM c",
+    ),
+)
+def t14_region(spark, sf):
+    fit = models.gamma_glm(positive(spark, sf), "y", {"region": ["ACC", "RSC"]}, [])
+    return fit.coefficients.select("term", *[num(c, c) for c in ("estimate", "std_error")], num("statistic", "statistic", 3), num("p_value", "p_value", 4))
+
+
+@query("t14_gamma_glm_region_position")
+def t14(spark, sf):
+    fit = models.gamma_glm(positive(spark, sf), "y", {"region": ["ACC", "RSC"]}, ["rough_ap"])
+    return fit.coefficients.select("term", *[num(c, c, 5) for c in ("estimate", "std_error", "statistic", "p_value")])
+
+
+@query("t15_tidy_coefficients")
+def t15(spark, sf):
+    from axonframe.functions.scalar import recode
+
+    fit = ei_plan.region_model(large_cells(spark, sf))
+    return fit.coefficients.select(
+        recode("term", {"rough_ap": "AP coord"}).alias("term"), *[F.format_string("%.3f", c).alias(c) for c in ("estimate", "std_error", "statistic", "p_value")]
+    )
+
+
+@query("t16_mixed_model_crossed")
+def t16(spark, sf):
+    d = surrogate(spark, sf, "ei").filter("stim_power = 100")
+    fit = models.mixed_model(d, "amp_minus55", {"region": ["ACC", "RSC"]}, ["rough_ap", "stim_duration"], "brain_id", "slice_id")
+    return fit.anova().select("term", *[num(c, c, 3) for c in ("num_df", "den_df", "f", "p")])
+
+
+# a subject effect is added so that the between-cell variance is not at its boundary
+SUBJECT = (
+    "SELECT cell, interval_s, avg(actual_peak) / 20 + (CAST(cell AS BIGINT) % 7) / 5e0 AS v FROM peaks WHERE interval_s > 0 GROUP BY 1, 2"
+)
+BALANCED = {
+    "m": SUBJECT,
+    "d": "SELECT cell, interval_s, v FROM m SEMI JOIN (SELECT cell FROM m GROUP BY 1 HAVING count(*) = 4) USING (cell)",
+    "mm": "SELECT avg(v) AS g, count(DISTINCT cell) AS n FROM d",
+    "lv": "SELECT interval_s, avg(v) AS lm FROM d GROUP BY 1",
+    "cm": "SELECT cell, avg(v) AS c FROM d GROUP BY 1",
+    "an": "SELECT (SELECT sum(pow(lm - g, 2)) FROM lv, mm) * (SELECT n FROM mm) / 3 AS msl,"
+    " (SELECT sum(pow(v - lm - c + g, 2)) FROM d JOIN lv USING (interval_s) JOIN cm USING (cell), mm) / (3 * ((SELECT n FROM mm) - 1)) AS mse, (SELECT n FROM mm) AS n",
+}
+POSITIVE_INTERVALS = [0.025, 0.05, 0.1, 0.25]
+
+
+def balanced(spark, sf):
+    m = (
+        surrogate(spark, sf, "peaks")
+        .filter("interval_s > 0")
+        .groupBy("cell", "interval_s")
+        .agg((F.avg("actual_peak") / 20 + F.col("cell").cast("bigint") % 7 / 5.0).alias("v"))
+    )
+    return reshape.complete_cases(m, ["cell"], "interval_s", "v", POSITIVE_INTERVALS)
+
+
+@query(
+    "t17_mixed_model_subject",
+    with_("peaks", **BALANCED, then=f"SELECT 'interval_s' AS term, {b('3')} AS num_df, {r('3 * (n - 1)', 1)} AS den_df, {r('msl / mse', 4)} AS f FROM an"),
+)
+def t17(spark, sf):
+    fit = models.mixed_model(balanced(spark, sf), "v", {"interval_s": POSITIVE_INTERVALS}, [], "cell")
+    return fit.anova().select("term", big("num_df", "num_df"), num("den_df", "den_df", 1), num("f", "f", 4))
+
+
+@query(
+    "t18_marginal_contrasts",
+    with_(
+        "peaks", **BALANCED,
+        p="SELECT x.interval_s AS la, z.interval_s AS lb, x.lm - z.lm AS e, sqrt(2 * mse / n) AS se, 3 * (n - 1) AS df FROM lv x JOIN lv z ON x.interval_s < z.interval_s, an",
+        then=f"SELECT CAST(la AS VARCHAR) AS level_a, CAST(lb AS VARCHAR) AS level_b, {r('e', 5)} AS estimate, {r('se', 5)} AS std_error, {r('e / se', 4)} AS t, {r(t_p_sql('(e / se)', 'df'), 4)} AS p FROM p",
+    ),
+)
+def t18(spark, sf):
+    fit = models.mixed_model(balanced(spark, sf), "v", {"interval_s": POSITIVE_INTERVALS}, [], "cell")
+    d = fit.contrasts("interval_s", POSITIVE_INTERVALS)
+    return d.select("level_a", "level_b", num("estimate", "estimate", 5), num("std_error", "std_error", 5), num("t", "t", 4), num("p", "p", 4))
+
+
+@query("t19_residual_diagnostics")
+def t19(spark, sf):
+    data = large_cells(spark, sf).withColumn("key", F.concat_ws("-", "filename_plus10", "filename_minus55", *EI_ORDINAL)).withColumn("all", F.lit("all"))
+    fit = ei_plan.region_model(data)
+    used, _ = models.with_terms(data.filter("region IS NOT NULL"), {"region": ["ACC", "RSC"]}, ["rough_ap"])
+    mu = F.exp(fit.linear_predictor())
+    res = models.simulated_residuals(used, "ei_balance", mu, fit.dispersion, "key").withColumn("all", F.lit("all"))
+    ks = models.uniformity_test(res, ["all"]).select(F.lit("uniformity").alias("test"), num("d", "statistic"), num("p", "p"))
+    disp = models.dispersion_test(used, "ei_balance", mu, fit.dispersion, "key").select(F.lit("dispersion").alias("test"), num("dispersion_ratio", "statistic"), num("p", "p"))
+    return ks.unionByName(disp)
+
+
+@query(
+    "t23_grouped_apply",
+    with_(
+        "roi",
+        c="SELECT region, mouse_id, avg(mean) AS v, count(*) AS k FROM roi GROUP BY 1, 2",
+        then=f"SELECT region, {r('corr(v, k)')} AS r, {b('count(*)')} AS n FROM c GROUP BY 1",
+    ),
+)
+def t23(spark, sf):
+    from axonframe.operators.hypothesis import cor_test
+
+    c = surrogate(spark, sf, "roi").groupBy("region", "mouse_id").agg(F.avg("mean").alias("v"), F.count("*").cast("double").alias("k"))
+    return cor_test(c, ["region"], "v", "k").select("region", num("r", "r"), big("n", "n"))
+
+
+# --- enhancement index -----------------------------------------------------------------------------
+
+STIM = r"\b[A-Z]_\d+ A (\d+\.?\d*%?|\d*\.?\d+%?) \d+\.?\d* ms\b"
+PARSED = (
+    "SELECT cell AS cell_id, interval_s AS interval, regexp_matches(log, '(?i)PTX') AS ptx, regexp_matches(log, '(?i)4\\s*-?\\s*AP') AS ap4,"
+    f" regexp_extract_all(log, '{STIM}')[1] AS stim1, regexp_extract_all(log, '{STIM}')[2] AS stim2,"
+    " TRY_CAST(nullif(regexp_extract(log, '(?i)PTX\\s+([0-9.]+)\\s*(uM|mM)', 1), '') AS DOUBLE) AS ptx_conc,"
+    " TRY_CAST(nullif(regexp_extract(log, '(?i)4\\s*-?\\s*AP\\s+([0-9.]+)\\s*(uM|mM)', 1), '') AS DOUBLE) AS ap4_conc,"
+    " contains(log, '-75 mV') AS hold75, CASE WHEN contains(log, '-75 mV') THEN '-75 mV' ELSE '-55 mV' END AS vhold, 'K' AS intra, actual_peak, estimated_peak FROM peaks WHERE interval_s > 0"
+)
+FILTERS = {
+    "normal": "hold75 AND NOT ptx AND NOT ap4",
+    "ptx": "hold75",
+    "4ap": "hold75",
+    "cs_vs_k": "regexp_matches(stim1, '^R_1')",
+    "vhold": "regexp_matches(stim1, '^R_1')",
+    "vhold_and_cs_vs_k": "regexp_matches(stim1, '^R_1') AND NOT ptx AND NOT ap4",
+}
+
+
+def sweeps(spark, sf):
+    hold = F.when(F.col("log").contains("-75 mV"), "-75 mV").otherwise("-55 mV")
+    return surrogate(spark, sf, "peaks").select(
+        F.col("cell").alias("cell_id"), F.col("interval_s").alias("interval"), "log", "actual_peak", "estimated_peak", hold.alias("vhold"), F.lit("K").alias("intra")
+    )
+
+
+def _register_variant(name: str, where: str) -> None:
+    keys = enhancement.VARIANTS[name].keys
+    key_sql = ", ".join(keys)
+    sql = with_(
+        "peaks", p=PARSED,
+        then=f"SELECT {key_sql}, {r('avg(actual_peak)')} AS actual_peak, {r('avg(estimated_peak)')} AS estimated_peak, {r('avg(actual_peak) / avg(estimated_peak)')} AS enhancement_index"
+        f" FROM p WHERE stim1 IS NOT NULL AND stim2 IS NOT NULL AND {where} GROUP BY {key_sql}",
+    )
+
+    @query(f"e2_enhancement_{name}", sql)
+    def run(spark, sf):
+        d = enhancement.enhancement_index(sweeps(spark, sf), name)
+        return d.select(*keys, *[num(c, c) for c in ("actual_peak", "estimated_peak", "enhancement_index")])
+
+
+for _name, _where in FILTERS.items():
+    _register_variant(_name, _where)
+
+
+@query("e2_interval_summary")
+def e2_summary(spark, sf):
+    d = enhancement.interval_summary(enhancement.enhancement_index(sweeps(spark, sf), "normal"))
+    return d.select("interval", big("n_valid", "n"), *[num(c, c) for c in ("mean", "ci_low", "ci_high", "p", "effect", "effect_low", "effect_high")])
+
+
+@query("e2_across_intervals")
+def e2_across(spark, sf):
+    _, pairs = enhancement.across_intervals(enhancement.enhancement_index(sweeps(spark, sf), "normal"), [0.025, 0.05, 0.1, 0.25])
+    return pairs.select("level_a", "level_b", *[num(c, c, 5) for c in ("estimate", "p", "p_adj", "d", "d_low", "d_high")])
+
+
