@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.session import BROADCAST_ROWS, durable
+from axonframe.session import BROADCAST_ROWS, auto_broadcast_bytes, durable, estimated_bytes
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -22,10 +22,13 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Add the columns of a one-row-per-key ``summary`` to ``df``.
 
-    The summary is materialised once and counted. Up to ``BROADCAST_ROWS`` rows it is broadcast,
-    so ``df`` is not shuffled and a hot key does no harm; beyond that it is an ordinary join,
-    where adaptive execution splits skewed partitions.
+    If Spark's own estimate already lets it broadcast the summary, the join is left to it. Otherwise
+    the summary is materialised once and counted: up to ``BROADCAST_ROWS`` rows it is broadcast, so
+    ``df`` is not shuffled and a hot key does no harm; beyond that it is an ordinary join, where
+    adaptive execution splits skewed partitions.
     """
+    if estimated_bytes(summary) <= auto_broadcast_bytes(df.sparkSession):
+        return null_safe_join(df, summary, keys, how)
     summary = durable(summary)
     if summary.count() <= BROADCAST_ROWS:
         summary = F.broadcast(summary)

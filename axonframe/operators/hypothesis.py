@@ -18,6 +18,7 @@ from axonframe.operators.attach import attach, null_safe_join
 from axonframe.operators.ordered import CHUNK_ROWS, _with_chunks, average_ranks, cumulative, distinct_counts
 from axonframe.operators.pair import level_pairs
 from axonframe.operators.reshape import pivot_wider
+from axonframe.session import durable
 
 
 def cor_test(df: DataFrame, by: list[str], x: str, y: str, level: float = 0.95) -> DataFrame:
@@ -180,8 +181,6 @@ def signed_rank_interval(
 
 def _interval_by_bisection(data: DataFrame, by: list[str], crit: float, tol: float) -> DataFrame:
     """Bisect the shift for three targets at once; the state is one small row per group and target."""
-    from axonframe.session import durable
-
     targets = F.array(
         *[F.struct(F.lit(n).alias("_which"), F.lit(z).alias("_z")) for n, z in (("ci_low", crit), ("ci_high", -crit), ("pseudo_median", 0.0))]
     )
@@ -243,7 +242,8 @@ def pairwise_signed_rank(df: DataFrame, by: list[str], subject: list[str], level
     """Signed-rank tests of all level pairs over the same subjects, BH-adjusted within ``by``."""
     pairs = level_pairs(df, [*by, *subject], level, value, levels)
     pairs = pairs.withColumn("_diff", F.col("value_a") - F.col("value_b"))
-    tests = signed_rank(pairs, [*by, "level_a", "level_b"], "_diff")
+    # a few rows, used several times by the adjustment
+    tests = durable(signed_rank(pairs, [*by, "level_a", "level_b"], "_diff"))
     return benjamini_hochberg(tests, by, "p", "p_adj")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions import dist
 from axonframe.operators.ordered import cumulative
-from axonframe.session import durable
+from axonframe.session import durable, spread
 
 DENSE_LEVELS = 2000  # levels of the factor that is kept as a dense block
 CELL_LIMIT = 1_000_000  # rows of a summary that may be brought to the driver
@@ -138,7 +138,7 @@ def simulated_residuals(df: DataFrame, y: str, mu: Column, dispersion: float, ke
     Every row draws from a generator seeded by its key, so partitioning does not change the result.
     """
     data = df.select(F.col(key), F.col(y).cast("double").alias("observed"), mu.alias("fitted"))
-    data = data.dropna().withColumn("_seed", F.xxhash64(F.lit(seed), key))
+    data = spread(data.dropna().withColumn("_seed", F.xxhash64(F.lit(seed), key)), key)
 
     def draw(batches):
         for pdf in batches:
@@ -167,6 +167,7 @@ def uniformity_test(residuals: DataFrame, by: list[str], c: str = "residual") ->
 def dispersion_test(df: DataFrame, y: str, mu: Column, dispersion: float, key: str, n_sim: int = 250, seed: int = 0) -> DataFrame:
     """Ratio of observed to simulated residual spread, with a two-sided simulation p. One row."""
     data = df.select(F.col(y).cast("double").alias("o"), mu.alias("m"), F.xxhash64(F.lit(seed), F.col(key)).alias("s")).dropna()
+    data = spread(data, "s")
 
     def sums(batches):
         total, observed = np.zeros(n_sim), 0.0

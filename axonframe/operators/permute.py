@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from axonframe.functions.scalar import ratio
 from axonframe.operators.attach import attach
 from axonframe.operators.ordered import CHUNK_ROWS, cumulative, exact_quantiles
+from axonframe.session import spread
 
 LEVELS_PER_BUCKET = 4096  # at least; the square root of the levels if that is more
 NUMPY_LIMIT = 1_000_000_000
@@ -114,8 +115,8 @@ def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, c
         attach(per_bucket.select(*by, "_bucket", "_items"), totals, by)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))))
         .withColumn("_key", F.concat_ws("|", *[F.coalesce(F.col(b).cast("string"), F.lit("NULL")) for b in by]))
-        .repartition(*by, "_bucket", "_chunk")
     )
+    tasks = spread(tasks, *by, "_bucket", "_chunk")
 
     def draw(batches):
         for pdf in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from axonframe.functions.scalar import ColumnLike, col, next_power_of_two_int
 from axonframe.operators import series
 from axonframe.operators.raster import orientation_columns
-from axonframe.session import broadcast_if_small
+from axonframe.session import broadcast_if_small, fan_out
 
 
 @dataclass(frozen=True)
@@ -83,28 +83,33 @@ def white_tophat(img: np.ndarray, radius: int) -> np.ndarray:
     return img + disc_minimum(-eroded, radius)
 
 
-def gaussian(img: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian cut off at four sigma, edges mirrored."""
+def gaussian_operator(n: int, sigma: float) -> np.ndarray:
+    """Matrix that smooths a signal of length n: Gaussian cut off at four sigma, edges mirrored."""
     r = int(4.0 * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
-    out = img
-    for axis in (0, 1):
-        n = out.shape[axis]
-        src = np.take(out, reflect_index(n, r, r), axis=axis)
-        acc = np.zeros_like(out)
-        for j, wt in enumerate(k):
-            acc += wt * np.take(src, range(j, j + n), axis=axis)
-        out = acc
+    source = reflect_index(n, r, r)
+    out = np.zeros((n, n))
+    for j, wt in enumerate(k):
+        np.add.at(out, (np.arange(n), source[j : j + n]), wt)
     return out
 
 
-def prepare(img: np.ndarray, p: TileParams) -> np.ndarray:
+def gaussian(img: np.ndarray, sigma: float, known: dict | None = None) -> np.ndarray:
+    """``known`` keeps the matrices of a task's equally sized tiles."""
+    known = {} if known is None else known
+    for n in img.shape:
+        if (n, sigma) not in known:
+            known[n, sigma] = gaussian_operator(n, sigma)
+    return known[img.shape[0], sigma] @ img @ known[img.shape[1], sigma].T
+
+
+def prepare(img: np.ndarray, p: TileParams, known: dict | None = None) -> np.ndarray:
     """Background removal and difference of Gaussians."""
     if p.background_radius:
         img = white_tophat(img, p.background_radius)
     if p.sigma_small is not None:
-        img = gaussian(img, p.sigma_small) - gaussian(img, p.sigma_large)
+        img = gaussian(img, p.sigma_small, known) - gaussian(img, p.sigma_large, known)
     return img
 
 
@@ -208,14 +213,15 @@ def tile_maps(strips: DataFrame, tiles: DataFrame, p: TileParams) -> DataFrame:
         rows = rows.sort_values("y")
         block = np.vstack(rows["segment"].to_numpy())
         top, left = int(rows["y"].iloc[0]), int(key[2]) * p.block
+        known: dict = {}
         if p.filter_scope == "block":
-            block = prepare(block, p)
+            block = prepare(block, p, known)
         geometry = _geometry(p)
         out = []
         for tx, ty in zip(wanted_tiles["tx"], wanted_tiles["ty"]):
             tile = block[ty - top : ty - top + p.roi, tx - left : tx - left + p.roi]
             if p.filter_scope != "block":
-                tile = prepare(tile, p)
+                tile = prepare(tile, p, known)
             out.append({"image_id": key[0], "tx": tx, "ty": ty, **describe(autocorrelation(tile, p), p, geometry)})
         frame = pd.DataFrame(out, columns=columns)
         for c in ("trough_dy", "trough_dx"):
@@ -224,7 +230,8 @@ def tile_maps(strips: DataFrame, tiles: DataFrame, p: TileParams) -> DataFrame:
 
     schema = RESULT + (", map array<double>" if p.keep_maps else "")
     # fresh column ids: both sides may come from the same table
-    left, right = (d.toDF(*d.columns).groupBy(*keys) for d in (segments, placed))
+    n = fan_out(segments)
+    left, right = (d.toDF(*d.columns).repartition(n, *keys).groupBy(*keys) for d in (segments, placed))
     return left.cogroup(right).applyInPandas(work, schema)
 
 

@@ -46,9 +46,42 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan (file sizes where nothing better is known); no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def auto_broadcast_bytes(spark: SparkSession) -> int:
+    """Size up to which Spark broadcasts a join side by itself."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if ``df`` has at most ``limit`` rows; else leave the join to Spark.
 
     The count stops after ``limit + 1`` rows.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame, *keys: str, bytes_per_task: int = 64 << 20) -> DataFrame:
+    """Hash-partition ``df`` for a step whose cost is CPU, not bytes.
+
+    The number of partitions is stated, so that adaptive execution does not merge them: at least
+    four per core, more if the data is large.
+    """
+    return df.repartition(fan_out(df, bytes_per_task), *keys)
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Total size of the files and tables a plan reads; sources of unknown size are left out."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def fan_out(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
+    spark = df.sparkSession
+    by_size = min(source_bytes(df) // bytes_per_task, 20_000)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, by_size)
