@@ -74,14 +74,17 @@ def spread(df: DataFrame, *keys: str, bytes_per_task: int = 64 << 20) -> DataFra
     return df.repartition(fan_out(df, bytes_per_task), *keys)
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Total size of the files and tables a plan reads; sources of unknown size are left out."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(s for s in sizes if s < 1 << 60)
-
-
 def fan_out(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
+    """Partitions for a CPU-bound step: by the size of the files read, the partitions of checkpointed
+    inputs (whose size estimates are only guesses), and the cores at hand."""
     spark = df.sparkSession
-    by_size = min(source_bytes(df) // bytes_per_task, 20_000)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, by_size)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    by_size = parts = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            by_size += int(str(leaf.stats().sizeInBytes()))
+        elif leaf.getClass().getSimpleName() == "LogicalRDD":
+            parts = max(parts, leaf.rdd().getNumPartitions())
+    cores = spark.sparkContext.defaultParallelism
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores, parts, min(by_size // bytes_per_task, 20_000))
