@@ -163,19 +163,20 @@ def permutation_test(
     if population not in ("image", "masks"):
         raise ValueError(f"population must be 'image' or 'masks', not {population!r}")
     a, b = F.coalesce(patch, F.lit(False)), F.coalesce(interpatch, F.lit(False))
-    checked = F.when(a & b, F.raise_error("patch and interpatch masks overlap").cast("int")).otherwise(0)
-    d = pixels.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"), a.alias("_a"), b.alias("_b"), checked.alias("_ok"))
+    # the check is part of the patch flag, so that no plan can drop it
+    a = F.when(a & b, F.raise_error("patch and interpatch masks overlap").cast("boolean")).otherwise(a)
+    d = pixels.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"), a.alias("_a"), b.alias("_b"))
     if population == "masks":
         d = d.filter("_a OR _b")
     levels = d.groupBy(*by, "value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("_a").alias("n_patch"), F.count_if("_b").alias("n_inter"), F.max("_ok").alias("_ok")
+        F.count(F.lit(1)).alias("n"), F.count_if("_a").alias("n_patch"), F.count_if("_b").alias("n_inter")
     )
     observed = levels.groupBy(*by).agg(
-        F.sum("n_patch").alias("n_patch"), F.sum("n_inter").alias("n_interpatch"), F.max("_ok").alias("_ok"),
+        F.sum("n_patch").alias("n_patch"), F.sum("n_inter").alias("n_interpatch"),
         F.sum(F.col("value") * F.col("n_patch")).alias("_sp"), F.sum(F.col("value") * F.col("n_inter")).alias("_si"),
     )
     observed = observed.withColumn("ratio", ratio(ratio("_sp", "n_patch"), ratio("_si", "n_interpatch")))
-    sums = permutation_sums(levels.drop("_ok"), by, n_iter, seed)
+    sums = permutation_sums(levels, by, n_iter, seed)
     shuffled = attach(sums, observed.select(*by, "n_patch", "n_interpatch", "ratio"), by)
     shuffled = shuffled.withColumn("r", ratio(ratio("sum_patch", "n_patch"), ratio("sum_inter", "n_interpatch")))
     # n_iter rows per group: a bounded group

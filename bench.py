@@ -10,6 +10,9 @@ import os
 import sys
 import time
 
+# a forked launcher and a multi-threaded BLAS in one process can deadlock
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 HEADLINE = [
     "e1_region_balance",
     "e1_small_response_cells",
