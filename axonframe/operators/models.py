@@ -121,7 +121,7 @@ def gamma_glm(df: DataFrame, y: str, factors: dict[str, list], numeric: list[str
     if bad:
         raise ValueError(f"{bad} rows have a response that is not positive")
     features = VectorAssembler(inputCols=terms, outputCol="features").transform(data).select("label", "features")
-    model = GeneralizedLinearRegression(family="gamma", link="log", maxIter=max_iter, tol=1e-12).fit(features)
+    model = GeneralizedLinearRegression(family="gamma", link="log", maxIter=max_iter, tol=1e-9).fit(features)
     s = model.summary
     se, t, p = (list(v) for v in (s.coefficientStandardErrors, s.tValues, s.pValues))  # intercept last
     order = [len(terms), *range(len(terms))]

@@ -110,3 +110,17 @@ def exact_quantiles(
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return out.select(*by, *cols)
+
+
+def gather_pieces(df: DataFrame, by: list[str], value: str, size: int = 4096, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Sorted values of each group as arrays of at most ``size`` values: (by, piece, vec).
+
+    A group is never collected as a whole, and a frequent value is divided over its pieces.
+    """
+    c = cumulative(distinct_counts(df, by, value), by, value, chunk_rows=chunk_rows)
+    first, end = F.col("cum_before"), F.col("cum_before") + F.col("n")
+    pieces = F.sequence(F.floor(first / size), F.floor((end - 1) / size))
+    parts = c.withColumn("piece", F.explode(pieces))
+    copies = F.least(end, (F.col("piece") + 1) * size) - F.greatest(first, F.col("piece") * size)
+    runs = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), copies.cast("int").alias("k"))))
+    return parts.groupBy(*by, "piece").agg(F.flatten(F.transform(runs, lambda r: F.array_repeat(r["v"], r["k"]))).alias("vec"))

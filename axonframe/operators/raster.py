@@ -259,14 +259,24 @@ def line_points(centres: DataFrame, length: ColumnLike, radians: ColumnLike) ->
 
 
 def lag_products(pixels: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:
-    """Circular autocorrelation of small tiles by definition, for checks: (keys, dy, dx, value).
+    """Circular autocorrelation of small complete tiles by definition, for checks: (keys, dy, dx, value).
 
-    Every pixel is paired with each lag of its own tile (h * w of them).
+    A tile is one array of h * w values, and all its lags are computed inside the row.
     """
-    lags = pixels.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
-    a = lags.withColumns({"ny": (F.col("y") + F.col("dy")) % h, "nx": (F.col("x") + F.col("dx")) % w})
-    b = pixels.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("_w"))
-    return a.join(b, [*keys, "ny", "nx"]).groupBy(*keys, "dy", "dx").agg(F.sum(F.col("v") * F.col("_w")).alias("value"))
+    n = h * w
+    tile = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col("v").alias("v")))), lambda s: s["v"])
+
+    def lag(k):
+        def product(total, i):
+            y = (F.floor(i / w) + F.floor(k / w)) % h
+            x = (i % w + k % w) % w
+            return total + F.get("_t", i) * F.get("_t", (y * w + x).cast("int"))
+
+        value = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), product)
+        return F.struct(F.floor(k / w).alias("dy"), (k % w).alias("dx"), value.alias("value"))
+
+    tiles = pixels.groupBy(*keys).agg(tile.alias("_t")).filter(F.size("_t") == n)
+    return tiles.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lag)))
 
 
 # --- registration ----------------------------------------------------------------------------------

@@ -337,15 +337,15 @@ def i8_line(spark, sf):
     with_(
         "px",
         tp="SELECT image_id, floor(y / 8e0) AS byy, floor(x / 8e0) AS bxx, y % 8 AS y, x % 8 AS x, v FROM px",
+        whole="SELECT image_id, byy, bxx FROM tp GROUP BY 1, 2, 3 HAVING count(*) = 64",
         then=f"SELECT a.image_id, {b('a.byy')} AS byy, {b('a.bxx')} AS bxx, {b('(e.y - a.y + 8) % 8')} AS dy, {b('(e.x - a.x + 8) % 8')} AS dx, {r('sum(a.v * e.v)', 2)} AS value"
-        " FROM tp a JOIN tp e USING (image_id, byy, bxx) GROUP BY 1, 2, 3, 4, 5",
+        " FROM tp a JOIN tp e USING (image_id, byy, bxx) JOIN whole USING (image_id, byy, bxx) GROUP BY 1, 2, 3, 4, 5",
     ),
 )
 def i7_pairs(spark, sf):
     d = pixels(spark, sf).select(
         "image_id", F.floor(F.col("y") / 8).alias("byy"), F.floor(F.col("x") / 8).alias("bxx"), (F.col("y") % 8).alias("y"), (F.col("x") % 8).alias("x"), "v"
     )
-    # the last image may be cut short, but by whole rows of 8-pixel tiles only if its height allows
     out = raster.lag_products(d, ["image_id", "byy", "bxx"], 8, 8)
     return out.select("image_id", "byy", "bxx", big("dy", "dy"), big("dx", "dx"), num("value", "value", 2))
 

@@ -342,11 +342,14 @@ def a9(spark, sf):
 
 @query(
     "a10_gather_vector",
-    "SELECT l_orderkey AS cell, list_sort(list(floor(l_quantity * 100) / 100)) AS vec FROM lineitem GROUP BY 1",
+    "SELECT flag, piece, list(q ORDER BY q) AS vec FROM (SELECT l_returnflag AS flag, l_quantity AS q,"
+    " (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1) // 1000 AS piece FROM lineitem) GROUP BY 1, 2",
 )
 def a10(spark, sf):
-    d = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("cell"))
-    return d.agg(F.sort_array(F.collect_list(F.floor(F.col("l_quantity") * 100).cast("double") / 100)).alias("vec"))
+    from axonframe.operators.ordered import gather_pieces
+
+    d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"))
+    return gather_pieces(d, ["flag"], "q", 1000)
 
 
 HIST_SQL = (
