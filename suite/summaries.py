@@ -10,8 +10,8 @@ from suite.base import b, big, num, query, r, table
 from suite.surrogates import EI_ORDINAL, INTERVALS, pixels, strips, surrogate, with_
 
 KEY = ["filename_plus10", "filename_minus55", "o1", "o2", "o3"]
-KEY_OUT = ["filename_plus10", "filename_minus55", "o1", F.col("o2").cast("bigint").alias("o2"), "o3"]
-KEY_SQL = "filename_plus10, filename_minus55, o1, CAST(o2 AS BIGINT) AS o2, o3"
+KEY_OUT = ["filename_plus10", "filename_minus55", "o1", "o2", "o3"]
+KEY_SQL = "filename_plus10, filename_minus55, o1, o2, o3"
 ORD = "o1, o2, o3"
 
 
