@@ -24,7 +24,7 @@ from axonframe.session import broadcast_if_small, fan_out
 
 @dataclass(frozen=True)
 class TileParams:
-    """Kernel settings; the defaults are the reference workload."""
+    """Kernel settings; the defaults are the full-size workload."""
 
     roi: int = 330
     stride: int = 10
