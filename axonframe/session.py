@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Rows a summary table may have before it is no longer sent to every executor.
 BROADCAST_ROWS = 50_000
+UNKNOWN_BYTES = 1 << 62
 
 
 def get_spark(app: str = "axonframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,8 +48,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan (file sizes where nothing better is known); no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own size estimate of a plan (file sizes where nothing better is known); no job is run.
+
+    Estimates of joins are products, so long plans can exceed any number worth reading.
+    """
+    try:
+        return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), UNKNOWN_BYTES)
+    except ValueError:  # more digits than Python converts
+        return UNKNOWN_BYTES
 
 
 def auto_broadcast_bytes(spark: SparkSession) -> int:
