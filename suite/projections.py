@@ -505,6 +505,52 @@ def u8(spark, sf):
     return reshape.grid(d, {"gy": axis, "gx": axis}).select("image_id", big("gy", "gy"), big("gx", "gx"))
 
 
+# --- column hygiene --------------------------------------------------------------------------------
+
+
+@query(
+    "s2_text_then_cast",
+    f"SELECT o_orderkey, {r('o_totalprice')} AS total, CAST(NULL AS DOUBLE) AS priority FROM orders",
+)
+def s2(spark, sf):
+    """All columns as text, then cast; the priority labels are no numbers."""
+    d = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("total"), F.col("o_orderpriority").alias("priority"))
+    return clean.to_numeric(d, ["total", "priority"]).select("o_orderkey", num("total", "total"), "priority")
+
+
+@query("s6_clean_names", f"SELECT o_orderkey AS order_key, {r('o_totalprice')} AS actual_peak_value FROM orders")
+def s6(spark, sf):
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("OrderKey"), F.col("o_totalprice").alias("Actual Peak Value"), F.lit(1).alias("...1"))
+    d = clean.clean_names(clean.drop_unnamed(d))
+    return d.select("order_key", num("actual_peak_value", "actual_peak_value"))
+
+
+@query("s7_any_of", "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS log FROM orders")
+def s7(spark, sf):
+    return clean.any_of(table(spark, sf, "orders"), {"o_orderkey": "bigint", "o_orderstatus": "string", "log": "string"})
+
+
+@query(
+    "j8_same_folder_files",
+    with_(
+        "files",
+        f="SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files",
+        then="SELECT a.path AS anchor, e.path AS sibling FROM f a JOIN f e ON a.dir = e.dir WHERE NOT contains(a.path, '_edited') AND contains(e.path, '_edited')",
+    ),
+)
+def j8(spark, sf):
+    f = surrogate(spark, sf, "files")
+    return filesrc.siblings(f.filter(~F.col("path").contains("_edited")), f, r"^merged_mean_peak_edited\.csv$")
+
+
+@query(
+    "s9_find_by_pattern",
+    with_("files", then="SELECT path FROM files WHERE regexp_matches(path, '/merged_mean_peak_edited\.csv$')"),
+)
+def s9(spark, sf):
+    return filesrc.find_by_pattern(surrogate(spark, sf, "files"), r"merged_mean_peak_edited\.csv$")
+
+
 # --- file catalogue --------------------------------------------------------------------------------
 
 
