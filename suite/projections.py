@@ -545,7 +545,7 @@ def j8(spark, sf):
 
 @query(
     "s9_find_by_pattern",
-    with_("files", then="SELECT path FROM files WHERE regexp_matches(path, '/merged_mean_peak_edited\.csv$')"),
+    with_("files", then=r"SELECT path FROM files WHERE regexp_matches(path, '/merged_mean_peak_edited\.csv$')"),
 )
 def s9(spark, sf):
     return filesrc.find_by_pattern(surrogate(spark, sf, "files"), r"merged_mean_peak_edited\.csv$")
