@@ -110,7 +110,7 @@ def _describe(bands: int, rows: int, width: int):
         for pdf in batches:
             for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 s = shingles(t if isinstance(t, str) else None, width)
-                ids.append(None if pd.isna(i) else int(i))
+                ids.append(None if i is None else int(i))
                 sets.append(s)
                 held += len(s)
                 if held >= BATCH_SHINGLES:
@@ -195,7 +195,8 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: int =
     are kept. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = stored(texts.mapInPandas(_describe(bands, rows, width), "doc_id bigint, n bigint, key binary, bands array<bigint>"), "near-signatures")
+    # ids travel as text: pandas turns whole numbers with gaps into floats
+    sigs = stored(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_describe(bands, rows, width), "doc_id bigint, n bigint, key binary, bands array<bigint>"), "near-signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
     reps = stored(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
     at = reps.select("rep", "n", F.explode("bands").alias("bucket"))

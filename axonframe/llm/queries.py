@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonframe.llm import chat, mixing, quality, shards, urls
+from axonframe.llm import chat, lines, mixing, near, quality, shards, templates, urls, warc
+from axonframe.llm.common import stored
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_link_trust(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op2_superminhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_groups(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op3_sainte_lague_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -49,10 +54,30 @@ def op6_rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op8_template_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.contamination(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark")).drop("row")
+
+
+def op9_warc_salvage(spark: SparkSession, sf: str) -> DataFrame:
+    archives = stored(warc.write_archives(warc.plan_records(_table(spark, sf, "pages"))), "warc")
+    read = warc.records(warc.read_archives(archives))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_differencing_shards(spark: SparkSession, sf: str) -> DataFrame:
     placed = shards.assign(_table(spark, sf, "documents").select("doc_id", "text"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_link_trust, op3_sainte_lague_mix, op4_chat_round_trip, op6_rule_ledger, op10_differencing_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_link_trust, op2_superminhash, op3_sainte_lague_mix, op4_chat_round_trip, op6_rule_ledger, op7_line_chunks,
+        op8_template_leaks, op9_warc_salvage, op10_differencing_shards,
+    )
+}
 ORACLE: dict[str, str] = {}
