@@ -295,8 +295,10 @@ def generated_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
 
+    known = ["".join(pick(SYLLABLES) for _ in range(int(rng.integers(1, 5)))) for _ in range(2000)]
+
     def words(lo, hi):
-        return " ".join("".join(pick(SYLLABLES) for _ in range(int(rng.integers(1, 5)))) for _ in range(int(rng.integers(lo, hi))))
+        return " ".join(known[i] for i in rng.integers(0, len(known), int(rng.integers(lo, hi))))
 
     def sentence(lo, hi):
         t = words(lo, hi)
@@ -345,10 +347,11 @@ def generated_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.8:
             out += f"<h1>{sentence(1, 14)}</h1>"
             y.append(1)
-        for _ in range(int(rng.integers(1, 16))):
+        again = sentence(1, 12) if rng.random() < 0.1 else None  # some texts repeat one line over and over
+        for _ in range(int(rng.integers(1, 16) if rng.random() < 0.85 else rng.integers(16, 90))):
             r = rng.random()
             if r < 0.72:
-                t = sentence(1, 120)
+                t = again or sentence(1, 120)
                 out += pick(["<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<p>{}", '<p class="text">{}</p>', "<div>{}</div>"]).format(t)
                 y.append(1)
             elif r < 0.78:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from axonframe.llm.common import n_words, stored
 
 BLOCK_WORDS = 16
-ROWS_PER_SHARD = 16_384
+ROWS_PER_SHARD = 2048
 WEIGHTS = (5, 2, 1)  # fixed values: repeated over the sources in code point order
 RATIO = (3, 2)  # the mix has 150 % of all words
 MOST = 2  # times a source's size

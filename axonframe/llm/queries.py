@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonframe.llm import chat, lines, mixing, near, quality, shards, templates, urls, warc
+from axonframe.llm import blocks, chat, lines, mixing, near, quality, shards, templates, urls, warc
 from axonframe.llm.common import stored
 
 
@@ -45,6 +45,10 @@ def op4_chat_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_block_labeller(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.extract(_table(spark, sf, "pages"))
+
+
 def op6_rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
     book = quality.ledger(_table(spark, sf, "documents").select("doc_id", "text"))
     bits = F.col("fail_bits")
@@ -76,7 +80,7 @@ def op10_differencing_shards(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_link_trust, op2_superminhash, op3_sainte_lague_mix, op4_chat_round_trip, op6_rule_ledger, op7_line_chunks,
+        op1_link_trust, op2_superminhash, op3_sainte_lague_mix, op4_chat_round_trip, op5_block_labeller, op6_rule_ledger, op7_line_chunks,
         op8_template_leaks, op9_warc_salvage, op10_differencing_shards,
     )
 }

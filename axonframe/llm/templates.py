@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import stored
@@ -105,17 +105,21 @@ def _item_windows(window: int, shortest: int):
 _DOC = "doc_id bigint, row string, at int, h bigint, slots array<bigint>"
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Key of a row by id and text; rows with equal keys are equal for this operator."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    i = F.col(doc_id).cast("bigint")
+    return F.concat_ws("-", F.hex(F.xxhash64(i, t)), F.hex(F.xxhash64(t, i, F.lit("row"))))
+
+
 def _doc_windows(widths: list[int], bitmap: bytes):
     def run(batches):
-        import xxhash
-
         canon, bits = Canon(), np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
         for pdf in batches:
             out = []
-            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+            for d, key, t in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist()):
                 text = t if isinstance(t, str) else ""
                 d = None if d is None else int(d)
-                key = xxhash.xxh3_128_hexdigest(f"{d}|{text}".encode())
                 out.append((d, key, None, None, None))
                 c, bare, slot = canon.tokens(text)
                 for width in widths:
@@ -149,7 +153,7 @@ def bitmap_of(windows: DataFrame) -> bytes:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, n_items, item_id, coverage, exact, kept) per row of ``docs`` (doc_id, text).
+    """(doc_id, n_items, item_id, coverage, exact, kept, row: its key) per row of ``docs`` (doc_id, text).
 
     An item is found in a document if at least ``coverage`` of its windows stand there in the item's own
     order and distance, and no item value stands for two document values. ``item_id`` is the best
