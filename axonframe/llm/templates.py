@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     items = stored(item_windows(benchmark), "bench-windows")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WINDOW values
     # ids travel as text: pandas turns whole numbers with gaps into floats
-    body = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    body = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
     found = stored(body.mapInPandas(_doc_windows(widths, bitmap_of(items)), _DOC), "bench-hits")
     rows = found.filter("at IS NULL").select("doc_id", "row")
     hits = found.filter("at IS NOT NULL").select("row", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots")).distinct()
