@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm import blocks, chat, lines, mixing, near, quality, shards, templates, urls, warc
 from axonframe.llm.common import stored
+from axonframe.llm.oracles import ORACLE
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,4 +85,5 @@ QUERIES = {
         op8_template_leaks, op9_warc_salvage, op10_differencing_shards,
     )
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
