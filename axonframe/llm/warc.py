@@ -19,6 +19,7 @@ LEAST_REVISIT = 1000  # payloads below this many bytes are stored every time
 ARCHIVE_BYTES = 4 << 20  # an archive is closed once it holds so many bytes
 MAX_HEAD = 1 << 16  # a longer header block is damage
 GZIP = b"\x1f\x8b\x08"
+_NEEDED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 _DATE = b"2024-01-01T00:00:00Z"  # fixed, so that reruns write the same bytes
 
 
@@ -113,6 +114,8 @@ def _parse(data: bytes, at: int):
         if not colon:
             return None, "bad header line"
         fields[name.strip().lower()] = value.strip()
+    if not _NEEDED <= fields.keys():
+        return None, "a header line is missing"
     length = fields.get(b"content-length", b"")
     if not length.isdigit():
         return None, "bad length"
