@@ -141,72 +141,89 @@ def signed_rank(df: DataFrame, by: list[str], value: str, mu: float = 0.0, chunk
     )
 
 
-def signed_rank_interval(
-    df: DataFrame, by: list[str], value: str, level: float = 0.95, small: int = 2000, tol: float = 1e-4
-) -> DataFrame:
-    """Confidence limits and pseudo-median: shifts at which the test statistic meets its bounds.
+def signed_rank_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """Confidence limits and pseudo-median of the signed-rank test: order statistics of the Walsh averages.
 
-    Groups of up to ``small`` rows are solved inside one task each; larger ones by bisection in
-    which every step is a distributed signed-rank pass.
+    The limits are the averages (of every pair, and every value with itself) at the positions where the
+    normal form of the statistic meets its bounds; the pseudo-median is the median of all averages. They
+    are exact for groups of any size and any unit: shifts narrow a bracket around each position (a
+    counted pass over the distinct values each), until few averages are left in it to list.
     """
     crit = dist.normal_critical(level)
-    data = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    sized = attach(data, sizes, by)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.select(*by).schema.fields)
-    schema += ", ci_low double, ci_high double, pseudo_median double"
-
-    def solve(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        x = np.sort(pdf["_x"].to_numpy())
-        i, j = np.triu_indices(len(x))
-        walsh = np.sort((x[i] + x[j]) / 2.0)
-        n = len(x)
-        mean, sd = n * (n + 1) / 4.0, math.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)
-        pick = lambda v: walsh[min(max(int(round(v)), 0), len(walsh) - 1)]
-        row = [*key, pick(mean - crit * sd), pick(mean + crit * sd - 1), float(np.median(walsh))]
-        return pd.DataFrame([row], columns=[*by, "ci_low", "ci_high", "pseudo_median"])
-
-    parts = [sized.filter(F.col("_n") <= small).select(*by, "_x").groupBy(*by).applyInPandas(solve, schema)]
-    large = sized.filter(F.col("_n") > small)
-    if large.limit(1).count():
-        parts.append(_interval_by_bisection(large, by, crit, tol))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _interval_by_bisection(data: DataFrame, by: list[str], crit: float, tol: float) -> DataFrame:
-    """Bisect the shift for three targets at once; the state is one small row per group and target."""
-    targets = F.array(
-        *[F.struct(F.lit(n).alias("_which"), F.lit(z).alias("_z")) for n, z in (("ci_low", crit), ("ci_high", -crit), ("pseudo_median", 0.0))]
-    )
+    values = durable(distinct_counts(df.select(*by, F.col(value).cast("double").alias("_x")), by, "_x"))
+    return _walsh_quantiles(values, by, crit)
+
+
+WALSH_SHIFTS = 16  # shifts tried in a pass
+WALSH_LISTED = 20_000  # averages left in a bracket that are listed
+
+
+def _walsh_quantiles(values: DataFrame, by: list[str], crit: float) -> DataFrame:
+    """``values``: (by, _x, n). The state is one small row per group and position."""
+    n = F.sum("n").cast("double")
+    g = values.groupBy(*by).agg(n.alias("_k"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    k = F.col("_k")
+    mean, sd, pairs = k * (k + 1) / 4, F.sqrt(k * (k + 1) * (2 * k + 1) / 24), k * (k + 1) / 2
+    place = lambda c: F.least(F.greatest(F.rint(c), F.lit(0.0)), pairs - 1).cast("bigint")
+    spots = {"ci_low": place(mean - crit * sd), "ci_high": place(mean + crit * sd - 1), "_m0": F.floor((pairs - 1) / 2).cast("bigint"), "_m1": F.floor(pairs / 2).cast("bigint")}
+    below = F.col("_min") - F.greatest(F.col("_max") - F.col("_min"), F.abs("_min") * 1e-9, F.lit(1e-300))
     state = durable(
-        data.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")).select(
-            *by, "_n", "_lo", "_hi", F.inline(targets)
-        )
-    )
-    widest = state.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0]
-    for _ in range(max(1, math.ceil(math.log2(max(widest, tol) / tol)))):
-        probe = state.select(*by, "_which", ((F.col("_lo") + F.col("_hi")) / 2).alias("_mid"))
-        spread = attach(data.select(*by, "_x"), probe.groupBy(*by).agg(F.collect_list(F.struct("_which", "_mid")).alias("_p")), by)
-        shifted = spread.select(*by, "_x", F.inline("_p")).withColumn("_d", F.col("_x") - F.col("_mid"))
-        stat = signed_rank(shifted, [*by, "_which"], "_d").select(*by, "_which", F.col("v").alias("_v"), F.col("n").alias("_k"))
-        n = F.col("_k").cast("double")
-        score = (F.col("_v") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-        mid = (F.col("_lo") + F.col("_hi")) / 2
-        # the statistic falls as the shift grows
-        above = F.coalesce(score > F.col("_z"), F.lit(False))
-        state = durable(
-            null_safe_join(state, stat, [*by, "_which"], "left")
-            .withColumns({"_lo": F.when(above, mid).otherwise(F.col("_lo")), "_hi": F.when(above, F.col("_hi")).otherwise(mid)})
-            .drop("_v", "_k")
+        g.select(*by, pairs.cast("bigint").alias("_pairs"), below.alias("_lo"), F.col("_max").alias("_hi"), F.inline(F.array(*[F.struct(F.lit(w).alias("_which"), c.alias("_r")) for w, c in spots.items()])))
+        .withColumn("_at_lo", F.lit(0).cast("bigint")).withColumn("_at_hi", F.col("_pairs"))
+    )
+    shift = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / WALSH_SHIFTS)
+    room = (shift(1) > F.col("_lo")) & (shift(WALSH_SHIFTS - 1) < F.col("_hi"))
+    wide = (F.col("_at_hi") - F.col("_at_lo") > WALSH_LISTED) & room
+    while not state.filter(wide).isEmpty():
+        tried = F.explode(F.transform(F.sequence(F.lit(1), F.lit(WALSH_SHIFTS - 1)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / WALSH_SHIFTS)))
+        counts = _walsh_at_most(values, state.filter(wide).select(*by, tried.alias("_t")).distinct(), by)
+        steps = null_safe_join(state.filter(wide), counts.groupBy(*by).agg(F.collect_list(F.struct("_t", "_c")).alias("_s")), by, "left")
+        inside = F.filter("_s", lambda x: (x["_t"] > F.col("_lo")) & (x["_t"] < F.col("_hi")))
+        low = F.array_max(F.filter(inside, lambda x: x["_c"] <= F.col("_r")))
+        high = F.array_min(F.filter(inside, lambda x: x["_c"] > F.col("_r")))
+        moved = steps.withColumn("_a", low).withColumn("_b", high)
+        moved = moved.select(
+            *by, "_pairs", F.coalesce("_a._t", "_lo").alias("_lo"), F.coalesce("_b._t", "_hi").alias("_hi"), "_which", "_r", F.coalesce("_a._c", "_at_lo").alias("_at_lo"), F.coalesce("_b._c", "_at_hi").alias("_at_hi")
         )
-    names = ["ci_low", "ci_high", "pseudo_median"]
-    return pivot_wider(state.withColumn("_m", (F.col("_lo") + F.col("_hi")) / 2), by, "_which", "_m", names, names)
+        state = durable(state.filter(~wide).unionByName(moved))
+    listed = _walsh_between(values, state.filter(F.col("_at_hi") - F.col("_at_lo") <= WALSH_LISTED), by)
+    at = W.partitionBy(*by, "_which").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    found = listed.groupBy(*by, "_which", "_r", "_at_lo", "_v").agg(F.sum("_n").alias("_n")).withColumn("_c", F.col("_at_lo") + F.sum("_n").over(at))
+    found = found.filter(F.col("_c") > F.col("_r")).groupBy(*by, "_which").agg(F.min("_v").alias("_v"))
+    # a bracket without room between its ends holds copies of one average
+    tied = state.filter(F.col("_at_hi") - F.col("_at_lo") > WALSH_LISTED).select(*by, "_which", F.col("_hi").alias("_v"))
+    names = ["ci_low", "ci_high", "_m0", "_m1"]
+    out = pivot_wider(found.unionByName(tied), by, "_which", "_v", names, names)
+    return out.withColumn("pseudo_median", (F.col("_m0") + F.col("_m1")) / 2).drop("_m0", "_m1")
+
+
+def _walsh_at_most(values: DataFrame, shifts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _t, _c): Walsh averages up to ``_t``. Of the ordered pairs, those with ``y > 2t - x`` are
+    counted from running totals, then each pair once and each value with itself."""
+    spread = null_safe_join(values, shifts.groupBy(*by).agg(F.collect_list("_t").alias("_ts")), by).select(*by, F.col("_x"), "n", F.explode("_ts").alias("_t"))
+    none = F.lit(0).cast("bigint")
+    data = spread.select(*by, "_t", F.col("_x").alias("_z"), "n", none.alias("_w"))
+    asked = spread.select(*by, "_t", (2 * F.col("_t") - F.col("_x")).alias("_z"), none.alias("n"), F.col("n").alias("_w"))
+    at = data.unionByName(asked).groupBy(*by, "_t", "_z").agg(F.sum("n").alias("n"), F.sum("_w").alias("_w"))
+    run = cumulative(at, [*by, "_t"], "_z")
+    more = F.sum(F.col("_w") * (F.col("total") - F.col("cum_before") - F.col("n")))
+    own = F.sum(F.when(F.col("_z") > 2 * F.col("_t") - F.col("_z"), F.col("n")).otherwise(0))
+    k = F.sum("n")
+    return run.groupBy(*by, "_t").agg((k * (k + 1) / 2 - (more + own) / 2).cast("bigint").alias("_c"))
+
+
+def _walsh_between(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """The averages in (lo, hi] of each bracket with their number; values meet on buckets as wide as twice
+    the bracket, so a value looks into three of them."""
+    keys = [*by, "_which"]
+    span = brackets.select(*keys, "_lo", "_hi", "_r", "_at_lo", (2 * (F.col("_hi") - F.col("_lo"))).alias("_w"))
+    x = null_safe_join(values, span, by)
+    bucket = lambda c: F.floor(c / F.col("_w"))
+    left = x.withColumn("_b", F.explode(F.sequence(bucket(2 * F.col("_lo") - F.col("_x")) - 1, bucket(2 * F.col("_hi") - F.col("_x")) + 1)))
+    right = x.select(*keys, F.col("_x").alias("_y"), F.col("n").alias("_ny"), bucket(F.col("_x")).alias("_b"))
+    met = null_safe_join(left, right, [*keys, "_b"]).filter("_y >= _x AND _y > 2 * _lo - _x AND NOT _y > 2 * _hi - _x")
+    pairs = F.when(F.col("_x") == F.col("_y"), F.col("n") * (F.col("n") + 1) / 2).otherwise(F.col("n") * F.col("_ny")).cast("bigint")
+    return met.select(*keys, "_r", "_at_lo", ((F.col("_x") + F.col("_y")) / 2).alias("_v"), pairs.alias("_n"))
 
 
 def friedman(df: DataFrame, by: list[str], subject: list[str], level: str, value: str, levels: list) -> DataFrame:

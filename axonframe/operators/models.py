@@ -21,6 +21,7 @@ from axonframe.functions import dist
 from axonframe.operators.ordered import cumulative
 from axonframe.session import durable, spread
 
+ABSORBED_ROWS = 1_024
 DENSE_LEVELS = 2000  # levels of the factor that is kept as a dense block
 CELL_LIMIT = 1_000_000  # rows of a summary that may be brought to the driver
 
@@ -65,13 +66,16 @@ def two_way_anova(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     la, lb = len(ia[1]), len(ib[1])
     if min(la, lb) > DENSE_LEVELS:
         raise ValueError(f"both factors have more than {DENSE_LEVELS} levels")
-    counts, sums = np.zeros((la, lb)), np.zeros((la, lb))
-    counts[ia[0], ib[0]], sums[ia[0], ib[0]] = t["n"], t["s"]
-    if lb > la:  # absorb the larger factor
-        counts, sums = counts.T, sums.T
-    na, sa = counts.sum(axis=1), sums.sum(axis=1)
-    left = np.diag(counts.sum(axis=0)) - counts.T @ (counts / na[:, None])
-    right = sums.sum(axis=0) - counts.T @ (sa / na)
+    big, small, width = (ib[0], ia[0], la) if lb > la else (ia[0], ib[0], lb)  # absorb the larger factor
+    nv, sv = t["n"].to_numpy(float), t["s"].to_numpy(float)
+    na, sa = np.bincount(big, nv), np.bincount(big, sv)
+    left, right = np.diag(np.bincount(small, nv, width)), np.bincount(small, sv, width) - np.bincount(small, nv * (sa / na)[big], width)
+    order = np.argsort(big, kind="stable")
+    for start in range(0, len(na), ABSORBED_ROWS):  # only so many rows of the larger factor are dense at a time
+        at = order[np.searchsorted(big, start, sorter=order) : np.searchsorted(big, start + ABSORBED_ROWS, sorter=order)]
+        block = np.zeros((min(ABSORBED_ROWS, len(na) - start), width))
+        block[big[at] - start, small[at]] = nv[at]
+        left -= block.T @ (block / na[start : start + ABSORBED_ROWS, None])
     gain = float(right @ np.linalg.lstsq(left, right, rcond=None)[0])
     one, only_a = total * total / n, explained(t.groupby("a")[["n", "s"]].sum())
     additive = float((sa * sa / na).sum()) + gain

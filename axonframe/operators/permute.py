@@ -35,8 +35,25 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
     return np.where(n < 16, table[np.clip(n, 0, 16).astype(int)], series)
 
 
+def _weight_from_mode(mode, g, b, k, d) -> np.ndarray:
+    """ln of the probability of ``mode + d`` good draws over that of ``mode``.
+
+    Differences of log-factorials of large numbers would lose all digits; here the parts linear in
+    ``d`` are joined before the logarithm, and the rest goes through log1p.
+    """
+    x = [mode + 1, g - mode + 1, k - mode + 1, b - k + mode + 1]
+    linear = d * np.log1p((x[0] * x[3] - x[1] * x[2]) / (x[1] * x[2]))
+    rest = np.zeros_like(d)
+    for at, step in zip(x, (d, -d, -d, d)):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far = (at + step - 0.5) * np.log1p(step / at) - step + (1 / (at + step) - 1 / at) / 12
+        near = _log_factorial(np.maximum(at - 1 + step, 0)) - _log_factorial(at - 1) - step * np.log(at)
+        rest += np.where(np.minimum(at, at + step) > 1e5, far, near)
+    return -linear - rest
+
+
 def _hypergeometric_large(rng, good, bad, draws) -> np.ndarray:
-    """Exact draws for populations beyond NumPy's limit: ratio of uniforms with log-factorials."""
+    """Draws for populations beyond NumPy's limit: ratio of uniforms with weights relative to the mode."""
     low, high = np.maximum(0, draws - bad), np.minimum(draws, good)
     out = low.copy()
     todo = np.flatnonzero(low < high)
@@ -45,17 +62,13 @@ def _hypergeometric_large(rng, good, bad, draws) -> np.ndarray:
         total = g + b
         mean = k * g / total
         var = mean * (b / total) * (total - k) / (total - 1)
-        mode = np.floor((k + 1) * (g + 1) / (total + 2))
-
-        def log_weight(v):
-            return -(_log_factorial(v) + _log_factorial(g - v) + _log_factorial(k - v) + _log_factorial(b - k + v))
-
+        mode = np.clip(np.floor((k + 1) * (g + 1) / (total + 2)), low[todo], high[todo])
         width = 1.7155277699214135 * np.sqrt(var + 0.5) + 0.8989161620588988
         u, v = 1.0 - rng.random(todo.size), rng.random(todo.size)
         pick = np.floor(mean + 0.5 + width * (v - 0.5) / u)
         inside = (pick >= low[todo]) & (pick <= high[todo])
         pick = np.where(inside, pick, mode)
-        ok = inside & (2 * np.log(u) <= log_weight(pick) - log_weight(mode))
+        ok = inside & (2 * np.log(u) <= _weight_from_mode(mode, g, b, k, pick - mode))
         out[todo[ok]] = pick[ok].astype(np.int64)
         todo = todo[~ok]
     return out
@@ -69,19 +82,21 @@ def hypergeometric(rng, good, bad, draws) -> np.ndarray:
     return _hypergeometric_large(rng, good, bad, draws)
 
 
-def draw_pairs(rng, counts, patch: np.ndarray, inter: np.ndarray):
-    """Take ``patch`` items and then ``inter`` items from the rest, for all iterations at once.
+def draw_classes(rng, counts, sizes: list[np.ndarray]):
+    """Take the items of each class one after the other from what is left, for all iterations at once.
 
-    Yields, level by level, how many of each were of that level.
+    ``sizes`` has one array per class. Yields, level by level, how many of each class were of that level.
     """
-    left, patch, inter = int(sum(counts)), patch.copy(), inter.copy()
+    left, open_ = int(sum(counts)), [s.copy() for s in sizes]
     for c in counts:
         left -= int(c)
-        p = hypergeometric(rng, c, left, patch)
-        patch -= p
-        q = hypergeometric(rng, c - p, left - patch, inter)
-        inter -= q
-        yield p, q
+        here, beyond, taken = np.full(len(open_[0]), int(c)), np.full(len(open_[0]), left), []
+        for s in open_:
+            p = hypergeometric(rng, here, beyond, s)
+            here, beyond = here - p, beyond - (s - p)
+            s -= p
+            taken.append(p)
+        yield taken
 
 
 def _seed(*parts) -> int:
@@ -91,7 +106,7 @@ def _seed(*parts) -> int:
 def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, chunk: int = 1000) -> DataFrame:
     """(by..., iter, sum_patch, sum_inter) of ``n_iter`` permutations.
 
-    ``levels`` has by..., value, n (pixels), n_patch, n_inter (pixels of the two masks).
+    ``levels`` has by..., value, n (pixels), n_patch, n_inter, n_both (pixels of the masks and of both).
     """
     sizes = levels.groupBy(*by).agg(F.count(F.lit(1)).alias("_levels"))
     bucketed = (
@@ -102,13 +117,14 @@ def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, c
         .withColumn("_bucket", F.pmod(F.xxhash64("value"), F.col("_nb")).cast("int"))
     )
     per_bucket = bucketed.groupBy(*by, "_bucket").agg(
-        F.sum("n").alias("_n"), F.sum("n_patch").alias("_np"), F.sum("n_inter").alias("_ni"),
+        F.sum("n").alias("_n"), F.sum("n_patch").alias("_np"), F.sum("n_inter").alias("_ni"), F.sum("n_both").alias("_nb2"),
         F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_items"),
     )
     totals = per_bucket.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_bucket"), F.col("_n")))).alias("_totals"),
         F.sum("_np").alias("_k_patch"),
         F.sum("_ni").alias("_k_inter"),
+        F.sum("_nb2").alias("_k_both"),
     )
     chunks = [(c, min(chunk, n_iter - c * chunk)) for c in range(math.ceil(n_iter / chunk))]
     tasks = (
@@ -125,19 +141,20 @@ def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, c
                 c = int(row["_chunk"])
                 size = chunks[c][1]
                 tot = row["_totals"]
-                patch = np.full(size, int(row["_k_patch"]), dtype=np.int64)
-                inter = np.full(size, int(row["_k_inter"]), dtype=np.int64)
+                both = int(row["_k_both"])
+                classes = [np.full(size, k, dtype=np.int64) for k in (int(row["_k_patch"]) - both, int(row["_k_inter"]) - both, *([both] if both else []))]
                 shared = np.random.default_rng(_seed(seed, row["_key"], c))  # same bucket totals in every task
-                for t, (p, q) in zip(tot, draw_pairs(shared, [int(t["_n"]) for t in tot], patch, inter)):
+                for t, taken in zip(tot, draw_classes(shared, [int(t["_n"]) for t in tot], classes)):
                     if t["_bucket"] == row["_bucket"]:
-                        patch, inter = p, q
+                        classes = taken
                         break
                 own = np.random.default_rng(_seed(seed, row["_key"], c, row["_bucket"]))
                 items = row["_items"]
                 sum_patch, sum_inter = np.zeros(size), np.zeros(size)
-                for i, (p, q) in zip(items, draw_pairs(own, [int(i["n"]) for i in items], patch, inter)):
-                    sum_patch += p * i["value"]
-                    sum_inter += q * i["value"]
+                for i, taken in zip(items, draw_classes(own, [int(i["n"]) for i in items], classes)):
+                    shared_part = taken[2] if len(taken) > 2 else 0
+                    sum_patch += (taken[0] + shared_part) * i["value"]
+                    sum_inter += (taken[1] + shared_part) * i["value"]
                 frame = {b: [row[b]] * size for b in by}
                 frame.update(iter=np.arange(size) + c * chunk, sum_patch=sum_patch, sum_inter=sum_inter)
                 out.append(pd.DataFrame(frame))
@@ -145,7 +162,7 @@ def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, c
                 yield pd.concat(out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in levels.select(*by).schema.fields)
-    parts = tasks.select(*by, "_bucket", "_chunk", "_key", "_items", "_totals", "_k_patch", "_k_inter").mapInPandas(
+    parts = tasks.select(*by, "_bucket", "_chunk", "_key", "_items", "_totals", "_k_patch", "_k_inter", "_k_both").mapInPandas(
         draw, f"{fields}, iter long, sum_patch double, sum_inter double"
     )
     return parts.groupBy(*by, "iter").agg(F.sum("sum_patch").alias("sum_patch"), F.sum("sum_inter").alias("sum_inter"))
@@ -158,18 +175,16 @@ def permutation_test(
     """Observed ratio, its permutation bounds, significance and two-sided empirical p per group.
 
     ``population='image'`` shuffles all pixels of the group, ``'masks'`` only those under a mask.
-    The masks must be disjoint. A NULL ratio has NULL significance.
+    The masks may overlap: a pixel under both counts in both sums. A NULL ratio has NULL significance.
     """
     if population not in ("image", "masks"):
         raise ValueError(f"population must be 'image' or 'masks', not {population!r}")
     a, b = F.coalesce(patch, F.lit(False)), F.coalesce(interpatch, F.lit(False))
-    # the check is part of the patch flag, so that no plan can drop it
-    a = F.when(a & b, F.raise_error("patch and interpatch masks overlap").cast("boolean")).otherwise(a)
     d = pixels.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"), a.alias("_a"), b.alias("_b"))
     if population == "masks":
         d = d.filter("_a OR _b")
     levels = d.groupBy(*by, "value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("_a").alias("n_patch"), F.count_if("_b").alias("n_inter")
+        F.count(F.lit(1)).alias("n"), F.count_if("_a").alias("n_patch"), F.count_if("_b").alias("n_inter"), F.count_if(F.col("_a") & F.col("_b")).alias("n_both")
     )
     observed = levels.groupBy(*by).agg(
         F.sum("n_patch").alias("n_patch"), F.sum("n_inter").alias("n_interpatch"),

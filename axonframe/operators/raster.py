@@ -49,17 +49,20 @@ def tile_coverage(masks: DataFrame, roi: int, stride: int, value: str = "mask")
         ),
     )
     rows = masks.filter(F.size(value) >= roi).withColumn("_b", blocks).select("image_id", "y", F.inline(window_sums))
-    bands = rows.groupBy("image_id", "tx", F.floor(F.col("y") / step).alias("band")).agg(
-        F.sum("s").alias("s"), F.count(F.lit(1)).alias("rows")
-    )
+    bands = rows.groupBy("image_id", "tx", F.floor(F.col("y") / step).alias("band")).agg(F.sum("s").alias("s"))
+    # strips that are missing are empty: every band of the image's height takes part in the running total
+    height = masks.groupBy("image_id").agg(F.floor((F.max("y") + 1) / step).alias("n_bands")).filter("n_bands > 0")
+    whole = attach(bands.select("image_id", "tx").distinct(), height, ["image_id"], "inner")
+    whole = whole.select("image_id", "tx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bands") - 1)).alias("band"))
     w = W.partitionBy("image_id", "tx").orderBy("band")
     running = w.rowsBetween(W.unboundedPreceding, 0)
     k = roi // step
     return (
-        bands.withColumn("_cum", F.sum("s").over(running))
+        whole.join(bands, ["image_id", "tx", "band"], "left")
+        .withColumn("_cum", F.sum(F.coalesce("s", F.lit(0.0))).over(running))
         .withColumn("_before", F.coalesce(F.lag("_cum", k).over(w), F.lit(0.0)))
         .withColumn("ty", (F.col("band") - (k - 1)) * step)
-        .filter((F.col("ty") >= 0) & (F.col("ty") % stride == 0) & (F.col("rows") == step))
+        .filter((F.col("ty") >= 0) & (F.col("ty") % stride == 0))
         .select("image_id", "tx", F.col("ty").cast("bigint").alias("ty"), ((F.col("_cum") - F.col("_before")) / float(roi * roi)).alias("coverage"))
     )
 

@@ -495,9 +495,9 @@ def i17(spark, sf):
 
 AFFINE = {
     "cn": CANVAS,
-    # every image is registered to the ellipse of the next one, on its own canvas
+    # every image is registered to the ellipse of the next one (the last to that of the first), on its own canvas
     "pr": "SELECT s.image_id, s.cx AS scx, s.cy AS scy, s.ori AS so, s.major AS sa, s.minor AS si, t.cx + (cw - w) / 2e0 AS tcx, t.cy + (ch - h) / 2e0 AS tcy, t.ori AS tori, t.major AS ta, t.minor AS ti, ch, cw"
-    " FROM el s JOIN el t ON t.image_id = s.image_id + 1 JOIN cn ON cn.image_id = s.image_id",
+    " FROM el s JOIN el t ON t.image_id = (s.image_id + 1) % (SELECT max(image_id) + 1 FROM el) JOIN cn ON cn.image_id = s.image_id",
     "mt": "SELECT *, cos(tori) * (ta / sa) * cos(-so) - sin(tori) * (ti / si) * sin(-so) AS a, -cos(tori) * (ta / sa) * sin(-so) - sin(tori) * (ti / si) * cos(-so) AS b,"
     " sin(tori) * (ta / sa) * cos(-so) + cos(tori) * (ti / si) * sin(-so) AS c, -sin(tori) * (ta / sa) * sin(-so) + cos(tori) * (ti / si) * cos(-so) AS d FROM pr",
     "af": "SELECT image_id, ch, cw, tcx, tcy, a AS m00, b AS m01, tcx - a * scx - b * scy AS m02, c AS m10, d AS m11, tcy - c * scx - d * scy AS m12 FROM mt",
@@ -509,7 +509,9 @@ def affine(spark, sf):
     c = raster.canvas(rasters.image_sizes(strips(spark, sf)))
     names = ("cx", "cy", "orientation", "major", "minor")
     s = e.select("image_id", *[F.col(n).alias(f"s_{n}") for n in names])
-    t = e.select((F.col("image_id") - 1).alias("image_id"), *[F.col(n).alias(f"t_{n}") for n in names])
+    last = e.agg(F.max("image_id").alias("last"))  # one row
+    ring = F.when(F.col("image_id") == 0, F.col("last")).otherwise(F.col("image_id") - 1)
+    t = e.join(F.broadcast(last)).select(ring.alias("image_id"), *[F.col(n).alias(f"t_{n}") for n in names])
     p = s.join(t, "image_id").join(c, "image_id")
     p = p.withColumns({"t_cx": F.col("t_cx") + F.col("offset_x"), "t_cy": F.col("t_cy") + F.col("offset_y")})
     out = raster.ellipse_affine(p)
@@ -642,16 +644,17 @@ def i23(spark, sf):
     "i23_metric_grid_spread",
     with_(
         "px", sz=SIZES, t=TILES, cv=COVERAGE,
-        g="SELECT image_id, ty / 4 AS cy, tx / 4 AS cx, avg(c) AS m FROM cv GROUP BY 1, 2, 3",
+        p="SELECT image_id, (tx + 8) * 0.64e0 AS px, (ty + 8) * 0.64e0 AS py, c FROM cv",
+        e="SELECT *, min(px) OVER w AS x0, max(px) OVER w AS x1, min(py) OVER w AS y0, max(py) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY image_id)",
+        g="SELECT image_id, floor((py - y0) / (y1 - y0) * 12 + 0.5)::INT AS cy, floor((px - x0) / (x1 - x0) * 12 + 0.5)::INT AS cx, avg(c) AS m FROM e GROUP BY 1, 2, 3",
         o="SELECT dy, dx, CASE WHEN dy = 0 AND dx = 0 THEN 1e12 ELSE 1e0 / (dy * dy + dx * dx) END AS wt FROM range(-1, 2) a(dy), range(-1, 2) e(dx)",
         s="SELECT image_id, cy + dy AS gy, cx + dx AS gx, wt, m FROM g, o WHERE cy + dy BETWEEN 0 AND 12 AND cx + dx BETWEEN 0 AND 12",
-        then=f"SELECT image_id, {b('gy')} AS gy, {b('gx')} AS gx, {r('sum(wt * m) / sum(wt)')} AS mean FROM s WHERE image_id IN (SELECT image_id FROM sz WHERE h = 64) GROUP BY 1, 2, 3",
+        then=f"SELECT image_id, {b('gy')} AS gy, {b('gx')} AS gx, {r('sum(wt * m) / sum(wt)')} AS mean FROM s GROUP BY 1, 2, 3",
     ),
 )
 def i23_spread(spark, sf):
     d = strips(spark, sf)
-    whole = rasters.image_sizes(d).filter("h = 64").select("image_id")
-    t = raster.tile_centres(raster.tile_coverage(d, 16, 4), 16, F.lit(0.64)).join(whole, "image_id")
+    t = raster.tile_centres(raster.tile_coverage(d, 16, 4), 16, F.lit(0.64))
     out = raster.metric_grid(t.withColumnsRenamed({"centre_x_um": "px", "centre_y_um": "py"}), ["image_id"], "coverage", cells=13, reach=1)
     return out.select("image_id", big("gy", "gy"), big("gx", "gx"), num("mean", "mean"))
 
@@ -733,7 +736,7 @@ def t21_keyed(spark, sf):
 
 @query("t21_pooled_permutation_test")
 def t21(spark, sf):
-    d = permute.permutation_test(pooled(spark, sf), ["region"], "v", F.col("patch"), ~F.col("patch"), n_iter=2_000, population="masks")
+    d = permute.permutation_test(pooled(spark, sf), ["region"], "v", F.col("patch"), ~F.col("patch"), n_iter=50_000, population="masks")
     return d.select("region", *[num(c, c) for c in ("ratio", "low", "high", "p_empirical")], "significant", big("n_shuffles", "n_shuffles"))
 
 

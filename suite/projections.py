@@ -137,10 +137,11 @@ def p11(spark, sf):
 
 @query(
     "p12_numeric_coercion",
-    f"SELECT doc_id, {r('TRY_CAST(substr(text, 1, 4) AS DOUBLE)')} AS a, {r('TRY_CAST(CAST(n_chars AS VARCHAR) AS DOUBLE)')} AS b FROM documents",
+    f"SELECT doc_id, {r("TRY_CAST(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN CAST(n_chars AS VARCHAR) || '.5' ELSE source END AS DOUBLE)")} AS a, {r('TRY_CAST(CAST(n_chars AS VARCHAR) AS DOUBLE)')} AS b FROM documents",
 )
 def p12(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 4).alias("a"), F.col("n_chars").cast("string").alias("b"))
+    mixed = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.col("n_chars").cast("string"), F.lit(".5"))).otherwise(F.col("source"))
+    d = table(spark, sf, "documents").select("doc_id", mixed.alias("a"), F.col("n_chars").cast("string").alias("b"))
     return clean.to_numeric(d, ["a", "b"]).select("doc_id", num("a", "a"), num("b", "b"))
 
 

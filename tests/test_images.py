@@ -200,8 +200,26 @@ def test_pooled_permutation_and_overlap(spark):
     _, _, df = pixel_rows(spark, np.random.default_rng(8))
     got = patches.pooled(df.withColumn("all", F.lit(1)), ["img"], ["all"], n_iter=500).first()
     assert got["low"] < got["shuffle_mean"] < got["high"]
-    with pytest.raises(Exception, match="overlap"):
-        patches.per_image(df.withColumn("interpatch", F.col("patch")), ["img"], n_iter=10).collect()
+
+
+def test_permutation_of_overlapping_masks(spark):
+    rng = np.random.default_rng(12)
+    v = rng.integers(1, 40, 400).astype(float)
+    a, b = rng.random(400) < 0.4, rng.random(400) < 0.5
+    df = spark.createDataFrame([("m", float(x), bool(p), bool(q)) for x, p, q in zip(v, a, b)], "img string, v double, a boolean, b boolean")
+    got = permute.permutation_test(df, ["img"], "v", F.col("a"), F.col("b"), n_iter=3000).first()
+    sims = []
+    for _ in range(3000):
+        w = rng.permutation(v)
+        sims.append(w[a].mean() / w[b].mean())
+    assert got["ratio"] == pytest.approx(v[a].mean() / v[b].mean()) and got["n_patch"] == a.sum() and got["n_interpatch"] == b.sum()
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(sims, [0.025, 0.975])), abs=0.012)
+
+
+def test_coverage_with_missing_strips(spark):
+    rows = [(1, y, [1.0] * 8) for y in (0, 1, 4, 5, 6, 7)]
+    got = {(r["tx"], r["ty"]): r["coverage"] for r in raster.tile_coverage(spark.createDataFrame(rows, "image_id int, y int, mask array<double>"), 4, 2).collect()}
+    assert got == {(x, y): c for x in (0, 2, 4) for y, c in ((0, 0.5), (2, 0.5), (4, 1.0))}
 
 
 def test_large_population_draws():
@@ -210,5 +228,9 @@ def test_large_population_draws():
     draws = permute._hypergeometric_large(rng, np.full(20_000, good), np.full(20_000, bad), np.full(20_000, k))
     var = k * 0.3 * 0.7 * (2000 - k) / 1999
     assert draws.mean() == pytest.approx(90, abs=0.3) and draws.var() == pytest.approx(var, rel=0.05)
+    n = 10**13
+    huge = permute._hypergeometric_large(rng, np.full(40_000, n), np.full(40_000, n), np.full(40_000, n)).astype(float)
+    sd = math.sqrt(n * 0.25 * n / (2 * n - 1))
+    assert abs(huge.mean() - n / 2) < 5 * sd / 200 and huge.std() == pytest.approx(sd, rel=0.03)
     big = permute.hypergeometric(rng, 3_000_000_000, 7_000_000_000, np.full(5000, 1_000_000))
     assert big.mean() == pytest.approx(300_000, abs=30) and big.std() == pytest.approx(math.sqrt(1e6 * 0.21), rel=0.05)

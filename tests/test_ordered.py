@@ -59,11 +59,32 @@ def test_rank_sum_small_exact_and_chunked(spark):
     assert hypothesis.rank_sum(df, ["by"], "v", "g", "a", "b", chunk_rows=3).first()["w"] == 3.0
 
 
-def test_signed_rank_interval_both_ways(spark):
-    rng = np.random.default_rng(5)
-    df = spark.createDataFrame([("g", float(v)) for v in rng.normal(1.0, 1.0, 60)], "g string, v double")
-    small = hypothesis.signed_rank_interval(df, ["g"], "v").first()
-    large = hypothesis.signed_rank_interval(df, ["g"], "v", small=10, tol=1e-2).first()
-    assert small["ci_low"] < small["pseudo_median"] < small["ci_high"]
-    for c in ("ci_low", "ci_high", "pseudo_median"):
-        assert large[c] == pytest.approx(small[c], abs=0.06)
+def walsh(x, level_z=1.959963984540054):
+    x = np.sort(np.asarray(x))
+    i, j = np.triu_indices(len(x))
+    w, n = np.sort((x[i] + x[j]) / 2), len(x)
+    mean, sd = n * (n + 1) / 4, np.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    pick = lambda v: w[min(max(round(v), 0), len(w) - 1)]
+    return pick(mean - level_z * sd), pick(mean + level_z * sd - 1), np.median(w)
+
+
+@pytest.mark.parametrize("listed", [hypothesis.WALSH_LISTED, 30])
+def test_signed_rank_interval_is_exact_in_any_unit_and_size(spark, monkeypatch, listed):
+    monkeypatch.setattr(hypothesis, "WALSH_LISTED", listed)
+    rng = np.random.default_rng(21)
+    groups = {
+        "small": rng.normal(3, 1, 10), "tiny unit": rng.normal(1e-12, 1e-12, 60), "ties": rng.integers(0, 4, 80).astype(float),
+        "one": np.array([2.5]), "same": np.full(300, -1.25), "large": rng.normal(-50, 7, 2500) * 1e-5,
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double")
+    got = {r["g"]: (r["ci_low"], r["ci_high"], r["pseudo_median"]) for r in hypothesis.signed_rank_interval(df, ["g"], "v").collect()}
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(walsh(x), rel=1e-9), g
+
+
+def test_one_exploded_group_is_cut(spark):
+    """Size estimates do not see what an explode adds; the rows are counted."""
+    d = spark.range(40).select(F.lit("g").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"), F.col("id")).select("g", (F.col("id") * 100 + F.col("i")).cast("double").alias("v"))
+    c = ordered.cumulative(ordered.distinct_counts(d, ["g"], "v"), ["g"], "v", chunk_rows=1000)
+    assert "_chunk" in c._jdf.queryExecution().toString()
+    assert c.agg(F.max("cum_before")).first()[0] == 3999
