@@ -61,10 +61,30 @@ def enhancement_index(sweeps: DataFrame, variant: Variant | str) -> DataFrame:
         d = d.filter(~F.col(drug))
     if v.stim1_prefix:
         d = d.filter(F.col("stim1").rlike(v.stim1_prefix))
-    cells = summarise.group_means(d, list(v.keys), [m for m in v.means if m in d.columns])
+    missing = [c for c in (*v.keys, *v.means) if c not in d.columns]
+    if missing:
+        raise ValueError(f"the variant needs the columns {missing}")
+    cells = summarise.group_means(d, list(v.keys), list(v.means))
     return cells.withColumn("enhancement_index", ratio("actual_peak", "estimated_peak"))
 
 
+def condition_tables(cells: DataFrame, condition: str, values: list[str], labels: dict[str, str] | None = None) -> DataFrame:
+    """One table for all measures: mean, SEM, counts and 95 % half-width by interval and condition.
+
+    ``labels`` renames conditions. The measures are stacked first, so the cells are read and grouped once.
+    """
+    from axonframe.functions.scalar import recode
+
+    shown = recode(condition, labels) if labels else F.col(condition)
+    long = reshape.pivot_longer(cells.select("interval", shown.alias("condition"), *values), ["interval", "condition"], values, "measure", "value")
+    return summarise.mean_table(long, ["measure", "interval", "condition"], "value", ci=True)
+
+
+def joined_conditions(cells: DataFrame, first: str, second: str) -> DataFrame:
+    """Cells with ``condition``, both labels joined by a blank."""
+    return cells.withColumn("condition", F.concat_ws(" ", first, second))
+
+
 def drug_pairs(cells: DataFrame, drug: str, low: float, high: float) -> DataFrame:
     """Same cell, interval and stimuli without and with the drug at a concentration in [low, high]."""
     keys = ["cell_id", "interval", "stim1", "stim2"]

@@ -8,8 +8,8 @@ from axonframe.operators import models, reshape
 from axonframe.plans import ei as ei_plan
 from axonframe.plans import enhancement
 from suite.base import b, big, num, query, r
-from suite.stats import t_p_sql
-from suite.summaries import top1
+from suite.stats import SIGNED_SQL, SIGNED_Z, WALSH_SQL, normal_p_sql, t_p_sql
+from suite.summaries import t_quantile_sql, top1
 from suite.surrogates import EI_ORDINAL, surrogate, with_
 
 ORD = "o1, o2, o3"
@@ -207,7 +207,7 @@ PARSED = (
     f" regexp_extract_all(log, '{STIM}')[1] AS stim1, regexp_extract_all(log, '{STIM}')[2] AS stim2,"
     " TRY_CAST(nullif(regexp_extract(log, '(?i)PTX\\s+([0-9.]+)\\s*(uM|mM)', 1), '') AS DOUBLE) AS ptx_conc,"
     " TRY_CAST(nullif(regexp_extract(log, '(?i)4\\s*-?\\s*AP\\s+([0-9.]+)\\s*(uM|mM)', 1), '') AS DOUBLE) AS ap4_conc,"
-    " contains(log, '-75 mV') AS hold75, CASE WHEN contains(log, '-75 mV') THEN '-75 mV' ELSE '-55 mV' END AS vhold, 'K' AS intra, actual_peak, estimated_peak FROM peaks WHERE interval_s > 0"
+    " contains(log, '-75 mV') AS hold75, CASE WHEN contains(log, '-75 mV') THEN '-75 mV' ELSE '-55 mV' END AS vhold, intra, actual_peak, estimated_peak, first_peak, third_peak FROM peaks WHERE interval_s > 0"
 )
 FILTERS = {
     "normal": "hold75 AND NOT ptx AND NOT ap4",
@@ -222,23 +222,23 @@ FILTERS = {
 def sweeps(spark, sf):
     hold = F.when(F.col("log").contains("-75 mV"), "-75 mV").otherwise("-55 mV")
     return surrogate(spark, sf, "peaks").select(
-        F.col("cell").alias("cell_id"), F.col("interval_s").alias("interval"), "log", "actual_peak", "estimated_peak", hold.alias("vhold"), F.lit("K").alias("intra")
+        F.col("cell").alias("cell_id"), F.col("interval_s").alias("interval"), "log", "actual_peak", "estimated_peak", "first_peak", "third_peak", hold.alias("vhold"), "intra"
     )
 
 
 def _register_variant(name: str, where: str) -> None:
     keys = enhancement.VARIANTS[name].keys
-    key_sql = ", ".join(keys)
+    key_sql, means = ", ".join(keys), enhancement.VARIANTS[name].means
     sql = with_(
         "peaks", p=PARSED,
-        then=f"SELECT {key_sql}, {r('avg(actual_peak)')} AS actual_peak, {r('avg(estimated_peak)')} AS estimated_peak, {r('avg(actual_peak) / avg(estimated_peak)')} AS enhancement_index"
+        then=f"SELECT {key_sql}, {', '.join(f'{r(f"avg({m})")} AS {m}' for m in means)}, {r('avg(actual_peak) / avg(estimated_peak)')} AS enhancement_index"
         f" FROM p WHERE stim1 IS NOT NULL AND stim2 IS NOT NULL AND {where} GROUP BY {key_sql}",
     )
 
     @query(f"e2_enhancement_{name}", sql)
     def run(spark, sf):
         d = enhancement.enhancement_index(sweeps(spark, sf), name)
-        return d.select(*keys, *[num(c, c) for c in ("actual_peak", "estimated_peak", "enhancement_index")])
+        return d.select(*keys, *[num(c, c) for c in (*means, "enhancement_index")])
 
 
 for _name, _where in FILTERS.items():
@@ -257,3 +257,100 @@ def e2_across(spark, sf):
     return pairs.select("level_a", "level_b", *[num(c, c, 5) for c in ("estimate", "p", "p_adj", "d", "d_low", "d_high")])
 
 
+
+
+# --- comparisons of conditions and drugs -----------------------------------------------------------
+
+MEASURES = ["actual_peak", "estimated_peak", "first_peak", "third_peak", "enhancement_index"]
+
+
+def _cells_sql(name: str) -> str:
+    v = enhancement.VARIANTS[name]
+    return f"SELECT {', '.join(v.keys)}, {', '.join(f'avg({m}) AS {m}' for m in v.means)}, avg(actual_peak) / avg(estimated_peak) AS enhancement_index FROM p WHERE stim1 IS NOT NULL AND stim2 IS NOT NULL AND {FILTERS[name]} GROUP BY {', '.join(v.keys)}"
+
+
+def _conditions_sql(label: str) -> str:
+    stacked = " UNION ALL ".join(f"SELECT '{m}' AS measure, interval, {label} AS condition, {m} AS v FROM cl" for m in MEASURES)
+    return (
+        f"SELECT measure, interval, condition, {r('avg(v)', 5)} AS mean, {r('stddev_samp(v) / sqrt(count(v))', 5)} AS sem, {b('count(*)')} AS n_rows, {b('count(v)')} AS n_valid,"
+        f" {r('stddev_samp(v) / sqrt(count(v)) * ' + t_quantile_sql('(count(v) - 1e0)'), 4)} AS ci FROM ({stacked}) GROUP BY 1, 2, 3 HAVING count(v) > 1"
+    )
+
+
+def _condition_rows(d):
+    return d.filter("n_valid > 1").select("measure", "interval", "condition", num("mean", "mean", 5), num("sem", "sem", 5), big("n_rows", "n_rows"), big("n_valid", "n_valid"), num("ci", "ci", 4))
+
+
+@query("e3_cs_vs_k_tables", with_("peaks", p=PARSED, cl=_cells_sql("cs_vs_k"), then=_conditions_sql("intra")))
+def e3_intra(spark, sf):
+    return _condition_rows(enhancement.condition_tables(enhancement.enhancement_index(sweeps(spark, sf), "cs_vs_k"), "intra", MEASURES))
+
+
+@query("e3_holding_tables", with_("peaks", p=PARSED, cl=_cells_sql("vhold"), then=_conditions_sql("CASE vhold WHEN '-75 mV' THEN 'rest' ELSE 'depolarised' END")))
+def e3_hold(spark, sf):
+    cells = enhancement.enhancement_index(sweeps(spark, sf), "vhold")
+    return _condition_rows(enhancement.condition_tables(cells, "vhold", MEASURES, {"-75 mV": "rest", "-55 mV": "depolarised"}))
+
+
+JOINED = enhancement.Variant(None, ("ptx", "ap4"), "^R_1", ("cell_id", "interval", "stim1", "stim2", "vhold", "intra"), tuple(MEASURES[:4]))
+
+
+@query(
+    "e3_joined_condition_tables",
+    with_(
+        "peaks", p=PARSED,
+        cl=f"SELECT {', '.join(JOINED.keys)}, {', '.join(f'avg({m}) AS {m}' for m in JOINED.means)}, avg(actual_peak) / avg(estimated_peak) AS enhancement_index FROM p WHERE stim1 IS NOT NULL AND stim2 IS NOT NULL AND {FILTERS['vhold_and_cs_vs_k']} GROUP BY {', '.join(JOINED.keys)}",
+        then=_conditions_sql("vhold || ' ' || intra"),
+    ),
+)
+def e3_joined(spark, sf):
+    cells = enhancement.joined_conditions(enhancement.enhancement_index(sweeps(spark, sf), JOINED), "vhold", "intra")
+    return _condition_rows(enhancement.condition_tables(cells, "condition", MEASURES))
+
+
+@query(
+    "e3_ptx_paired_t",
+    with_(
+        "peaks", p=PARSED, cl=_cells_sql("ptx"),
+        pr="SELECT a.interval, a.enhancement_index AS x, d.enhancement_index AS y FROM (SELECT * FROM cl WHERE NOT ptx) a JOIN (SELECT * FROM cl WHERE ptx AND ptx_conc BETWEEN 20 AND 30) d USING (cell_id, interval, stim1, stim2) WHERE a.enhancement_index IS NOT NULL AND d.enhancement_index IS NOT NULL",
+        s="SELECT interval, count(*) AS n, avg(x) AS ma, avg(y) AS mb, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) AS t FROM pr GROUP BY 1",
+        then=f"SELECT interval, {b('n')} AS n_pairs, {r('ma', 5)} AS mean_acsf, {r('mb', 5)} AS mean_drug, {r('t', 5)} AS statistic, {r(t_p_sql('t', '(n - 1e0)'), 5)} AS p FROM s WHERE n > 1",
+    ),
+)
+def e3_ptx(spark, sf):
+    pairs = enhancement.drug_pairs(enhancement.enhancement_index(sweeps(spark, sf), "ptx"), "ptx", 20, 30)
+    d = enhancement.paired_t(pairs).filter("n_pairs > 1")
+    return d.select("interval", big("n_pairs", "n_pairs"), num("mean_a", "mean_acsf", 5), num("mean_b", "mean_drug", 5), num("t", "statistic", 5), num("p", "p", 5))
+
+
+@query(
+    "e3_ptx_paired_long",
+    with_(
+        "peaks", p=PARSED, cl=_cells_sql("ptx"),
+        pr="SELECT cell_id, interval, stim1, stim2, a.enhancement_index AS x, d.enhancement_index AS y FROM (SELECT * FROM cl WHERE NOT ptx) a JOIN (SELECT * FROM cl WHERE ptx AND ptx_conc BETWEEN 20 AND 30) d USING (cell_id, interval, stim1, stim2) WHERE a.enhancement_index IS NOT NULL AND d.enhancement_index IS NOT NULL",
+        then=f"SELECT cell_id, interval, 'ACSF' AS cond, {r('x', 5)} AS enh FROM pr UNION ALL SELECT cell_id, interval, 'PTX' AS cond, {r('y', 5)} AS enh FROM pr",
+    ),
+)
+def e3_ptx_long(spark, sf):
+    pairs = enhancement.drug_pairs(enhancement.enhancement_index(sweeps(spark, sf), "ptx"), "ptx", 20, 30)
+    long = enhancement.paired_long(pairs, {"enhancement_index_acsf": "ACSF", "enhancement_index_drug": "PTX"})
+    return long.select("cell_id", "interval", "cond", num("enh", "enh", 5))
+
+
+@query(
+    "e3_interval_summary_nonparametric",
+    with_(
+        "peaks", p=PARSED, cl=_cells_sql("normal"),
+        c="SELECT cell_id AS cell, interval AS interval_s, enhancement_index AS v FROM cl",
+        **WALSH_SQL,
+        d="SELECT interval_s, v - 1 AS dv FROM c WHERE v <> 1",
+        s=SIGNED_SQL.format(by="interval_s"),
+        z=f"SELECT *, {SIGNED_Z} AS z FROM s",
+        lim="SELECT interval_s, l[CAST(round_even(least(greatest(mean - half, 0), p - 1), 0) AS BIGINT) + 1] AS lo, l[CAST(round_even(least(greatest(mean + half - 1, 0), p - 1), 0) AS BIGINT) + 1] AS hi FROM q",
+        m="SELECT interval_s, avg(v) AS mean, count(v) AS n FROM c GROUP BY 1",
+        then=f"SELECT interval_s AS interval, {b('m.n')} AS n_valid, {r('mean')} AS mean, {r('lo', 4)} AS ci_low, {r('hi', 4)} AS ci_high, {r(normal_p_sql('z'), 5)} AS p FROM m JOIN lim USING (interval_s) JOIN z USING (interval_s)",
+    ),
+)
+def e3_nonparametric(spark, sf):
+    d = enhancement.interval_summary(enhancement.enhancement_index(sweeps(spark, sf), "normal"), nonparametric=True)
+    return d.select("interval", big("n_valid", "n_valid"), num("mean", "mean"), num("ci_low", "ci_low", 4), num("ci_high", "ci_high", 4), num("p", "p", 5))

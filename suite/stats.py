@@ -143,14 +143,20 @@ def t5(spark, sf):
     return d.select("interval_s", big("n", "n"), num("v", "v", 1), num("z", "z", 5), num("p", "p", 5))
 
 
+# Walsh averages of every interval, sorted, and the positions of the limits
+WALSH_SQL = {
+    "w": "SELECT a.interval_s, (a.v + e.v) / 2 AS m FROM (SELECT *, row_number() OVER () AS i FROM c WHERE v IS NOT NULL) a JOIN (SELECT *, row_number() OVER () AS i FROM c WHERE v IS NOT NULL) e ON a.interval_s = e.interval_s AND a.v <= e.v AND (a.v < e.v OR a.cell <= e.cell)",
+    "k": "SELECT interval_s, count(v) AS k FROM c GROUP BY 1",
+    "q": "SELECT interval_s, list_sort(list(m)) AS l, any_value(k * (k + 1) / 4e0) AS mean, any_value(1.959963984540054e0 * sqrt(k * (k + 1) * (2 * k + 1) / 24e0)) AS half, any_value(k * (k + 1) // 2) AS p FROM w JOIN k USING (interval_s) GROUP BY 1",
+}
+
+
 @query(
     "t5_signed_rank_interval",
     with_(
         "peaks",
         c=CELL_SQL,
-        w="SELECT a.interval_s, (a.v + e.v) / 2 AS m FROM (SELECT *, row_number() OVER () AS i FROM c WHERE v IS NOT NULL) a JOIN (SELECT *, row_number() OVER () AS i FROM c WHERE v IS NOT NULL) e ON a.interval_s = e.interval_s AND a.v <= e.v AND (a.v < e.v OR a.cell <= e.cell)",
-        k="SELECT interval_s, count(v) AS k FROM c GROUP BY 1",
-        q="SELECT interval_s, list_sort(list(m)) AS l, any_value(k * (k + 1) / 4e0) AS mean, any_value(1.959963984540054e0 * sqrt(k * (k + 1) * (2 * k + 1) / 24e0)) AS half, any_value(k * (k + 1) // 2) AS p FROM w JOIN k USING (interval_s) GROUP BY 1",
+        **WALSH_SQL,
         then=f"SELECT interval_s, {r('l[CAST(round_even(least(greatest(mean - half, 0), p - 1), 0) AS BIGINT) + 1]', 4)} AS ci_low, {r('l[CAST(round_even(least(greatest(mean + half - 1, 0), p - 1), 0) AS BIGINT) + 1]', 4)} AS ci_high,"
         f" {r('(l[(p - 1) // 2 + 1] + l[p // 2 + 1]) / 2', 4)} AS pseudo_median FROM q",
     ),

@@ -39,6 +39,9 @@ PEAKS = [
     " WHEN 'signup' THEN 0.1e0 ELSE 0.25e0 END AS interval_s",
     "value AS actual_peak",
     "1e0 + event_id % 17 AS estimated_peak",
+    "CASE WHEN event_id % 19 = 0 THEN NULL ELSE value / 2e0 END AS first_peak",
+    "2e0 + event_id % 11 AS third_peak",
+    "CASE WHEN user_id % 2 = 0 THEN 'Cs' ELSE 'K' END AS intra",
     "concat(CASE WHEN user_id % 3 = 0 THEN 'R_2 A ' ELSE 'R_1 A ' END, CAST(user_id % 100 AS STRING), '% 5 ms B_2 A ',"
     " CAST(user_id % 40 AS STRING), '.5% 2.5 ms IT_', CAST(event_id % 200 AS STRING), ' ms ',"
     " CASE WHEN event_id % 7 = 0 THEN '-55 mV' ELSE '-75 mV' END,"
