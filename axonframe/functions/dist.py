@@ -195,19 +195,6 @@ def rank_sum_exact_p(w: float, m: int, n: int) -> float:
     return min(1.0, 2.0 * float(tail))
 
 
-def signed_rank_exact_p(v: float, n: int) -> float:
-    """Two-sided exact p-value of the signed-rank sum."""
-    top = n * (n + 1) // 2
-    counts = np.zeros(top + 1)
-    counts[0] = 1.0
-    for r in range(1, n + 1):
-        counts[r:] += counts[: top + 1 - r].copy()
-    pmf = counts / counts.sum()
-    v = int(round(v))
-    tail = pmf[v:].sum() if v > top / 2.0 else pmf[: v + 1].sum()
-    return min(1.0, 2.0 * float(tail))
-
-
 def _masked(fn, *series):
     """Apply ``fn`` where every argument is present; NULL elsewhere."""
     frame = pd.concat([s.astype("float64") for s in series], axis=1)

@@ -400,11 +400,13 @@ def _simplex_minimum(f, start: np.ndarray, steps: int = 400) -> np.ndarray:
     """Nelder-Mead for one or two parameters; f is even in each of them."""
     pts = [start, *[start + 0.5 * np.eye(len(start))[i] for i in range(len(start))]]
     vals = [f(x) for x in pts]
-    for _ in range(steps):
+    for left in range(steps, -1, -1):
         order = np.argsort(vals)
         pts, vals = [pts[i] for i in order], [vals[i] for i in order]
         if max(np.abs(pts[-1] - pts[0])) < 1e-9:
             break
+        if not left:
+            raise RuntimeError(f"the variance search did not converge in {steps} steps")
         centre = np.mean(pts[:-1], axis=0)
         trial = {s: centre + s * (pts[-1] - centre) for s in (-1.0, -2.0, 0.5)}
         r = f(trial[-1.0])

@@ -8,6 +8,7 @@ from axonframe.operators import models, reshape
 from axonframe.plans import ei as ei_plan
 from axonframe.plans import enhancement
 from suite.base import b, big, num, query, r
+from suite.projections import STIM
 from suite.stats import SIGNED_SQL, SIGNED_Z, WALSH_SQL, normal_p_sql, t_p_sql
 from suite.summaries import t_quantile_sql, top1
 from suite.surrogates import EI_ORDINAL, surrogate, with_
@@ -201,7 +202,6 @@ def t23(spark, sf):
 
 # --- enhancement index -----------------------------------------------------------------------------
 
-STIM = r"\b[A-Z]_\d+ A (\d+\.?\d*%?|\d*\.?\d+%?) \d+\.?\d* ms\b"
 PARSED = (
     "SELECT cell AS cell_id, interval_s AS interval, regexp_matches(log, '(?i)PTX') AS ptx, regexp_matches(log, '(?i)4\\s*-?\\s*AP') AS ap4,"
     f" regexp_extract_all(log, '{STIM}')[1] AS stim1, regexp_extract_all(log, '{STIM}')[2] AS stim2,"
