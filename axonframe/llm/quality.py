@@ -31,7 +31,7 @@ RULES = (
     Rule("too_short", "n_words < 50", base=True),
     Rule("repetitive", "100 * n_repeat_words > 50 * n_words", base=True),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("dup_lines", "2 * n_dup_lines > n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
     Rule("shouting", "2 * n_upper > n_upper + n_lower"),

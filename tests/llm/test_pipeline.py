@@ -56,7 +56,7 @@ def plain_quality(rows):
         words, lines = t.split(), [x for x in t.split("\n") if x.split()]
         n, chars = len(words), sum(map(len, words))
         upper, lower = sum(c.isupper() for c in t), sum(c.islower() for c in t)
-        bad = n < 50 or 100 * repeat_words(words) > 50 * n or 10 * sum(c in "#*$%&|<>" for c in t) > n or 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+        bad = n < 50 or 100 * repeat_words(words) > 50 * n or 10 * sum(c in "#*$%&|<>" for c in t) > n or 2 * (len(lines) - len(set(lines))) > len(lines)
         if not (bad or chars < 2 * n or chars > 15 * n or 2 * upper > upper + lower):
             out.append(r)
     return out
