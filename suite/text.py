@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from axonframe.functions import textparse
 from axonframe.operators import textlog
-from suite.base import b, big, query, table
+from axonframe.sources import files
+from suite.base import b, big, num, query, r, table
 from suite.surrogates import surrogate, with_
 
 
@@ -137,3 +138,54 @@ def o4(spark, sf):
 def s8(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1))).toDF("doc_id", "line_no", "line")
     return d.select("doc_id", big("line_no", "line_no"), "line")
+
+
+# --- files written and read back -------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared scratch space; the files are the feature under test here."""
+    import uuid
+
+    from axonframe.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "s1_csv_with_differing_headers",
+    with_(
+        "peaks",
+        then=f"SELECT event_id, cell, CASE WHEN event_id % 3 = 0 THEN {r('interval_s')} END AS interval_s, {r('actual_peak')} AS actual_peak, event_id % 3 = 0 AS edited FROM peaks",
+    ),
+)
+def s1(spark, sf):
+    d = surrogate(spark, sf, "peaks").select("event_id", "cell", "interval_s", "actual_peak")
+    root = _folder(spark, "csv")
+    files.write_csv(d.filter("event_id % 3 = 0").select("interval_s", "event_id", "actual_peak", "cell"), f"{root}/merged_mean_peak_edited")
+    files.write_csv(d.filter("event_id % 3 <> 0").select("cell", "actual_peak", "event_id"), f"{root}/merged_mean_peak")
+    found = [f"{root}/merged_mean_peak_edited", f"{root}/merged_mean_peak"]
+    back = files.read_csv_mixed(spark, found, ["event_id", "interval_s", "actual_peak"])
+    edited = F.col("source_file").contains("merged_mean_peak_edited")
+    return back.select(big("event_id", "event_id"), "cell", num("interval_s", "interval_s"), num("actual_peak", "actual_peak"), edited.alias("edited"))
+
+
+@query(
+    "s8_log_files",
+    with_("reclog", l="SELECT path % 16 AS log, path, line_no, line FROM reclog", then=f"SELECT {b('log')} AS log, {b('row_number() OVER (PARTITION BY log ORDER BY path, line_no) - 1')} AS line_no, line FROM l"),
+)
+def s8_files(spark, sf):
+    root = _folder(spark, "logs")
+    d = surrogate(spark, sf, "reclog").withColumn("log", F.col("path") % 16)
+    rows = d.repartition(16, "log").sortWithinPartitions("log", "path", "line_no").select("log", F.col("line").alias("value"))
+    rows.write.partitionBy("log").text(root)
+    back = files.read_log_lines(spark, root)
+    return back.select(big(F.regexp_extract("path", r"/log=(\d+)/", 1), "log"), big("line_no", "line_no"), "line")
+
+
+@query("s10_text_list", f"SELECT '\"' || source || '\",' AS value, {b('count(DISTINCT source)')} AS n FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def s10(spark, sf):
+    root = _folder(spark, "list")
+    files.write_text_list(table(spark, sf, "documents").filter("source IS NOT NULL"), "source", root)
+    return spark.read.text(root).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
