@@ -54,17 +54,33 @@ def chunk_table(docs: DataFrame, text: str = "text", roll: int = ROLL, divisor:
     ).drop("c")
 
 
-def repeats(docs: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
-    """The chunks that repeat an earlier one byte by byte (earlier: by doc_id, NULL first, then place)."""
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """Number neighbouring chunks of a document alike in ``_s``."""
+    by_doc = Window.partitionBy("_k1", "_k2").orderBy("at")
+    new = F.coalesce(F.col("at") != F.lag(F.col("at") + F.col("lines")).over(by_doc), F.lit(True))
+    return rows.withColumn("_new", new).withColumn("_s", F.sum(F.col("_new").cast("int")).over(by_doc)).drop("_new")
+
+
+def repeats(docs: DataFrame, chunks: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The chunks that repeat an earlier one byte by byte (earlier: by doc_id, NULL first, then place).
+
+    Only chunks in spans of at least ``least_words`` words, and the first occurrences of those, have
+    their bytes fetched.
+    """
     place = F.struct("doc_id", "_k1", "_k2", "at")
     first = chunks.groupBy("chunk").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk", "o")
     found = stored(chunks.join(first, "chunk").withColumn("own", place == F.col("o")).drop("o"), "line-repeats")
-    per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("chunk", "own", "at", "lines", "words")).alias("f"))
-    body = _keyed(docs, text).select("_k1", "_k2", _lines(F.col(text)).alias("l")).join(per_doc, ["_k1", "_k2"])
+    late = _with_spans(found.filter("NOT own"))
+    late = late.withColumn("_w", F.sum("words").over(Window.partitionBy("_k1", "_k2", "_s"))).filter(F.col("_w") >= least_words)
+    late = stored(late.select("_k1", "_k2", "chunk", "own", "at", "lines", "words"), "line-candidates")
+    owners = found.filter("own").join(late.select("chunk").distinct(), "chunk", "left_semi").select(*late.columns)
+    per_doc = late.unionByName(owners).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("chunk", "own", "at", "lines", "words")).alias("f"))
+    # one plan at every size: the texts move once, to their few chunks
+    body = _keyed(docs, text).select("_k1", "_k2", _lines(F.col(text)).alias("l")).join(per_doc.hint("merge"), ["_k1", "_k2"])
     cut = body.select("_k1", "_k2", "l", F.explode("f").alias("f")).select("_k1", "_k2", "f.*", F.array_join(F.slice("l", F.col("f.at") + 1, F.col("f.lines")), "\n").alias("bytes"))
-    cut = stored(cut.select("_k1", "_k2", "chunk", "own", "at", "lines", "words", "bytes"), "line-bytes")
-    owners = cut.filter("own").select("chunk", F.col("bytes").alias("_first")).dropDuplicates(["chunk"])
-    same = cut.filter("NOT own").join(owners, "chunk").filter(F.col("bytes") == F.col("_first"))
+    cut = stored(cut, "line-bytes")
+    originals = cut.filter("own").select("chunk", F.col("bytes").alias("_first")).dropDuplicates(["chunk"])
+    same = cut.filter("NOT own").join(originals, "chunk").filter(F.col("bytes") == F.col("_first"))
     return same.select("_k1", "_k2", "at", "lines", "words").distinct()
 
 
@@ -77,14 +93,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", least_words: int = LEAST_WO
     """
     added = ["n_lines", "n_removed", "removed_words"]
     keep = [c for c in docs.columns if c not in added and c != text]
-    gone = repeats(docs, chunk_table(docs, text), text)
-    by_doc = Window.partitionBy("_k1", "_k2").orderBy("at")
-    new = F.coalesce(F.col("at") != F.lag(F.col("at") + F.col("lines")).over(by_doc), F.lit(True))
-    spans = gone.withColumn("_new", new).withColumn("_s", F.sum(F.col("_new").cast("int")).over(by_doc))
-    spans = spans.groupBy("_k1", "_k2", "_s").agg(F.min("at").alias("at"), F.sum("lines").cast("int").alias("lines"), F.sum("words").alias("words")).filter(F.col("words") >= least_words)
+    gone = repeats(docs, chunk_table(docs, text), text, least_words)
+    spans = _with_spans(gone).groupBy("_k1", "_k2", "_s").agg(F.min("at").alias("at"), F.sum("lines").cast("int").alias("lines"), F.sum("words").alias("words")).filter(F.col("words") >= least_words)
     cuts = spans.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("cuts"), F.sum("lines").alias("n"), F.sum("words").alias("w"))
     cuts = stored(cuts, "line-cuts")
-    rows = _keyed(docs, text).join(cuts, ["_k1", "_k2"], "left")
+    rows = _keyed(docs, text).join(cuts.hint("merge"), ["_k1", "_k2"], "left")
     lines = _lines(F.col(text))
     end = lambda c: c["at"] + c["lines"]
     last = F.size("cuts")
