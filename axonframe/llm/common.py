@@ -62,28 +62,29 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Every partition first reduces its edges to a spanning forest with union-find, so that copies of a
     link and cycles inside a partition go before any shuffle. Then large-star and small-star rounds hang
-    every node on the smallest one it knows, until a round changes nothing. Only aggregates and joins on
+    every node on the smallest one it knows, until all components are stars. Only aggregates and joins on
     the node are used; the hub of a large component has one row per member, which a skewed join splits.
     """
-    edges = stored(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).filter("u <> v").mapInPandas(_forest, "u bigint, v bigint"), name)
-    seen = None
-    while True:
+    forest = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).filter("u <> v").mapInPandas(_forest, "u bigint, v bigint")
+    edges = stored(forest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        step = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = stored(step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        new = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         discard(edges)
         edges = new
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    labels = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return labels.unionByName(roots.join(labels, "node", "left_anti"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Every node hangs on one smaller node, which itself hangs on none."""
+    if not edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def _forest(batches):
