@@ -206,10 +206,12 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: int =
     pivots = members.join(company, "rep").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("neg"), "n")).alias("x"))
     star = members.join(pivots.select("bucket", (-F.col("x.neg")).alias("a"), F.col("x.n").alias("na")), "bucket")
     pairs = star.filter((F.col("a") != F.col("rep")) & _close(F.col("na"), F.col("n"), percent)).select("a", F.col("rep").alias("b")).distinct()
-    links = stored(_verify(pairs, texts, percent, width), "near-links")
+    # the texts move once, to the members of buckets; all later joins are on those few
+    bodies = stored(texts.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "near-texts")
+    links = stored(_verify(pairs, bodies, percent, width), "near-links")
     groups = components(links.toDF("u", "v"))
-    more = stored(_verify(_rest(members, groups, texts, percent, width), texts, percent, width), "near-more")
-    final = components(links.unionByName(more).toDF("u", "v"))
+    more = stored(_verify(_rest(members, groups, bodies, percent, width), bodies, percent, width), "near-more")
+    final = groups if more.isEmpty() else components(links.unionByName(more).toDF("u", "v"))
     of_rep = _grouped(reps.select("key", "rep"), final).select("key", "component")
     # rows that repeat an id with other texts join their classes through it
     out = sigs.join(of_rep, "key", "left")

@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows that repeat an id are one document; only they are compared as whole rows
     again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     again = stored(again, "pipeline-repeated-ids")
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size
     once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
     return once.unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
