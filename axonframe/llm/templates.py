@@ -2,8 +2,11 @@
 
 Words are lower-cased and stripped of punctuation; numbers, units after numbers and names (capitals
 inside a sentence) become typed placeholders, and their values slots. Documents and benchmark items meet
-in an equi-join on the hashes of template windows. A re-parameterised copy has the same templates, and
-one value per slot: where an item uses a value twice, the copy must use one value twice as well.
+in an equi-join on the hashes of windows, in two readings. The literal one knows no placeholders, so a
+verbatim copy is found whatever stands before it and in any letter case. The template one finds
+re-parameterised copies: they have the same templates, and one value per slot. Where an item uses a value
+twice, the copy must use one value twice as well. A window with hardly a word is hashed together with the
+nearest words of its text. A line break ends a sentence in one reading of a document and not in another.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from axonframe.llm.common import stored
 
 WINDOW = 8
 SHORTEST = 3  # items with fewer words are not searched for
+LITERALS = 2  # words (not placeholders) in a template's hash; windows with fewer are widened to reach so many
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
 BITMAP_BITS = 1 << 22  # fixed size of the filter that is sent to the tasks (512 KiB)
 _BUCKET = 1 << 15  # bits in a bucket of Spark's bitmap aggregates
@@ -48,39 +52,98 @@ class Canon:
         self.facts[word] = out = (xxhash.xxh3_64_intdigest(low), kind)
         return out
 
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bare word hashes, kind bits, begins a line) of a text."""
+        get, fact = self.facts.get, self.fact
+        pairs, starts = [], []
+        for line in text.splitlines():
+            starts.append(len(pairs))
+            pairs += [get(w) or fact(w) for w in line.split()]
+        first = np.zeros(len(pairs) + 1, bool)
+        first[starts] = True
+        return np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int8), first[:-1]
+
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(canonical token hashes, bare word hashes, is a slot) of a text."""
-        get, fact = self.facts.get, self.fact
-        pairs = [get(w) or fact(w) for w in text.split()]
-        if not pairs:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
-        bare = np.array([p[0] for p in pairs], np.uint64)
-        kind = np.array([p[1] for p in pairs], np.int8)
-        number = (kind & 1) > 0
-        unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])
-        name = ((kind & 4) > 0) & np.concatenate([[False], (kind[:-1] & 8) == 0]) & ~number & ~unit
-        canon = np.where(number, np.uint64(1), np.where(unit, np.uint64(2), np.where(name, np.uint64(3), bare)))
-        return canon, bare, number | unit | name
+        return template(*self.words(text))[:3]
+
+
+def template(bare: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical token hashes, bare word hashes, is a slot, may be a name) of words; ``first``: begins a line."""
+    if not len(bare):
+        return bare, bare, np.empty(0, bool), np.empty(0, bool)
+    number = (kind & 1) > 0
+    unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])
+    capital = ((kind & 4) > 0) & ~number & ~unit
+    name = capital & np.concatenate([[False], (kind[:-1] & 8) == 0]) & ~first
+    canon = np.where(number, np.uint64(1), np.where(unit, np.uint64(2), np.where(name, np.uint64(3), bare)))
+    return canon, bare, number | unit | name, capital
+
+
+class Sums:
+    """Hashes of any stretch of a token sequence, from running sums of a polynomial."""
 
+    up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-def window_hashes(canon: np.ndarray, width: int) -> np.ndarray:
-    n = len(canon) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(width))
-    for i in range(width):
-        out = out * np.uint64(_P) + canon[i : i + n]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens) + 1
+        if n > len(Sums.up):
+            powers = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, np.uint64(base)))])
+            Sums.up, Sums.down = powers(_P), powers(pow(_P, -1, 1 << 64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * Sums.down[: n - 1])])
 
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[begin]) * Sums.up[begin]
 
-def _open_windows(slot: np.ndarray, width: int) -> np.ndarray:
-    """Windows in which at least half of the tokens are words, not placeholders."""
-    run = np.concatenate([[0], np.cumsum(slot)])
-    return 2 * (run[width:] - run[:-width]) <= width
 
+def _mixed(h: np.ndarray, width: int, length: np.ndarray, family: int) -> np.ndarray:
+    h = h * np.uint64(_P) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(width << 8 | family)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-_ITEM = "item_id bigint, at int, h bigint, slots array<bigint>, width int, n_windows int"
+
+def literal_windows(bare: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of every window of words."""
+    at = np.arange(max(len(bare) - width + 1, 0))
+    return at, _mixed(Sums(bare).of(at, at + width), width, np.full(len(at), width), 0)
+
+
+def template_windows(canon: np.ndarray, slot: np.ndarray, capital: np.ndarray, width: int, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first token whose value counts) of every template window.
+
+    A window with fewer than ``LITERALS`` words is widened to the left until it has them, or else to the
+    right; ``both`` gives the two where they exist (a document does not know where an item begins). A
+    window that begins with a capital is also hashed as beginning with any capital, whose value is left out.
+    """
+    at = np.arange(max(len(canon) - width + 1, 0))
+    if not len(at):
+        return at, np.empty(0, np.uint64), at
+    sums, word = Sums(canon), np.flatnonzero(~slot)
+    after, before = np.searchsorted(word, at), np.searchsorted(word, at + width)
+    thin = before - after < LITERALS
+    left, right = thin & (before >= LITERALS), thin & (after + LITERALS <= len(word))
+    if not both:
+        right &= ~left
+    begin_left = word[before[left] - LITERALS] if left.any() else at[:0]
+    end_right = word[after[right] + LITERALS - 1] + 1 if right.any() else at[:0]
+    any_first = capital[at] & (before - np.searchsorted(word, at + 1) >= LITERALS)
+    wide, a = ~thin, at[any_first]
+    parts = [
+        (at[wide], at[wide], at[wide] + width, 1, at[wide]),
+        (at[left], begin_left, at[left] + width, 2, at[left]),
+        (at[right], at[right], end_right, 3, at[right]),
+    ]
+    places = [p[0] for p in parts] + [a]
+    hashes = [_mixed(sums.of(b, e), width, e - b, f) for _, b, e, f, _ in parts]
+    hashes.append(_mixed(sums.of(a, a + width) - canon[a], width, np.full(len(a), width), 4))
+    return np.concatenate(places), np.concatenate(hashes), np.concatenate([p[4] for p in parts] + [a + 1])
+
+
+def _slots(bare: np.ndarray, slot: np.ndarray, begin: int, end: int) -> list[int]:
+    return bare[begin:end][slot[begin:end]].view(np.int64).tolist()
+
+
+_ITEM = "item_id bigint, reading int, at int, h bigint, slots array<bigint>, width int, n_windows int"
 
 
 def _item_windows(window: int, shortest: int):
@@ -89,20 +152,25 @@ def _item_windows(window: int, shortest: int):
         for pdf in batches:
             rows = []
             for i, t in zip(pdf["item_id"], pdf["text"]):
-                c, bare, slot = canon.tokens(t if isinstance(t, str) else "")
+                words = canon.words(t if isinstance(t, str) else "")
+                width = min(window, len(words[0]))
+                if width < shortest:
+                    continue
+                at, h = literal_windows(words[0], width)
+                rows += [(int(i), 0, a, x, [], width, len(at)) for a, x in zip(at.tolist(), h.view(np.int64).tolist())]
+                c, bare, slot, capital = template(*words)
                 width = min(window, len(c))
                 if width < shortest:
                     continue
-                h, ok = window_hashes(c, width).view(np.int64), _open_windows(slot, width)
-                for at in np.flatnonzero(ok):
-                    s = slice(at, at + width)
-                    rows.append((int(i), int(at), int(h[at]), bare[s][slot[s]].view(np.int64).tolist(), width, int(ok.sum())))
-            yield pd.DataFrame(rows, columns=["item_id", "at", "h", "slots", "width", "n_windows"])
+                at, h, begin = template_windows(c, slot, capital, width, both=False)
+                n = len(np.unique(at))
+                rows += [(int(i), 1, a, x, _slots(bare, slot, b, a + width), width, n) for a, x, b in zip(at.tolist(), h.view(np.int64).tolist(), begin.tolist())]
+            yield pd.DataFrame(rows, columns=["item_id", "reading", "at", "h", "slots", "width", "n_windows"])
 
     return run
 
 
-_DOC = "doc_id bigint, row string, at int, h bigint, slots array<bigint>"
+_DOC = "doc_id bigint, row string, reading int, at int, h bigint, slots array<bigint>"
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -115,30 +183,35 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def _doc_windows(widths: list[int], bitmap: bytes):
     def run(batches):
         canon, bits = Canon(), np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+        known = lambda h: np.flatnonzero(bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
         for pdf in batches:
             out = []
             for d, key, t in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist()):
                 text = t if isinstance(t, str) else ""
                 d = None if d is None else int(d)
-                out.append((d, key, None, None, None))
-                c, bare, slot = canon.tokens(text)
+                out.append((d, key, None, None, None, None))
+                words = canon.words(text)
                 for width in widths:
-                    h = window_hashes(c, width)
-                    if not len(h):
-                        continue
-                    hit = bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] & _open_windows(slot, width)
-                    for at in np.flatnonzero(hit):
-                        s = slice(at, at + width)
-                        out.append((d, key, int(at), int(h[at].view(np.int64)), bare[s][slot[s]].view(np.int64).tolist()))
+                    at, h = literal_windows(words[0], width)
+                    out += [(d, key, 0, int(at[k]), int(h[k].view(np.int64)), []) for k in known(h)]
+                # a line break ends a sentence in reading 1, and is a blank in reading 2
+                plain = np.zeros(len(words[2]), bool)
+                readings = [template(*words), template(*words[:2], plain)]
+                if (readings[0][2] == readings[1][2]).all():
+                    readings.pop()
+                for number, (c, bare, slot, capital) in enumerate(readings, 1):
+                    for width in widths:
+                        at, h, begin = template_windows(c, slot, capital, width, both=True)
+                        out += [(d, key, number, int(at[k]), int(h[k].view(np.int64)), _slots(bare, slot, begin[k], at[k] + width)) for k in known(h)]
             # nullable integers: floats would round the hashes
             whole = lambda i: pd.array([r[i] for r in out], dtype="Int64")  # noqa: B023, E731
-            yield pd.DataFrame({"doc_id": whole(0), "row": [r[1] for r in out], "at": whole(2), "h": whole(3), "slots": [r[4] for r in out]})
+            yield pd.DataFrame({"doc_id": whole(0), "row": [r[1] for r in out], "reading": whole(2), "at": whole(3), "h": whole(4), "slots": [r[5] for r in out]})
 
     return run
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """Template windows of the items; an item shorter than ``window`` words is one window."""
+    """Literal (reading 0) and template windows (1) of the items; an item shorter than ``window`` is one window."""
     return benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInPandas(_item_windows(window, shortest), _ITEM)
 
 
@@ -157,7 +230,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     An item is found in a document if at least ``coverage`` of its windows stand there in the item's own
     order and distance, and no item value stands for two document values. ``item_id`` is the best
-    covered one (smallest id of equal ones), ``exact`` tells a literal copy from a re-parameterised one.
+    covered one (smallest id of equal ones), ``exact`` tells a literal copy from a re-parameterised one:
+    the literal reading covers as much of the item as any template reading.
     ``kept`` is false for documents with an item. NULL and empty texts hold no item; rows equal in id and
     text are judged once and returned as often as they come. Empty tables give empty or clean results.
     """
@@ -167,16 +241,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     body = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
     found = stored(body.mapInPandas(_doc_windows(widths, bitmap_of(items)), _DOC), "bench-hits")
     rows = found.filter("at IS NULL").select("doc_id", "row")
-    hits = found.filter("at IS NOT NULL").select("row", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots")).distinct()
-    met = hits.join(items, "h").withColumn("shift", F.col("d_at") - F.col("at"))
+    hits = found.filter("at IS NOT NULL").select("row", "reading", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots")).distinct()
+    met = hits.join(items.drop("reading"), "h").withColumn("shift", F.col("d_at") - F.col("at"))
     pairs = F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d"))
-    lined = met.select("row", "item_id", "shift", "at", "n_windows", pairs.alias("p")).groupBy("row", "item_id", "shift").agg(
+    lined = met.select("row", "reading", "item_id", "shift", "at", "n_windows", pairs.alias("p")).groupBy("row", "reading", "item_id", "shift").agg(
         F.count_distinct("at").alias("k"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("p"))).alias("p")
     )
     values = F.transform("p", lambda x: x["i"])
     sound = F.size("p") == F.size(F.array_distinct(values))
-    same = F.forall("p", lambda x: x["i"] == x["d"])
-    good = lined.filter(sound).select("row", "item_id", (F.col("k") / F.col("n_windows")).alias("share"), same.alias("same")).filter(F.col("share") >= coverage)
+    good = lined.filter(sound).select("row", "item_id", (F.col("k") / F.col("n_windows")).alias("share"), (F.col("reading") == 0).alias("same")).filter(F.col("share") >= coverage)
     best = good.groupBy("row", "item_id").agg(F.max(F.struct("share", "same")).alias("b"))
     per_doc = best.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("b.share", (-F.col("item_id")).alias("neg"), "b.same")).alias("b"))
     out = rows.join(per_doc, "row", "left")

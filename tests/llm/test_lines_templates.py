@@ -101,3 +101,23 @@ def test_leaks(spark):
     assert not got[6].kept and got[6].item_id == 5 and got[7].kept and got[10].n_items == 2
     none = templates.contamination(df, spark.createDataFrame([], "item_id bigint, text string"))
     assert all(r.kept for r in none.collect()) and templates.contamination(df.limit(0), spark.createDataFrame(ITEMS, "item_id bigint, text string")).count() == 0
+
+
+def kept_by(spark, items, docs):
+    a = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {r.doc_id: r for r in templates.contamination(a, b).collect()}
+
+
+def test_leaks_of_slots_and_line_starts(spark):
+    numbers = "Sort these: 17 42 8 93 5 61 28 77 34 12"
+    names = "In May Alice Smith paid Bob Jones 40 dollars and Carol Brown paid Dan White 60 dollars in Paris"
+    short, bare = "What is the capital city of France today?", "4 8 15 16 23 42 99 7 1"
+    docs = [
+        f"some words {numbers} and more", f"he asks {names} again", f"he asks {short} and waits", f"A heading\n{short}\nmore", f"the row {bare} ends", f"HE ASKS {short.upper()} AGAIN",
+        "they said sort these: 1 2 3 4 5 6 7 8 9 10 now", "he asks What is the capital city of Spain today? and waits", "A heading\nWhat is the capital city of Spain today?",
+        "sort these: 1 2 3 by hand", "the row 1 2 3 4 5 6 7 8 9 ends", "In June we paid Bob 40 dollars", "What is the largest city of Spain today?",
+    ]
+    got = kept_by(spark, [numbers, names, short, bare], docs)
+    assert [got[i].item_id for i in range(9)] == [0, 1, 2, 2, 3, 2, 0, 2, 2]
+    assert [got[i].exact for i in range(9)] == [True] * 6 + [False] * 3 and all(got[i].kept for i in range(9, 13))
