@@ -5,7 +5,9 @@ inside a sentence) become typed placeholders, and their values slots. Documents
 in an equi-join on the hashes of windows, in two readings. The literal one knows no placeholders, so a
 verbatim copy is found whatever stands before it and in any letter case. The template one finds
 re-parameterised copies: they have the same templates, and one value per slot. Where an item uses a value
-twice, the copy must use one value twice as well. A window with hardly a word is hashed together with the
+twice, the copy must use one value twice as well. A run of names, and a number with its unit, is one
+placeholder whatever its number of words, and windows of an item add up while they follow each other in the
+item's order, also where words were put in or left out between them. A window with hardly a word is hashed together with the
 nearest words of its text. A line break ends a sentence in one reading of a document and not in another.
 """
 
@@ -24,6 +26,7 @@ WINDOW = 8
 SHORTEST = 3  # items with fewer words are not searched for
 LITERALS = 2  # words (not placeholders) in a template's hash; windows with fewer are widened to reach so many
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
+SLACK = 8  # words put in or left out between two windows of a copy that follow each other
 BITMAP_BITS = 1 << 22  # fixed size of the filter that is sent to the tasks (512 KiB)
 _BUCKET = 1 << 15  # bits in a bucket of Spark's bitmap aggregates
 
@@ -69,15 +72,24 @@ class Canon:
 
 
 def template(bare: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical token hashes, bare word hashes, is a slot, may be a name) of words; ``first``: begins a line."""
+    """(canonical token hashes, value hashes, is a slot, may be a name) of words; ``first``: begins a line.
+
+    A run of names is one token, as is a number with its unit; its value is that of the whole run.
+    """
     if not len(bare):
         return bare, bare, np.empty(0, bool), np.empty(0, bool)
     number = (kind & 1) > 0
     unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])
     capital = ((kind & 4) > 0) & ~number & ~unit
     name = capital & np.concatenate([[False], (kind[:-1] & 8) == 0]) & ~first
-    canon = np.where(number, np.uint64(1), np.where(unit, np.uint64(2), np.where(name, np.uint64(3), bare)))
-    return canon, bare, number | unit | name, capital
+    canon = np.where(number, np.uint64(1), np.where(name, np.uint64(3), bare))
+    joined = unit | (name & np.concatenate([[False], name[:-1]]))
+    begin = np.flatnonzero(~joined)
+    value = bare[begin]
+    for k in range(1, int(np.diff(np.append(begin, len(bare))).max())):
+        longer = np.flatnonzero(np.append(begin[1:], len(bare)) - begin > k)
+        value[longer] = value[longer] * np.uint64(_P) + bare[begin[longer] + k]
+    return canon[begin], value, (number | name)[begin], capital[begin]
 
 
 class Sums:
@@ -195,10 +207,10 @@ def _doc_windows(widths: list[int], bitmap: bytes):
                     at, h = literal_windows(words[0], width)
                     out += [(d, key, 0, int(at[k]), int(h[k].view(np.int64)), []) for k in known(h)]
                 # a line break ends a sentence in reading 1, and is a blank in reading 2
-                plain = np.zeros(len(words[2]), bool)
-                readings = [template(*words), template(*words[:2], plain)]
-                if (readings[0][2] == readings[1][2]).all():
-                    readings.pop()
+                _, kind, first = words
+                readings = [template(*words)]
+                if (first[1:] & ((kind[1:] & 4) > 0) & ((kind[:-1] & 8) == 0)).any():
+                    readings.append(template(*words[:2], np.zeros(len(first), bool)))
                 for number, (c, bare, slot, capital) in enumerate(readings, 1):
                     for width in widths:
                         at, h, begin = template_windows(c, slot, capital, width, both=True)
@@ -225,11 +237,88 @@ def bitmap_of(windows: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _chain(points: dict[int, list[int]], size: int) -> list[tuple[int, int]]:
+    """The longest chain of (document place, item place), rising in both.
+
+    Between neighbours the distance in the document differs by at most ``SLACK`` from that in the item.
+    """
+    length, last, node = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
+    places, nodes, best = np.arange(size), [], (0, -1)
+    for d in sorted(points):
+        new = []
+        for a in points[d]:
+            lag = d - last[:a]
+            fits = (length[:a] > 0) & (np.abs(lag - (a - places[:a])) <= SLACK)
+            k = int(np.argmax(np.where(fits, length[:a], 0))) if a else 0
+            n, before = (int(length[k]) + 1, int(node[k])) if a and fits[k] else (1, -1)
+            new.append((a, n, len(nodes)))
+            nodes.append((d, a, before))
+            best = max(best, (n, len(nodes) - 1))
+        for a, n, i in new:
+            if n >= length[a] or d - last[a] > size + SLACK:
+                length[a], last[a], node[a] = n, d, i
+    out, i = [], best[1]
+    while i >= 0:
+        d, a, i = nodes[i]
+        out.append((d, a))
+    return out
+
+
+def covered(met, n_windows: int, coverage: float) -> float:
+    """Share of an item's windows in the longest sound chain of a document; 0 below ``coverage``.
+
+    ``met``: per hash, its places in the document and in the item, with slots. A chain is sound if no item
+    value stands for two document values. One that is not is set aside as a whole, and the rest searched
+    on; every single shift is tried as well.
+    """
+    pairs: dict[tuple[int, int], set] = {}
+    for x in met:
+        for hit in x["hits"]:
+            for place in x["places"]:
+                pairs.setdefault((int(hit["d_at"]), int(place["at"])), set()).update(zip(map(int, place["slots"]), map(int, hit["d_slots"])))
+
+    def sound(chain):
+        both = set().union(*(pairs[p] for p in chain))
+        return len(both) == len({i for i, _ in both})
+
+    share = lambda n: n / n_windows if n / n_windows >= coverage else 0.0
+    size, left, best = 1 + max(a for _, a in pairs), set(pairs), 0
+    while len({a for _, a in left}) > best and share(len(left)):
+        points: dict[int, list[int]] = {}
+        for d, a in left:
+            points.setdefault(d, []).append(a)
+        chain = _chain(points, size)
+        if len(chain) <= best or not share(len(chain)):
+            break
+        if sound(chain):
+            best = len(chain)
+            break
+        left -= set(chain)
+    shifts: dict[int, list] = {}
+    for d, a in pairs:
+        shifts.setdefault(d - a, []).append((d, a))
+    best = max([best, *(len(c) for c in shifts.values() if len(c) > best and share(len(c)) and sound(c))])
+    return share(best) if best else 0.0
+
+
+def _chained(coverage: float):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row, reading, item, n, met in zip(pdf["row"], pdf["reading"], pdf["item_id"], pdf["n_windows"], pdf["met"]):
+                share = covered(met, int(n), coverage)
+                if share:
+                    rows.append((row, item, share, bool(reading == 0)))
+            yield pd.DataFrame(rows, columns=["row", "item_id", "share", "same"])
+
+    return run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, n_items, item_id, coverage, exact, kept, row: its key) per row of ``docs`` (doc_id, text).
 
     An item is found in a document if at least ``coverage`` of its windows stand there in the item's own
-    order and distance, and no item value stands for two document values. ``item_id`` is the best
+    order, at its distances up to ``SLACK`` words, and no item value stands for two document values. ``item_id`` is the best
     covered one (smallest id of equal ones), ``exact`` tells a literal copy from a re-parameterised one:
     the literal reading covers as much of the item as any template reading.
     ``kept`` is false for documents with an item. NULL and empty texts hold no item; rows equal in id and
@@ -242,14 +331,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     found = stored(body.mapInPandas(_doc_windows(widths, bitmap_of(items)), _DOC), "bench-hits")
     rows = found.filter("at IS NULL").select("doc_id", "row")
     hits = found.filter("at IS NOT NULL").select("row", "reading", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots")).distinct()
-    met = hits.join(items.drop("reading"), "h").withColumn("shift", F.col("d_at") - F.col("at"))
-    pairs = F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d"))
-    lined = met.select("row", "reading", "item_id", "shift", "at", "n_windows", pairs.alias("p")).groupBy("row", "reading", "item_id", "shift").agg(
-        F.count_distinct("at").alias("k"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("p"))).alias("p")
+    # a row per item and hash, so that an item of repeated windows does not multiply the hits
+    places = items.groupBy("item_id", "h").agg(F.collect_list(F.struct("at", "slots")).alias("places"), F.first("n_windows").alias("n_windows"))
+    met = hits.join(places, "h").groupBy("row", "reading", "item_id", "h").agg(
+        F.collect_list(F.struct("d_at", "d_slots")).alias("hits"), F.first("places").alias("places"), F.first("n_windows").alias("n_windows")
     )
-    values = F.transform("p", lambda x: x["i"])
-    sound = F.size("p") == F.size(F.array_distinct(values))
-    good = lined.filter(sound).select("row", "item_id", (F.col("k") / F.col("n_windows")).alias("share"), (F.col("reading") == 0).alias("same")).filter(F.col("share") >= coverage)
+    met = met.groupBy("row", "reading", "item_id").agg(F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("hits", "places")).alias("met"))
+    # no chain has more windows than the item has places with these hashes
+    met = met.filter(F.aggregate("met", F.lit(0), lambda n, x: n + F.size(x["places"])) >= coverage * F.col("n_windows"))
+    good = met.mapInPandas(_chained(coverage), "row string, item_id bigint, share double, same boolean")
     best = good.groupBy("row", "item_id").agg(F.max(F.struct("share", "same")).alias("b"))
     per_doc = best.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("b.share", (-F.col("item_id")).alias("neg"), "b.same")).alias("b"))
     out = rows.join(per_doc, "row", "left")

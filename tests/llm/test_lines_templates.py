@@ -121,3 +121,25 @@ def test_leaks_of_slots_and_line_starts(spark):
     got = kept_by(spark, [numbers, names, short, bare], docs)
     assert [got[i].item_id for i in range(9)] == [0, 1, 2, 2, 3, 2, 0, 2, 2]
     assert [got[i].exact for i in range(9)] == [True] * 6 + [False] * 3 and all(got[i].kept for i in range(9, 13))
+
+
+def test_leaks_with_values_of_other_lengths(spark):
+    item = ITEMS[0][1]
+    other = lambda city, load: item.replace("Boston", city).replace("40 kg", load)
+    inserted = item.replace("each car", "each old black car")  # 6 windows of words before and 5 after, of 18
+    docs = [
+        other("New York", "40 kg"), other("New York", "40kg"), other("Rio de Janeiro", "40 kg").replace("de", "De"), other("Boston", "9 kg"), other("Los Angeles", "7lb"),
+        inserted, item.replace("Boston", "New York", 1).replace("In Boston", "In Los Angeles"), other("New York", "40 kg").replace("12 drivers", "13 drivers"),
+        " ".join(reversed(item.split())), item.upper(), other("New York", "40 kg").replace("12 cars and 12 drivers", "12 cars and 13 drivers") + " " + other("San Marino", "3 kg"),
+        "said Bob\n" + other("New\nYork", "3 kg"),
+    ]
+    got = kept_by(spark, [item], docs)
+    assert sorted(i for i in got if got[i].kept) == [6, 7, 8]
+    assert all(got[i].coverage == 1.0 for i in (0, 1, 2, 3, 4, 9, 10, 11)) and not got[0].exact and got[9].exact
+    assert got[5].coverage == 11 / 18
+
+
+def test_a_hot_item_and_document():
+    place = [{"at": a, "slots": []} for a in range(43)]
+    met = [{"hits": [{"d_at": d, "d_slots": []} for d in range(2000)], "places": place}]
+    assert templates.covered(met, 43, 0.5) == 1.0
