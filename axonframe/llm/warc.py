@@ -19,6 +19,7 @@ LEAST_REVISIT = 1000  # payloads below this many bytes are stored every time
 ARCHIVE_BYTES = 4 << 20  # an archive is closed once it holds so many bytes
 MAX_HEAD = 1 << 16  # a longer header block is damage
 GZIP = b"\x1f\x8b\x08"
+_PIECE = 1 << 14  # bytes of a member that are inflated at once
 _NEEDED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 _DATE = b"2024-01-01T00:00:00Z"  # fixed, so that reruns write the same bytes
 
@@ -152,46 +153,61 @@ def _plain(data: bytes, base: int):
 
 
 def _inflate(data: bytes, at: int):
-    """(bytes of the gzip member at ``at``, its end), or (None, reason)."""
-    if data[at : at + 3] != GZIP:
-        return None, "no gzip member"
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None, "gzip member is damaged"
-    if not d.eof:
-        return None, "gzip member is cut off"
-    return out, len(data) - len(d.unused_data)
+    """(bytes, end, None) of the gzip member at ``at``; of a broken one (the bytes before the break, None, reason)."""
+    d, out, view = zlib.decompressobj(31), [], memoryview(data)
+    for i in range(at, len(data), _PIECE):
+        before = d.copy()
+        try:
+            out.append(d.decompress(view[i : i + _PIECE]))
+        except zlib.error:
+            # the piece again byte by byte, as far as it goes
+            try:
+                for k in range(i, min(i + _PIECE, len(data))):
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None, "gzip member is damaged"
+        if d.eof:
+            return b"".join(out), min(i + _PIECE, len(data)) - len(d.unused_data), None
+    return b"".join(out), None, "gzip member is cut off"
 
 
 def salvage(data: bytes):
     """("record", (offset, fields, block)) and ("gap", (start, end, reason)) of an archive, in order.
 
-    Gzip archives are read member by member. After a failed check the reader looks for the next member
-    (or version line in plain archives) that is valid and goes on there; what it skips is a gap.
+    What stands at a place decides how it is read: a gzip member or a plain record. After a failed check
+    the reader looks for the next member or version line that is valid and goes on there; what it skips is
+    a gap. Of a broken member of several records, those before the break are given, and the member is a gap.
     """
-    if not data:
-        return
-    if GZIP not in data[:3] and data.find(b"WARC/1.") >= 0 and data.find(GZIP) < 0:
-        yield from _plain(data, 0)
-        return
-    at, bad, reason = 0, None, ""
+    at, bad, reason, marks = 0, None, "", dict.fromkeys((GZIP, b"WARC/1."), -1)
     while at < len(data):
-        out, end = _inflate(data, at)
-        found = list(_plain(out, 0)) if out is not None else []
-        if any(kind == "record" for kind, _ in found):
-            if bad is not None:
-                yield "gap", (bad, at, reason)
-                bad = None
-            for kind, x in found:
-                yield (kind, (at, *x[1:])) if kind == "record" else ("gap", (at, end, x[2]))
+        zipped = data[at : at + 3] == GZIP
+        if zipped:
+            out, end, why = _inflate(data, at)
+            found = list(_plain(out, 0))
+            if end is None:
+                # without its checksum the last record is not known to be whole, unless more follows
+                found = [x for x in found if x[0] == "record"] if len(found) > 1 else []
+            some = any(kind == "record" for kind, _ in found)
+            why = why or (None if some else "member holds no record")
+            rows = [(kind, (at, *x[1:])) if kind == "record" else ("gap", (at, end, x[2])) for kind, x in found] if some else []
+        else:
+            got, why = _parse(data, at)
+            rows, end = ([("record", (at, got[0], got[1]))], got[2]) if got else ([], None)
+        if rows and bad is not None:
+            yield "gap", (bad, at, reason)
+            bad = None
+        yield from rows
+        if not why:
             at = end
             continue
+        for mark, place in marks.items():
+            if place <= at:
+                place = data.find(mark, at + 1)
+                marks[mark] = len(data) if place < 0 else place
         if bad is None:
-            bad, reason = at, end if out is None else "member holds no record"
-        nxt = data.find(GZIP, at + 1)
-        at = len(data) if nxt < 0 else nxt
+            bad, reason = at, why if zipped or marks[b"WARC/1."] < len(data) or data[at : at + 7] == b"WARC/1." else "no gzip member"
+        at = min(marks.values())
     if bad is not None:
         yield "gap", (bad, len(data), reason)
 

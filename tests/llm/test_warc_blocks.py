@@ -59,6 +59,25 @@ def test_odd_archives():
     assert list(warc.salvage(lone))[0][0] == "record"
 
 
+def test_gzip_bodies_and_members_of_many_records():
+    rnd = random.Random(9)
+    recs = [warc.record_bytes(i, f"http://h/{i}", gzip.compress(rnd.randbytes(3000)) if i % 3 else rnd.randbytes(900)) for i in range(60)]
+    plain = b"".join(recs)
+    assert read(plain) == (list(range(60)), [])
+    hurt = bytearray(plain)
+    at = sum(map(len, recs[:7])) + len(recs[7]) - 99
+    hurt[at] ^= 0x55
+    ids, gaps = read(bytes(hurt))
+    assert ids == [i for i in range(60) if i != 7] and gaps[0][0] == sum(map(len, recs[:7])) and gaps[-1][1] == sum(map(len, recs[:8]))
+    one = gzip.compress(plain)
+    assert read(one)[0] == list(range(60)) and read(recs[0] + warc._member(recs[1]) + recs[2]) == ([0, 1, 2], [])
+    cut = one[: len(one) // 2]
+    ids, gaps = read(cut)
+    assert len(ids) > 20 and ids == list(range(len(ids))) and gaps == [(0, len(cut), "gzip member is cut off")]
+    ids, gaps = read(cut + b"\xff" * 50 + warc._member(recs[59]))
+    assert len(ids) > 20 and ids[-1] == 59 and ids[:-1] == list(range(len(ids) - 1)) and gaps[0][0] == 0
+
+
 def test_round_trip(spark):
     big = "<p>same</p>" * 200
     rows = [(1, "http://a", big, 1), (5, "http://b", big, 1), (5, "http://b", big, 1), (3, None, big, 1), (None, "http://n", big, 1), (7, "http://s", "tiny", 1), (8, "http://s", "tiny", 1), (9, "x y\r\nz", None, 1), (2**60 + 1, "u", "é" * 9000, 1)]
