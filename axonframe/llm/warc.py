@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1\r\n"
 LEAST_REVISIT = 1000  # payloads below this many bytes are stored every time
 ARCHIVE_BYTES = 4 << 20  # an archive is closed once it holds so many bytes
-MAX_HEAD = 1 << 16  # a longer header block is damage
 GZIP = b"\x1f\x8b\x08"
 _PIECE = 1 << 14  # bytes of a member that are inflated at once
 _NEEDED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
@@ -106,7 +105,9 @@ def _parse(data: bytes, at: int):
     m = re.compile(rb"WARC/1\.\d\r?\n").match(data, at)
     if not m:
         return None, "no version line"
-    stop = data.find(b"\r\n\r\n", m.end(), m.end() + MAX_HEAD)
+    # a header of any length, but none goes on after the next version line
+    limit = data.find(b"\nWARC/1.", m.end())
+    stop = data.find(b"\r\n\r\n", m.end(), len(data) if limit < 0 else limit + 1)
     if stop < 0:
         return None, "header does not end"
     fields = {}

@@ -78,6 +78,17 @@ def test_gzip_bodies_and_members_of_many_records():
     assert len(ids) > 20 and ids[-1] == 59 and ids[:-1] == list(range(len(ids) - 1)) and gaps[0][0] == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_urls_of_any_length(compress):
+    urls = ["http://h/" + " " * 30_000, "http://h/" + "x" * 200_000, "http://h/WARC/1.1", None]
+    recs = [warc.record_bytes(i, u, b"payload") for i, u in enumerate(urls)]
+    data = b"".join(warc._member(r) if compress else r for r in recs)
+    assert read(data) == (list(range(4)), [])
+    inner = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Date: x\r\nContent-Length: 10\r\n\r\nWARC/1.1\r\n\r\n\r\n"
+    assert read(inner) == ([7], [])
+    assert [len(f[b"warc-target-uri"]) for _, (_, f, _) in warc.salvage(data)] == [90_009, 200_009, 17, 0]
+
+
 def test_round_trip(spark):
     big = "<p>same</p>" * 200
     rows = [(1, "http://a", big, 1), (5, "http://b", big, 1), (5, "http://b", big, 1), (3, None, big, 1), (None, "http://n", big, 1), (7, "http://s", "tiny", 1), (8, "http://s", "tiny", 1), (9, "x y\r\nz", None, 1), (2**60 + 1, "u", "é" * 9000, 1)]
