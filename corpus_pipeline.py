@@ -31,12 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay."""
     groups = stored(near.near_groups(docs.select("doc_id", "text"), percent=PERCENT, bands=BANDS), "pipeline-groups")
     dropped = groups.filter("NOT kept").select("doc_id").distinct()
-    # rows that repeat an id are one document; only they are compared as whole rows
+    # rows that repeat an id are compared by id and text; different texts all stay
     again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     again = stored(again, "pipeline-repeated-ids")
     left = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size
     once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

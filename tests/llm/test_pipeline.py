@@ -146,3 +146,10 @@ def test_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([], COLUMNS)
     for _, stage in pipeline.STAGES:
         assert stage(spark, df, str(tmp_path)).count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "x", "s", 1, 1), (1, text(2), "x", "s", 1, 1), (1, text(1), "x", "s", 1, 1), (2, text(3), "x", "s", 1, 1)]
+    out = pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, text(1)), (1, text(2)), (2, text(3))]
