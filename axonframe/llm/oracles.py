@@ -139,7 +139,13 @@ SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN last IS NULL OR page_
 FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest
 """
 
+OP13 = """
+WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS h, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER best = 1 AS kept, h AS text_sha256
+FROM n WINDOW best AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
 ORACLE = {
     "op1_link_trust": OP1, "op2_superminhash": OP2, "op3_sainte_lague_mix": OP3, "op4_chat_round_trip": OP4, "op5_block_labeller": OP5,
-    "op6_rule_ledger": OP6, "op9_warc_salvage": OP9,
+    "op6_rule_ledger": OP6, "op9_warc_salvage": OP9, "op13_salted_exact": OP13,
 }
