@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonframe.llm import blocks, chat, exact, lines, mixing, near, quality, shards, templates, urls, warc
+from axonframe.llm import align, blocks, chat, exact, lines, mixing, near, quality, shards, templates, urls, warc
 from axonframe.llm.common import stored
 from axonframe.llm.oracles import ORACLE
 
@@ -78,6 +78,11 @@ def op10_differencing_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_interval_coalescing(spark: SparkSession, sf: str) -> DataFrame:
+    out = align.align(_table(spark, sf, "documents").select("doc_id", "text"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_salted_exact(spark: SparkSession, sf: str) -> DataFrame:
     groups = exact.exact_groups(_table(spark, sf, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -87,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_link_trust, op2_superminhash, op3_sainte_lague_mix, op4_chat_round_trip, op5_block_labeller, op6_rule_ledger, op7_line_chunks,
-        op8_template_leaks, op9_warc_salvage, op10_differencing_shards, op13_salted_exact,
+        op8_template_leaks, op9_warc_salvage, op10_differencing_shards, op12_interval_coalescing, op13_salted_exact,
     )
 }
 
