@@ -139,6 +139,18 @@ SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN last IS NULL OR page_
 FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest
 """
 
+OP11 = """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, positive_id, row_number() OVER best AS rank, s.b AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW best AS (PARTITION BY p.a, positive_id ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER best <= 10
+"""
+
 OP13 = """
 WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS h, length(coalesce(text, '')) AS n FROM documents)
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER best = 1 AS kept, h AS text_sha256
@@ -147,5 +159,5 @@ FROM n WINDOW best AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)
 
 ORACLE = {
     "op1_link_trust": OP1, "op2_superminhash": OP2, "op3_sainte_lague_mix": OP3, "op4_chat_round_trip": OP4, "op5_block_labeller": OP5,
-    "op6_rule_ledger": OP6, "op9_warc_salvage": OP9, "op13_salted_exact": OP13,
+    "op6_rule_ledger": OP6, "op9_warc_salvage": OP9, "op11_gnat_negatives": OP11, "op13_salted_exact": OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonframe.llm import align, blocks, chat, exact, lines, mixing, near, quality, shards, templates, urls, warc
+from axonframe.llm import align, blocks, chat, exact, gnat, lines, mixing, near, quality, shards, templates, urls, warc
 from axonframe.llm.common import stored
 from axonframe.llm.oracles import ORACLE
 
@@ -78,6 +78,13 @@ def op10_differencing_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_gnat_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = gnat.prepared(_table(spark, sf, "embeddings"))
+    # every seventh row changes its label, so that labels and clusters disagree
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return gnat.hard_negatives(rows)
+
+
 def op12_interval_coalescing(spark: SparkSession, sf: str) -> DataFrame:
     out = align.align(_table(spark, sf, "documents").select("doc_id", "text"), digest=True)
     return out.withColumnRenamed("groups", "groups_sha256")
@@ -92,7 +99,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_link_trust, op2_superminhash, op3_sainte_lague_mix, op4_chat_round_trip, op5_block_labeller, op6_rule_ledger, op7_line_chunks,
-        op8_template_leaks, op9_warc_salvage, op10_differencing_shards, op12_interval_coalescing, op13_salted_exact,
+        op8_template_leaks, op9_warc_salvage, op10_differencing_shards, op11_gnat_negatives, op12_interval_coalescing, op13_salted_exact,
     )
 }
 
