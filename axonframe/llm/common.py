@@ -13,6 +13,7 @@ from axonframe.session import ensure_checkpoint_dir
 # White space is space and the controls 09-0D; a word is a run of anything else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+FOREST = 1 << 20  # nodes a task remembers while it thins out edges
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -102,6 +103,8 @@ def _forest(batches):
 
     for pdf in batches:
         u_out, v_out = [], []
+        if len(parent) > FOREST:
+            parent.clear()  # later edges start a new forest: more of them stay, none is lost
         for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
             a, b = find(u), find(v)
             if a != b:

@@ -15,14 +15,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import components, stored
+from axonframe.llm.common import components, n_tasks, stored
 
 BANDS, ROWS = 28, 5  # a pair at similarity 0.85 misses every band with probability 7e-8
 BATCH_SHINGLES = 40_000
+PARTNERS = 512  # texts that one copy of a pivot is compared with
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POLY = 0xD6E8FEB86659FD93
 
@@ -93,55 +94,75 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(out).view(np.int64)
 
 
+_SIGNED = "row bigint, doc_id bigint, text_md5 binary, n bigint, key binary, bands array<bigint>"
+_EMPTY = np.empty(0, np.int64)
+
+
 def _describe(bands: int, rows: int, width: int):
-    def flush(ids, sets):
+    names = [c.split()[0] for c in _SIGNED.split(", ")]
+
+    def flush(head, sets):
         import xxhash
 
         full = [i for i, s in enumerate(sets) if len(s)]
-        hashes = [[] for _ in sets]
+        hashes = np.empty((0, bands), np.int64)
         if full:
-            for i, row in zip(full, band_hashes(signatures([sets[i] for i in full], bands * rows), bands, rows)):
-                hashes[i] = row
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": [len(s) for s in sets], "key": keys, "bands": hashes})
+            hashes = band_hashes(signatures([sets[i] for i in full], bands * rows), bands, rows)
+        ends = np.zeros(len(sets) + 1, np.int32)
+        ends[1:] = np.cumsum([bands if len(s) else 0 for s in sets])
+        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([*head, pa.array([len(s) for s in sets], pa.int64()), keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel()))], names)
 
     def run(batches):
-        ids, sets, held = [], [], 0
-        for pdf in batches:
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                s = shingles(t if isinstance(t, str) else None, width)
-                ids.append(None if i is None else int(i))
+        for batch in batches:
+            sets, held, begin = [], 0, 0
+            for i, t in enumerate(batch.column(3)):
+                s = shingles(t.as_py(), width)
                 sets.append(s)
                 held += len(s)
-                if held >= BATCH_SHINGLES:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield flush(ids, sets)
+                if held >= BATCH_SHINGLES or i + 1 == batch.num_rows:
+                    yield flush([batch.column(c).slice(begin, len(sets)) for c in range(3)], sets)
+                    sets, held, begin = [], 0, i + 1
 
     return run
 
 
 def _similar(percent: int, width: int):
+    """Stream of rows sorted by pivot: the text of the pivot, then those it is compared with."""
+
     def run(batches):
-        for pdf in batches:
-            cache: dict[int, np.ndarray] = {}
+        here, x = None, _EMPTY
+        for batch in batches:
+            a_ids, salts, b_ids = (batch.column(i).to_pylist() for i in range(3))
             good = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                if a not in cache:
-                    cache = {a: shingles(ta, width)} if len(cache) > 50 else cache | {a: shingles(ta, width)}
-                x, y = cache[a], shingles(tb, width)
+            for i, (a, salt, b) in enumerate(zip(a_ids, salts, b_ids)):
+                if b is None:
+                    if (a, salt) != here:
+                        here, x = (a, salt), shingles(batch.column(3)[i].as_py(), width)
+                    continue
+                y = shingles(batch.column(3)[i].as_py(), width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[good, ["a", "b"]]
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append(i)
+            if good:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(2).take(pa.array(good))], ["a", "b"])
 
     return run
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}"))
-    return pairs.select("a", "b").join(t("b"), "b").join(t("a"), "a").mapInPandas(_similar(percent, width), "a bigint, b bigint")
+    """The pairs (a, b) whose full sets are similar enough; ``texts`` is (rep, text).
+
+    The partners of a pivot pass by its set in one sorted stream. A pivot with many partners has them
+    dealt out over salts, each with a copy of its text, so no task sees them all.
+    """
+    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
+    body = lambda side: texts.select(F.col("rep").alias(side), "text")
+    one = load.join(body("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "text")
+    others = pairs.join(load, "a").select("a", salt, "b").join(body("b"), "b").select("a", "salt", "b", "text")
+    stream = one.unionByName(others).repartition(n_tasks(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return stream.mapInArrow(_similar(percent, width), "a bigint, b bigint")
 
 
 def _close(na: Column, nb: Column, percent: int) -> Column:
@@ -155,8 +176,12 @@ def _grouped(frame: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _token_rows(width: int):
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["doc_id"], "component": pdf["component"], "sh": [shingles(t, width).view(np.int64) for t in pdf["text"]]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingles(t.as_py(), width).view(np.int64) for t in part.column(2)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["rep", "component", "sh"])
 
     return run
 
@@ -166,8 +191,8 @@ def _rest(members: DataFrame, groups: DataFrame, texts: DataFrame, percent: int,
     m = _grouped(members, groups)
     unsettled = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     nodes = stored(m.join(unsettled, "bucket", "left_semi").select("rep", "component").distinct(), "near-unsettled")
-    named = texts.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "component", "text")
-    sets = stored(named.mapInPandas(_token_rows(width), "rep bigint, component bigint, sh array<bigint>"), "near-sets")
+    named = texts.join(nodes, "rep").select("rep", "component", "text")
+    sets = stored(named.mapInArrow(_token_rows(width), "rep bigint, component bigint, sh array<bigint>"), "near-sets")
     tokens = sets.select("rep", "component", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
     shared = tokens.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sh", "df")
     # the global order puts shingles that no two groups share first; they can't link two groups
@@ -187,18 +212,21 @@ def _rest(members: DataFrame, groups: DataFrame, texts: DataFrame, percent: int,
 
 
 def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_md5) per row of ``docs`` (doc_id, text).
 
-    Two documents are linked if ``100 * intersection >= percent * union`` of their shingle sets. Texts
-    without words have an empty set and no link. ``doc_id`` names a document: rows that repeat an id
-    count as one document. Rows with a NULL id are never linked; their ``component_id`` is NULL and they
-    are kept. Other columns are ignored; an empty table gives an empty result.
+    Two rows are linked if ``100 * intersection >= percent * union`` of their shingle sets; ``component_id`` is
+    the smallest id that links reach. Texts without words have an empty set and no link. Rows are judged one by
+    one, also those that repeat an id: equal ones alike, and a different text of the same id by its own links.
+    Rows with a NULL id are never linked; their ``component_id`` is NULL and they are kept. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # ids travel as text: pandas turns whole numbers with gaps into floats
-    sigs = stored(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_describe(bands, rows, width), "doc_id bigint, n bigint, key binary, bands array<bigint>"), "near-signatures")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("text_md5"), text.alias("text"))
+    sigs = stored(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_md5", "text").mapInArrow(_describe(bands, rows, width), _SIGNED), "near-signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
-    reps = stored(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
+    # a class of equal sets goes on as one of its rows
+    one = F.min(F.struct("row", "doc_id", "text_md5", "n", "bands")).alias("x")
+    reps = stored(named.groupBy("key").agg(one, F.min("doc_id").alias("low")).select("key", "low", F.col("x.row").alias("rep"), "x.doc_id", "x.text_md5", "x.n", "x.bands"), "near-classes")
     at = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     sizes = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(at.join(sizes, "bucket"), "near-members")
@@ -207,13 +235,16 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: int =
     star = members.join(pivots.select("bucket", (-F.col("x.neg")).alias("a"), F.col("x.n").alias("na")), "bucket")
     pairs = star.filter((F.col("a") != F.col("rep")) & _close(F.col("na"), F.col("n"), percent)).select("a", F.col("rep").alias("b")).distinct()
     # the texts move once, to the members of buckets; all later joins are on those few
-    bodies = stored(texts.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "near-texts")
+    met = reps.select("rep", "doc_id", "text_md5").join(members.select("rep").distinct(), "rep", "left_semi")
+    bodies = stored(texts.join(met.hint("merge"), ["doc_id", "text_md5"]).select("rep", "text"), "near-texts")
     links = stored(_verify(pairs, bodies, percent, width), "near-links")
     groups = components(links.toDF("u", "v"))
     more = stored(_verify(_rest(members, groups, bodies, percent, width), bodies, percent, width), "near-more")
     final = groups if more.isEmpty() else components(links.unionByName(more).toDF("u", "v"))
-    of_rep = _grouped(reps.select("key", "rep"), final).select("key", "component")
-    # rows that repeat an id with other texts join their classes through it
-    out = sigs.join(of_rep, "key", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    of_rep = stored(_grouped(reps.select("key", "rep", "low"), final).select("key", "component", "low"), "near-grouped")
+    least = of_rep.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = sigs.select("doc_id", "n", "key", "text_md5").join(of_rep.join(least, "component").select("key", "component_id"), "key", "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_md5"
+    )

@@ -20,7 +20,7 @@ def op1_link_trust(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_superminhash(spark: SparkSession, sf: str) -> DataFrame:
-    return near.near_groups(_table(spark, sf, "documents").select("doc_id", "text"))
+    return near.near_groups(_table(spark, sf, "documents").select("doc_id", "text")).drop("text_md5")
 
 
 def op3_sainte_lague_mix(spark: SparkSession, sf: str) -> DataFrame:

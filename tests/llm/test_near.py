@@ -99,7 +99,21 @@ def test_odd_rows(spark):
     out = near.near_groups(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, component_id string, kept int")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles, r.kept) for r in out) == [(0, 0, 0, True), (0, 0, 2, True), (5, 5, 2, True), (5, 5, 2, True), (7, 5, 2, False), (9, 9, 0, True)]
     empty = near.near_groups(spark.createDataFrame([], "doc_id bigint, text string"))
-    assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept", "text_md5"]
+
+
+def test_an_id_that_repeats_with_another_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(0)), (5, text(0)), (5, text(1)), (7, text(2)), (8, text(1) + " more")]
+    out = near.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (8, 5, False)]
+
+
+def test_a_pivot_with_many_partners(spark, monkeypatch):
+    monkeypatch.setattr(near, "PARTNERS", 7)
+    rows = corpus(17)
+    got = {r.doc_id: r.component_id for r in near.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: c for i, (_, c) in all_pairs(rows, 85).items()}
 
 
 def test_components_of_a_long_chain(spark):

@@ -153,3 +153,6 @@ def test_different_texts_of_one_id_stay(spark):
     rows = [(1, text(1), "x", "s", 1, 1), (1, text(2), "x", "s", 1, 1), (1, text(1), "x", "s", 1, 1), (2, text(3), "x", "s", 1, 1)]
     out = pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert sorted((r.doc_id, r.text) for r in out) == [(1, text(1)), (1, text(2)), (2, text(3))]
+    rows = [(1, text(1), "x", "s", 1, 1), (5, text(1), "x", "s", 1, 1), (5, text(2), "x", "s", 1, 1), (7, text(3), "x", "s", 1, 1)]
+    out = pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, text(1)), (5, text(2)), (7, text(3))]
