@@ -6,7 +6,7 @@ again as the next one's docs. All but the last return the columns of ``documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonframe.llm import mixing, near, quality, shards, templates
@@ -28,15 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay."""
-    groups = stored(near.near_groups(docs.select("doc_id", "text"), percent=PERCENT, bands=BANDS), "pipeline-groups")
-    dropped = groups.filter("NOT kept").select("doc_id").distinct()
-    # rows that repeat an id are compared by id and text; different texts all stay
-    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    again = stored(again, "pipeline-repeated-ids")
-    left = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size
-    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay.
+
+    Rows are named by id and text: of rows that agree in both one stays, different texts of one id are
+    judged by their own groups.
+    """
+    groups = near.near_groups(docs.select("doc_id", "text"), percent=PERCENT, bands=BANDS)
+    dropped = stored(groups.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct(), "pipeline-dropped")
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), digest.alias("_md5"), F.struct(*docs.columns).alias("_all"))
+    left = rows.join(dropped.hint("merge"), ["_id", "_md5"], "left_anti")  # one plan at every size
+    again = F.row_number().over(Window.partitionBy("_id", "_md5").orderBy(F.lit(0)))
+    return left.withColumn("_n", again).filter("_n = 1 OR _id IS NULL").select("_all.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
