@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from axonframe.operators import components, permute, raster, series, tiles
@@ -509,9 +510,10 @@ def affine(spark, sf):
     c = raster.canvas(rasters.image_sizes(strips(spark, sf)))
     names = ("cx", "cy", "orientation", "major", "minor")
     s = e.select("image_id", *[F.col(n).alias(f"s_{n}") for n in names])
-    last = e.agg(F.max("image_id").alias("last"))  # one row
-    ring = F.when(F.col("image_id") == 0, F.col("last")).otherwise(F.col("image_id") - 1)
-    t = e.join(F.broadcast(last)).select(ring.alias("image_id"), *[F.col(n).alias(f"t_{n}") for n in names])
+    # a row per image: every one is registered to the next, the last to the first; ids may have gaps
+    ordered = Window.orderBy("image_id")
+    own = F.struct(*names)
+    t = e.select("image_id", F.coalesce(F.lead(own).over(ordered), F.first(own).over(ordered)).alias("t")).select("image_id", *[F.col(f"t.{n}").alias(f"t_{n}") for n in names])
     p = s.join(t, "image_id").join(c, "image_id")
     p = p.withColumns({"t_cx": F.col("t_cx") + F.col("offset_x"), "t_cy": F.col("t_cy") + F.col("offset_y")})
     out = raster.ellipse_affine(p)
