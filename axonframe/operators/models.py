@@ -21,16 +21,10 @@ from axonframe.functions import dist
 from axonframe.operators.ordered import cumulative
 from axonframe.session import durable, spread
 
-ABSORBED_ROWS = 1_024
-DENSE_LEVELS = 2000  # levels of the factor that is kept as a dense block
-CELL_LIMIT = 1_000_000  # rows of a summary that may be brought to the driver
-
-
-def _collect_summary(df: DataFrame, limit: int = CELL_LIMIT) -> pd.DataFrame:
-    """Bring an aggregated table to the driver after checking its size."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"summary has more than {limit} rows; the factor has too many levels for this model")
-    return df.toPandas()
+DENSE_LEVELS = 4000  # levels of the crossed factor, a dense block on the driver (128 MB)
+DENSE_NUMBERS = 60_000_000  # numbers of its sums that may be brought to the driver (480 MB)
+SIZE_GRID = 48  # points of the variance ratio that group sizes are described by
+PROJECTION_TOLERANCE, PROJECTION_ROUNDS = 1e-12, 500
 
 
 def dummies(c: str, levels: list) -> dict[str, Column]:
@@ -46,42 +40,69 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 # --- analysis of variance --------------------------------------------------------------------------
 
 
+def _projected_gain(cells: DataFrame, tolerance: float = PROJECTION_TOLERANCE, rounds: int = PROJECTION_ROUNDS) -> float:
+    """Sum of squares that the levels of b explain beyond those of a.
+
+    Effects of b solve ``(D_b - N' D_a^-1 N) x = r`` with the cell counts N. One application of the operator is a
+    pair of projections (onto the levels of a, and back), each an aggregate over the cells; conjugate gradients
+    combine them. The rounds end once a step adds less than ``tolerance`` of the gain; not getting there is an error.
+    """
+    na = cells.groupBy("a").agg(F.sum("n").alias("na"), F.sum("s").alias("sa"))
+    linked = durable(cells.join(na, "a").select("a", "b", "n", "s", "na", "sa"))
+    # r: sums of b without the means of a; d: the operator's diagonal
+    start = linked.groupBy("b").agg(
+        (F.sum("s") - F.sum(F.col("n") * F.col("sa") / F.col("na"))).alias("r"), (F.sum("n") - F.sum(F.col("n") * F.col("n") / F.col("na"))).alias("d"), F.sum("n").alias("nb")
+    )
+    z = F.when(F.col("d") > 1e-12 * F.col("nb"), F.col("r") / F.col("d")).otherwise(0.0)
+    state = durable(start.withColumn("p", z))
+    rz = float(state.agg(F.sum(F.col("r") * F.col("p"))).first()[0] or 0)
+    scale, gain = max(rz, 1e-300), 0.0
+    for _ in range(rounds):
+        if rz <= tolerance * tolerance * scale:
+            return gain
+        at_a = linked.join(state.select("b", "p"), "b").groupBy("a").agg((F.sum(F.col("n") * F.col("p")) / F.first("na")).alias("m"))
+        back = linked.join(at_a, "a").groupBy("b").agg(F.sum(F.col("n") * F.col("m")).alias("back"))
+        state = durable(state.join(back, "b").withColumn("q", F.col("nb") * F.col("p") - F.col("back")).drop("back"))
+        pq = float(state.agg(F.sum(F.col("p") * F.col("q"))).first()[0])
+        if pq <= 0:  # the direction is explained by the levels of a
+            return gain
+        alpha = rz / pq
+        step = alpha * rz  # what the step adds to r'x
+        gain += step
+        state = state.withColumn("r", F.col("r") - alpha * F.col("q")).drop("q")
+        new = float(state.agg(F.sum(F.col("r") * z)).first()[0])
+        if step <= tolerance * gain and new <= tolerance * scale:
+            return gain
+        state = state.withColumn("p", z + new / rz * F.col("p"))
+        rz = new
+    raise RuntimeError(f"projections did not converge in {rounds} rounds")
+
+
 def two_way_anova(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     """Sequential two-way ANOVA with interaction: term, df, sumsq, meansq, f, p.
 
-    Spark reduces the data to the A x B cell table; the nested models are fitted on that.
+    Spark reduces the data to the A x B cell table, which stays there: what B adds to A is found by projections
+    over the cells, and only sums leave the cluster. Both factors may have any number of levels. Degrees of freedom
+    assume that the cells connect all levels.
     """
     cells = (
         df.dropna(subset=[y, a, b])
         .groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q"))
     )
-    t = _collect_summary(cells)
-    n, total = float(t["n"].sum()), float(t["s"].sum())
-
-    def explained(g: pd.DataFrame) -> float:
-        return float((g["s"] ** 2 / g["n"]).sum())
-
-    ia, ib = pd.factorize(t["a"], sort=True), pd.factorize(t["b"], sort=True)
-    la, lb = len(ia[1]), len(ib[1])
-    if min(la, lb) > DENSE_LEVELS:
-        raise ValueError(f"both factors have more than {DENSE_LEVELS} levels")
-    big, small, width = (ib[0], ia[0], la) if lb > la else (ia[0], ib[0], lb)  # absorb the larger factor
-    nv, sv = t["n"].to_numpy(float), t["s"].to_numpy(float)
-    na, sa = np.bincount(big, nv), np.bincount(big, sv)
-    left, right = np.diag(np.bincount(small, nv, width)), np.bincount(small, sv, width) - np.bincount(small, nv * (sa / na)[big], width)
-    order = np.argsort(big, kind="stable")
-    for start in range(0, len(na), ABSORBED_ROWS):  # only so many rows of the larger factor are dense at a time
-        at = order[np.searchsorted(big, start, sorter=order) : np.searchsorted(big, start + ABSORBED_ROWS, sorter=order)]
-        block = np.zeros((min(ABSORBED_ROWS, len(na) - start), width))
-        block[big[at] - start, small[at]] = nv[at]
-        left -= block.T @ (block / na[start : start + ABSORBED_ROWS, None])
-    gain = float(right @ np.linalg.lstsq(left, right, rcond=None)[0])
-    one, only_a = total * total / n, explained(t.groupby("a")[["n", "s"]].sum())
-    additive = float((sa * sa / na).sum()) + gain
-    full = explained(t)
-    rss, rdf = float(t["q"].sum()) - full, n - len(t)
-    terms = [(a, la - 1, only_a - one), (b, lb - 1, additive - only_a), (f"{a}:{b}", len(t) - la - lb + 1, full - additive)]
+    cells = durable(cells)
+    n, total, q, full, k = (float(v or 0) for v in cells.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.sum(F.col("s") * F.col("s") / F.col("n")), F.count(F.lit(1))).first())
+
+    def levels(c: str) -> tuple[int, float]:
+        per = cells.groupBy(c).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        count, ss = per.agg(F.count(F.lit(1)), F.sum(F.col("s") * F.col("s") / F.col("n"))).first()
+        return count, float(ss or 0)
+
+    (la, ss_a), (lb, _) = levels("a"), levels("b")
+    gain = _projected_gain(cells) if min(la, lb) > 1 else (full - ss_a if la == 1 and lb > 1 else 0.0)
+    one = total * total / n if n else math.nan
+    rss, rdf = q - full, n - k
+    terms = [(a, la - 1, ss_a - one), (b, lb - 1, gain), (f"{a}:{b}", k - la - lb + 1, full - ss_a - gain)]
     rows = []
     for name, d, ss in terms:
         ok = d > 0 and rdf > 0 and rss > 0
@@ -250,25 +271,71 @@ class MixedFit:
         return _rows(self.spark, rows, "level_a string, level_b string, estimate double, std_error double, df double, t double, p double")
 
 
-def _group_size_matrices(by_group: DataFrame, width: int) -> pd.DataFrame:
-    """(n, k, m): for groups of equal size n their number and the sum of the outer products of their sums.
+class SizeBasis:
+    """Weights ``1 / (ratio + n)`` of groups of size n, for all ratios at once.
 
-    ``by_group`` has n and s (array of ``width`` sums).
+    As functions of n they span a space of few dimensions: the leading singular vectors of the weights at
+    ``SIZE_GRID`` ratios describe those of every other ratio, to about ten digits. So sums over groups
+    are taken once per basis function, whatever the number of distinct sizes.
     """
 
-    def outer(batches):
-        for pdf in batches:
-            rows = []
-            for n, g in pdf.groupby("n"):
-                u = np.vstack(g["s"].to_numpy())
-                rows.append((int(n), len(g), (u.T @ u).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["n", "k", "m"])
+    def __init__(self, least: float, most: float):
+        self.most = most
+        self.ratios = np.logspace(math.log10(least) - 7, math.log10(most) + 7, SIZE_GRID)
+        self.sizes = np.unique(np.round(np.concatenate([np.geomspace(least, most, 400), np.arange(least, min(most, least + 200) + 1)])))
+        u, d, v = np.linalg.svd(self._scaled(self.sizes[:, None], self.ratios[None, :]), full_matrices=False)
+        k = int((d > 1e-14 * d[0]).sum())
+        self.u, self.d, self.v = u[:, :k], d[:k], v[:k]
+
+    def _scaled(self, n, ratio):
+        """n / (ratio + n), the largest size being 1."""
+        return n * (ratio + self.most) / (self.most * (ratio + n))
+
+    def of(self, n: Column) -> list[Column]:
+        """The basis functions of a group size."""
+        grid = F.array(*[F.lit(float(x)) for x in self.ratios])
+        at = F.transform(grid, lambda t: (t + self.most) / (self.most * (t + n)))
+        return [F.aggregate(F.zip_with(at, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for row in self.v]
+
+    def coefficients(self, ratio: float) -> np.ndarray:
+        """What the basis functions are multiplied by to give ``1 / (ratio + n)``."""
+        return (self.u.T @ self._scaled(self.sizes, ratio)) / self.d * self.most / (ratio + self.most)
 
-    parts = by_group.mapInPandas(outer, "n long, k long, m array<double>")
-    per_entry = parts.select("n", F.posexplode("m").alias("i", "v")).groupBy("n", "i").agg(F.sum("v").alias("v"))
-    sums = per_entry.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("m"))
-    counts = parts.groupBy("n").agg(F.sum("k").alias("k"))
-    return _collect_summary(counts.join(sums, "n"), max(1, 50_000_000 // (width * width)))
+
+def _level_sums(data: DataFrame, cols: list[str], levels: list[str]) -> tuple[np.ndarray, SizeBasis, list]:
+    """([n, k] of group sizes, basis, sums): per basis function the sum over groups of the outer product of a
+    group's column sums and level counts, in three parts.
+
+    Counts of a level in a group stay sparse rows in Spark; they meet in pairs within their group and are
+    summed per pair of levels there.
+    """
+    spark = data.sparkSession
+    totals = data.groupBy("_g").agg(F.sum("_1").cast("long").alias("n"), *[F.sum(c).alias(c) for c in cols])
+    totals = durable(totals)
+    sizes = totals.groupBy("n").agg(F.count(F.lit(1)).alias("k")).toPandas()  # k distinct sizes need k^2 / 2 rows of data
+    basis = SizeBasis(float(sizes["n"].min()), float(sizes["n"].max()))
+    named = [f"f{r}" for r in range(len(basis.d))]
+    groups = totals.withColumns(dict(zip(named, basis.of(F.col("n").cast("double")))))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    own = groups.agg(*[F.sum(F.col(f) * F.col(cols[i]) * F.col(cols[j])) for f in named for i, j in pairs]).first()
+    top = np.zeros((len(named), len(cols), len(cols)))
+    for at, value in enumerate(own):
+        f, (i, j) = at // len(pairs), pairs[at % len(pairs)]
+        top[f, i, j] = top[f, j, i] = value
+    if not levels:
+        return sizes[["n", "k"]].to_numpy(float), basis, [top]
+    number = F.broadcast(spark.createDataFrame(list(zip(levels, range(len(levels)))), "_h string, _i int"))
+    seen = durable(data.groupBy("_g", "_h").agg(F.sum("_1").alias("c")).join(number, "_h").select("_g", "_i", "c"))
+    side = seen.join(groups, "_g").groupBy("_i").agg(*[F.sum(F.col(f) * F.col("c") * F.col(c)) for f in named for c in cols]).toPandas().to_numpy(float)
+    border = np.zeros((len(named), len(levels), len(cols)))
+    border[:, side[:, 0].astype(int)] = side[:, 1:].reshape(len(side), len(named), len(cols)).transpose(1, 0, 2)
+    other = seen.select("_g", F.col("_i").alias("_j"), F.col("c").alias("d"))
+    met = seen.join(groups.select("_g", *named), "_g").join(other, "_g").filter("_i <= _j")
+    met = durable(met.groupBy("_i", "_j").agg(*[F.sum(F.col(f) * F.col("c") * F.col("d")).alias(f) for f in named]))
+    if met.count() * len(named) > DENSE_NUMBERS:
+        raise ValueError(f"pairs of crossed levels that share a group need more than {DENSE_NUMBERS} numbers on the driver")
+    inner = met.toPandas()
+    return sizes[["n", "k"]].to_numpy(float), basis, [top, border, (inner["_i"].to_numpy(), inner["_j"].to_numpy(), inner[named].to_numpy(float))]
 
 
 def mixed_model(
@@ -276,9 +343,8 @@ def mixed_model(
 ) -> MixedFit:
     """Linear mixed model y ~ factors + numeric + (1|group) [+ (1|crossed)], fitted by REML.
 
-    ``group`` may have any number of levels: it is absorbed, and groups of equal size share one
-    matrix. ``crossed`` is kept as a dense block of at most ``DENSE_LEVELS`` levels; with ``nest`` its
-    levels are counted within ``group``.
+    ``group`` may have any number of levels and sizes: it is absorbed in Spark (see :class:`SizeBasis`). ``crossed`` is
+    a dense block of at most ``DENSE_LEVELS`` levels on the driver; with ``nest`` its levels are counted within ``group``.
     """
     spark = df.sparkSession
     used = df.dropna(subset=[c for c in (y, *factors, *numeric, group, crossed) if c])
@@ -301,7 +367,9 @@ def mixed_model(
     levels: list[str] = []
     if crossed:
         per_level = data.groupBy("_h").agg(*[F.sum(c).alias(c) for c in cols])
-        table = _collect_summary(per_level, DENSE_LEVELS).sort_values("_h")
+        if per_level.limit(DENSE_LEVELS + 1).count() > DENSE_LEVELS:
+            raise ValueError(f"the crossed factor has more than {DENSE_LEVELS} levels")
+        table = per_level.toPandas().sort_values("_h")
         levels = table["_h"].tolist()
     q = len(levels)
     full = np.zeros((w + q, w + q))
@@ -311,25 +379,24 @@ def mixed_model(
     if crossed:
         block = table[cols].to_numpy(float)
         full[w:, :w], full[:w, w:], full[w:, w:] = block, block.T, np.diag(block[:, 0])
-        seen = data.groupBy("_g", "_h").agg(*[F.sum(c).alias(c) for c in cols])
-        index = F.create_map(*[e for i, lv in enumerate(levels) for e in (F.lit(lv), F.lit(i))])
-        seen = seen.withColumn("_i", index[F.col("_h")])
-        by_group = seen.groupBy("_g").agg(
-            F.sum("_1").cast("long").alias("n"), *[F.sum(c).alias(c) for c in cols], F.map_from_entries(F.collect_list(F.struct("_i", F.col("_1").alias("c")))).alias("_m")
-        )
-        dense = F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-        by_group = by_group.select("n", F.concat(F.array(*cols), dense).alias("s"))
-    else:
-        by_group = data.groupBy("_g").agg(F.sum("_1").cast("long").alias("n"), *[F.sum(c).alias(c) for c in cols]).select("n", F.array(*cols).alias("s"))
-    sizes = _group_size_matrices(by_group, w + q)
-    n_of, k_of = sizes["n"].to_numpy(float), sizes["k"].to_numpy(float)
-    mats = np.stack([np.asarray(m, float).reshape(w + q, w + q) for m in sizes["m"]])
+    by_size, basis, sums = _level_sums(data, cols, levels)
+    n_of, k_of = by_size[:, 0], by_size[:, 1]
     total = float(full[0, 0])
 
     def reduce(t: np.ndarray) -> tuple[np.ndarray, float]:
         """[X y]'V^-1[X y] and log|V| for the relative deviations ``t``."""
         th1 = t[0] ** 2
-        a = full - np.tensordot(th1 / (1 + n_of * th1), mats, axes=1)
+        a = full.copy()
+        if th1 > 0:
+            weight = basis.coefficients(1 / th1)
+            a[:w, :w] -= np.tensordot(weight, sums[0], axes=1)
+            if q:
+                a[w:, :w] -= np.tensordot(weight, sums[1], axes=1)
+                a[:w, w:] = a[w:, :w].T
+                i, j, value = sums[2]
+                shared = value @ weight
+                a[w + i, w + j] -= shared
+                a[w + j, w + i] = a[w + i, w + j]
         logdet = float(np.sum(k_of * np.log1p(n_of * th1)))
         top = a[:w, :w]
         if q and t[1] != 0:

@@ -173,6 +173,32 @@ def t18(spark, sf):
     return d.select("level_a", "level_b", num("estimate", "estimate", 5), num("std_error", "std_error", 5), num("t", "t", 4), num("p", "p", 4))
 
 
+# intervals count as a random factor too; an effect is added so that its variance is not at its boundary
+CROSSED = {
+    **BALANCED,
+    "dx": "SELECT cell, interval_s, v + interval_s * 8 AS v FROM d",
+    "nn": "SELECT avg(v) AS g, count(DISTINCT cell) AS n FROM dx",
+    "xl": "SELECT interval_s, avg(v) AS lm FROM dx GROUP BY 1",
+    "xc": "SELECT cell, avg(v) AS cm FROM dx GROUP BY 1",
+    "ms": "SELECT n, g, (SELECT sum(pow(lm - g, 2)) FROM xl) * n / 3 AS msl, (SELECT sum(pow(cm - g, 2)) FROM xc) * 4 / (n - 1) AS msc,"
+    " (SELECT sum(pow(v - lm - cm + g, 2)) FROM dx JOIN xl USING (interval_s) JOIN xc USING (cell)) / (3 * (n - 1)) AS mse FROM nn",
+}
+
+
+@query(
+    "t16_crossed_variance_balanced",
+    with_(
+        "peaks", **CROSSED,
+        then=f"SELECT 'cell' AS \"group\", {r('sqrt((msc - mse) / 4)', 4)} AS sd FROM ms UNION ALL SELECT 'interval_s', {r('sqrt((msl - mse) / n)', 4)} FROM ms"
+        f" UNION ALL SELECT 'Residual', {r('sqrt(mse)', 4)} FROM ms",
+    ),
+)
+def t16_balanced(spark, sf):
+    d = balanced(spark, sf).withColumn("v", F.col("v") + F.col("interval_s") * 8)
+    fit = models.mixed_model(d, "v", {}, [], "cell", "interval_s")
+    return fit.variance_components().select("group", num("sd", "sd", 4))
+
+
 @query("t19_residual_diagnostics")
 def t19(spark, sf):
     data = large_cells(spark, sf).withColumn("key", F.concat_ws("-", "filename_plus10", "filename_minus55", *EI_ORDINAL)).withColumn("all", F.lit("all"))

@@ -111,3 +111,58 @@ def test_level_limit_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(i % 4, str(i % 5), float(i)) for i in range(40)], "g int, h string, y double")
     with pytest.raises(ValueError, match="more than 2"):
         models.mixed_model(df, "y", {}, [], "g", "h")
+
+
+def crossed_reml(x, y, groups, crossed, at):
+    """REML criterion of a crossed model by the whole covariance matrix; ``at``: relative deviations."""
+    z1, z2 = (np.equal.outer(c, np.unique(c)).astype(float) for c in (groups, crossed))
+    v = np.eye(len(y)) + at[0] ** 2 * z1 @ z1.T + at[1] ** 2 * z2 @ z2.T
+    w = np.linalg.solve(v, x)
+    beta = np.linalg.solve(x.T @ w, w.T @ y)
+    e = y - x @ beta
+    dof = len(y) - x.shape[1]
+    s2 = float(e @ np.linalg.solve(v, e)) / dof
+    return dof * np.log(2 * np.pi * s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(x.T @ w)[1] + dof, beta
+
+
+def test_crossed_model_with_many_group_sizes(spark):
+    rng = np.random.default_rng(12)
+    sizes = [*range(1, 41), 75, 130]  # 42 distinct sizes
+    g = np.repeat(np.arange(len(sizes)), sizes)
+    h = rng.integers(0, 60, len(g))
+    x = rng.normal(size=len(g))
+    y = 1 + 0.5 * x + rng.normal(0, 1.2, len(sizes))[g] + rng.normal(0, 0.8, 60)[h] + rng.normal(0, 1, len(g))
+    rows = [(int(a), f"h{b:02d}", float(c), float(d)) for a, b, c, d in zip(g, h, x, y)]
+    fit = models.mixed_model(spark.createDataFrame(rows, "g int, h string, x double, y double"), "y", {}, ["x"], "g", "h")
+    design = np.column_stack([np.ones(len(y)), x])
+    at = np.array([fit.sd_groups["g"], fit.sd_groups["h"]]) / fit.sigma
+    best, beta = crossed_reml(design, y, g, h, at)
+    assert abs(best - fit.reml) < 1e-6 * abs(best) and np.allclose(beta, fit.beta, atol=1e-6)
+    for step in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02)):
+        assert crossed_reml(design, y, g, h, at + step)[0] > best
+
+
+def test_size_basis_gives_every_weight():
+    for least, most in ((1.0, 5.0), (1.0, 1e5), (40.0, 3e7)):
+        basis = models.SizeBasis(least, most)
+        n = np.unique(np.round(np.geomspace(least, most, 77)))
+        table = ((basis.ratios + most) / (most * (basis.ratios + n[:, None]))) @ basis.v.T
+        for ratio in (1e-6, 1e-3, 0.7, 12.0, 1e4, 1e9):
+            share = n / (ratio + n)  # what a group takes off, of the most it can
+            assert np.abs(n * (table @ basis.coefficients(ratio)) - share).max() < 1e-10 * share.max()
+
+
+def test_two_way_anova_of_many_unbalanced_levels(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 90, 2500), rng.geometric(0.03, 2500) % 110
+    y = rng.normal(size=2500) + 0.3 * (a % 7) - 0.2 * (b % 5)
+    rows = [(f"a{i}", f"b{j}", float(v)) for i, j, v in zip(a, b, y)]
+    got = {r.term: r for r in models.two_way_anova(spark.createDataFrame(rows, "a string, b string, y double"), "y", "a", "b").collect()}
+    dummy = lambda c: np.equal.outer(c, np.unique(c)).astype(float)
+    rss = lambda m: float(np.sum((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2))
+    one = np.ones((len(y), 1))
+    r0, ra, rab, rfull = rss(one), rss(dummy(a)), rss(np.hstack([dummy(a), dummy(b)])), rss(dummy(a * 1000 + b))
+    for term, want in (("a", r0 - ra), ("b", ra - rab), ("a:b", rab - rfull), ("Residuals", rfull)):
+        assert abs(got[term].sumsq - want) < 1e-7 * r0
+    one_level = models.two_way_anova(spark.createDataFrame([("x", j, v) for _, j, v in rows], "a string, b string, y double"), "y", "a", "b").collect()
+    assert abs(one_level[1].sumsq - (r0 - rss(dummy(b)))) < 1e-7 * r0
