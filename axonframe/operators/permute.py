@@ -3,8 +3,9 @@
 The statistic only needs the two sums, so the pixels are first collapsed to (group, value, count).
 A permutation is then a draw without replacement from those counts: the same distribution as
 shuffling all pixels, at a cost that depends on the number of distinct values. Values are spread
-over buckets, and iterations over chunks; every task draws the bucket totals of its chunk from the
-same seed, so buckets agree without exchanging anything.
+over buckets, and iterations over chunks. The buckets of a group are the leaves of a binary tree: what
+falls into the left half of a node is drawn once and handed down, level by level, so every total is drawn
+in one task and the work grows in proportion to the number of values.
 """
 
 from __future__ import annotations
@@ -20,66 +21,40 @@ from pyspark.sql import functions as F
 from axonframe.functions.scalar import ratio
 from axonframe.operators.attach import attach
 from axonframe.operators.ordered import CHUNK_ROWS, cumulative, exact_quantiles
-from axonframe.session import spread
+from axonframe.session import durable, spread
 
-LEVELS_PER_BUCKET = 4096  # at least; the square root of the levels if that is more
-NUMPY_LIMIT = 1_000_000_000
+LEVELS_PER_BUCKET = 4096
+NUMPY_LIMIT = 1_000_000_000  # largest population that the library's generator takes
+SINGLE_DRAWS = 64
 
 
-def _log_factorial(n: np.ndarray) -> np.ndarray:
-    """ln n! by Stirling's series, with a table below 16."""
-    n = np.asarray(n, float)
-    x = np.maximum(n, 16.0) + 1.0
-    series = (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    table = np.array([math.lgamma(k + 1.0) for k in range(17)])
-    return np.where(n < 16, table[np.clip(n, 0, 16).astype(int)], series)
-
-
-def _weight_from_mode(mode, g, b, k, d) -> np.ndarray:
-    """ln of the probability of ``mode + d`` good draws over that of ``mode``.
+def hypergeometric(rng, good, bad, draws) -> np.ndarray:
+    """How many of ``draws`` items taken without replacement are good (elementwise).
 
-    Differences of log-factorials of large numbers would lose all digits; here the parts linear in
-    ``d`` are joined before the logarithm, and the rest goes through log1p.
+    Populations beyond NumPy's limit are drawn in steps that stay exact: every item is taken with the same
+    chance, by two binomial counts, and the surplus or lack (about its square root) is put back or added in
+    the same way, until so few are left that they are drawn one by one.
     """
-    x = [mode + 1, g - mode + 1, k - mode + 1, b - k + mode + 1]
-    linear = d * np.log1p((x[0] * x[3] - x[1] * x[2]) / (x[1] * x[2]))
-    rest = np.zeros_like(d)
-    for at, step in zip(x, (d, -d, -d, d)):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            far = (at + step - 0.5) * np.log1p(step / at) - step + (1 / (at + step) - 1 / at) / 12
-        near = _log_factorial(np.maximum(at - 1 + step, 0)) - _log_factorial(at - 1) - step * np.log(at)
-        rest += np.where(np.minimum(at, at + step) > 1e5, far, near)
-    return -linear - rest
-
-
-def _hypergeometric_large(rng, good, bad, draws) -> np.ndarray:
-    """Draws for populations beyond NumPy's limit: ratio of uniforms with weights relative to the mode."""
-    low, high = np.maximum(0, draws - bad), np.minimum(draws, good)
-    out = low.copy()
-    todo = np.flatnonzero(low < high)
-    while todo.size:
-        g, b, k = (v[todo].astype(float) for v in (good, bad, draws))
-        total = g + b
-        mean = k * g / total
-        var = mean * (b / total) * (total - k) / (total - 1)
-        mode = np.clip(np.floor((k + 1) * (g + 1) / (total + 2)), low[todo], high[todo])
-        width = 1.7155277699214135 * np.sqrt(var + 0.5) + 0.8989161620588988
-        u, v = 1.0 - rng.random(todo.size), rng.random(todo.size)
-        pick = np.floor(mean + 0.5 + width * (v - 0.5) / u)
-        inside = (pick >= low[todo]) & (pick <= high[todo])
-        pick = np.where(inside, pick, mode)
-        ok = inside & (2 * np.log(u) <= _weight_from_mode(mode, g, b, k, pick - mode))
-        out[todo[ok]] = pick[ok].astype(np.int64)
-        todo = todo[~ok]
-    return out
-
-
-def hypergeometric(rng, good, bad, draws) -> np.ndarray:
-    """How many of ``draws`` items taken without replacement are good (elementwise)."""
     good, bad, draws = (np.asarray(v, dtype=np.int64) for v in np.broadcast_arrays(good, bad, draws))
     if max(good.max(initial=0), bad.max(initial=0)) < NUMPY_LIMIT:
         return rng.hypergeometric(good, bad, draws)
-    return _hypergeometric_large(rng, good, bad, draws)
+    x, y = np.zeros_like(good), np.zeros_like(bad)
+    need = draws - x - y
+    while (np.abs(need) > SINGLE_DRAWS).any():
+        add, more, less = need > 0, np.maximum(need, 0), np.maximum(-need, 0)
+        far = np.abs(need) > SINGLE_DRAWS
+        left = (np.where(add, good - x, x), np.where(add, bad - y, y))
+        chance = np.where(far, (more + less) / np.maximum(left[0] + left[1], 1), 0.0)
+        sign = np.where(add, 1, -1)
+        x, y = x + sign * rng.binomial(left[0], chance), y + sign * rng.binomial(left[1], chance)
+        need = draws - x - y
+    for _ in range(SINGLE_DRAWS):
+        sign = np.sign(need)
+        left = (np.where(sign > 0, good - x, x), np.where(sign > 0, bad - y, y))
+        hit = rng.random(need.shape) * (left[0] + left[1]) < left[0]
+        x, y = x + sign * hit, y + sign * ~hit
+        need = draws - x - y
+    return x
 
 
 def draw_classes(rng, counts, sizes: list[np.ndarray]):
@@ -103,69 +78,82 @@ def _seed(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
 
 
+def _handed_down(state: DataFrame, per_bucket: DataFrame, depth: int, seed: int) -> DataFrame:
+    """Class sizes of the root of every group and chunk, split down the tree to its buckets.
+
+    ``state``: (key, node, chunk, classes); ``per_bucket``: (key, bucket, n). Level by level a node draws, in one
+    task, how many of each class fall into its left half.
+    """
+
+    def split(level):
+        def run(batches):
+            for pdf in batches:
+                rows = []
+                for k, node, chunk, left, right, classes in zip(pdf["_key"], pdf["_node"], pdf["_chunk"], pdf["_left"], pdf["_right"], pdf["_classes"]):
+                    rng = np.random.default_rng(_seed(seed, k, chunk, level, node))
+                    sides = [[], []]
+                    here, beyond = int(left), int(right)
+                    for size in (np.asarray(c, np.int64) for c in classes):
+                        taken = hypergeometric(rng, here, beyond, size)
+                        here, beyond = here - taken, beyond - (size - taken)
+                        sides[0].append(taken)
+                        sides[1].append(size - taken)
+                    rows += [(k, 2 * node + i, chunk, side) for i, (side, n) in enumerate(zip(sides, (left, right))) if n]
+                yield pd.DataFrame(rows, columns=["_key", "_node", "_chunk", "_classes"])
+
+        return run
+
+    for level in range(depth):
+        shift = depth - 1 - level
+        half = F.shiftright("_bucket", shift)
+        bit = half.bitwiseAND(F.lit(1)) == 0
+        totals = per_bucket.groupBy(F.col("_key"), F.shiftright(half, 1).alias("_node")).agg(F.sum(F.when(bit, F.col("_n")).otherwise(0)).alias("_left"), F.sum(F.when(~bit, F.col("_n")).otherwise(0)).alias("_right"))
+        joined = spread(state.join(totals, ["_key", "_node"]), "_key", "_node", "_chunk")
+        state = joined.mapInPandas(split(level), "_key string, _node int, _chunk int, _classes array<array<bigint>>")
+    return state
+
+
 def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, chunk: int = 1000) -> DataFrame:
     """(by..., iter, sum_patch, sum_inter) of ``n_iter`` permutations.
 
     ``levels`` has by..., value, n (pixels), n_patch, n_inter, n_both (pixels of the masks and of both).
     """
-    sizes = levels.groupBy(*by).agg(F.count(F.lit(1)).alias("_levels"))
-    bucketed = (
-        attach(levels, sizes, by)
-        .withColumn(
-            "_nb", F.ceil(F.col("_levels") / F.greatest(F.lit(float(LEVELS_PER_BUCKET)), F.sqrt("_levels"))).cast("int")
-        )
-        .withColumn("_bucket", F.pmod(F.xxhash64("value"), F.col("_nb")).cast("int"))
-    )
-    per_bucket = bucketed.groupBy(*by, "_bucket").agg(
-        F.sum("n").alias("_n"), F.sum("n_patch").alias("_np"), F.sum("n_inter").alias("_ni"), F.sum("n_both").alias("_nb2"),
-        F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_items"),
-    )
-    totals = per_bucket.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_bucket"), F.col("_n")))).alias("_totals"),
-        F.sum("_np").alias("_k_patch"),
-        F.sum("_ni").alias("_k_inter"),
-        F.sum("_nb2").alias("_k_both"),
+    key = F.concat_ws("|", *[F.coalesce(F.col(b).cast("string"), F.lit("NULL")) for b in by]).alias("_key")
+    totals = levels.groupBy(*by).agg(F.count(F.lit(1)).alias("_levels"), F.sum("n_patch").alias("_p"), F.sum("n_inter").alias("_i"), F.sum("n_both").alias("_b"))
+    totals = durable(totals.select("*", key))
+    most = totals.agg(F.max("_levels")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(1, most / LEVELS_PER_BUCKET))))
+    per_bucket = (
+        levels.select(key, "value", "n", F.pmod(F.xxhash64("value"), F.lit(1 << depth)).cast("int").alias("_bucket"))
+        .groupBy("_key", "_bucket")
+        .agg(F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_items"))
     )
+    per_bucket = durable(per_bucket) if depth else per_bucket
     chunks = [(c, min(chunk, n_iter - c * chunk)) for c in range(math.ceil(n_iter / chunk))]
-    tasks = (
-        attach(per_bucket.select(*by, "_bucket", "_items"), totals, by)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))))
-        .withColumn("_key", F.concat_ws("|", *[F.coalesce(F.col(b).cast("string"), F.lit("NULL")) for b in by]))
-    )
-    tasks = spread(tasks, *by, "_bucket", "_chunk")
+    sizes = F.element_at(F.array(*[F.lit(n) for _, n in chunks]), F.col("_chunk") + 1)
+    classes = F.array(*[F.array_repeat(c.cast("bigint"), sizes) for c in (F.col("_p") - F.col("_b"), F.col("_i") - F.col("_b"), F.col("_b"))])
+    roots = totals.select("_key", "_p", "_i", "_b", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))).alias("_chunk"))
+    state = roots.select("_key", F.lit(0).alias("_node"), "_chunk", classes.alias("_classes"))
+    state = _handed_down(state, per_bucket.select("_key", "_bucket", "_n"), depth, seed)
+    tasks = spread(per_bucket.withColumnRenamed("_bucket", "_node").join(state, ["_key", "_node"]), "_key", "_node", "_chunk")
 
     def draw(batches):
         for pdf in batches:
             out = []
-            for row in pdf.to_dict("records"):
-                c = int(row["_chunk"])
-                size = chunks[c][1]
-                tot = row["_totals"]
-                both = int(row["_k_both"])
-                classes = [np.full(size, k, dtype=np.int64) for k in (int(row["_k_patch"]) - both, int(row["_k_inter"]) - both, *([both] if both else []))]
-                shared = np.random.default_rng(_seed(seed, row["_key"], c))  # same bucket totals in every task
-                for t, taken in zip(tot, draw_classes(shared, [int(t["_n"]) for t in tot], classes)):
-                    if t["_bucket"] == row["_bucket"]:
-                        classes = taken
-                        break
-                own = np.random.default_rng(_seed(seed, row["_key"], c, row["_bucket"]))
-                items = row["_items"]
-                sum_patch, sum_inter = np.zeros(size), np.zeros(size)
-                for i, taken in zip(items, draw_classes(own, [int(i["n"]) for i in items], classes)):
-                    shared_part = taken[2] if len(taken) > 2 else 0
-                    sum_patch += (taken[0] + shared_part) * i["value"]
-                    sum_inter += (taken[1] + shared_part) * i["value"]
-                frame = {b: [row[b]] * size for b in by}
-                frame.update(iter=np.arange(size) + c * chunk, sum_patch=sum_patch, sum_inter=sum_inter)
-                out.append(pd.DataFrame(frame))
+            for k, node, c, items, classes in zip(pdf["_key"], pdf["_node"], pdf["_chunk"], pdf["_items"], pdf["_classes"]):
+                sizes = [np.asarray(x, np.int64) for x in classes]
+                rng = np.random.default_rng(_seed(seed, k, c, "bucket", node))
+                sum_patch, sum_inter = np.zeros(len(sizes[0])), np.zeros(len(sizes[0]))
+                for i, (first, second, shared) in zip(items, draw_classes(rng, [int(i["n"]) for i in items], sizes)):
+                    sum_patch += (first + shared) * i["value"]
+                    sum_inter += (second + shared) * i["value"]
+                out.append(pd.DataFrame({"_key": k, "iter": np.arange(len(sum_patch)) + int(c) * chunk, "sum_patch": sum_patch, "sum_inter": sum_inter}))
             if out:
                 yield pd.concat(out)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in levels.select(*by).schema.fields)
-    parts = tasks.select(*by, "_bucket", "_chunk", "_key", "_items", "_totals", "_k_patch", "_k_inter", "_k_both").mapInPandas(
-        draw, f"{fields}, iter long, sum_patch double, sum_inter double"
-    )
-    return parts.groupBy(*by, "iter").agg(F.sum("sum_patch").alias("sum_patch"), F.sum("sum_inter").alias("sum_inter"))
+    parts = tasks.select("_key", "_node", "_chunk", "_items", "_classes").mapInPandas(draw, "_key string, iter long, sum_patch double, sum_inter double")
+    sums = parts.groupBy("_key", "iter").agg(F.sum("sum_patch").alias("sum_patch"), F.sum("sum_inter").alias("sum_inter"))
+    return sums.join(totals.select("_key", *by), "_key").select(*by, "iter", "sum_patch", "sum_inter")
 
 
 def permutation_test(
@@ -245,3 +233,19 @@ def null_moments(pixels: DataFrame, by: list[str], value: str, patch: Column) ->
     )
     n, k = F.col("_n").cast("double"), F.col("_k").cast("double")
     return d.select(*by, "null_mean", (ratio("_v", k) * ratio(n - k, n - 1)).alias("null_variance"))
+
+
+def null_ratio(levels: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., null_sd): standard deviation of the logarithm of the ratio under permutation, from its moments.
+
+    Both means have the same expectation; they are drawn without replacement from ``n`` pixels, so their covariance
+    is that of disjoint samples. ``levels`` has by..., value, n, n_patch, n_inter.
+    """
+    s = levels.groupBy(*by).agg(
+        F.sum("n").cast("double").alias("_n"), F.sum("n_patch").cast("double").alias("_k"), F.sum("n_inter").cast("double").alias("_l"),
+        F.sum(F.col("value") * F.col("n")).alias("_s"), F.sum(F.col("value") * F.col("value") * F.col("n")).alias("_q"),
+    )
+    n, k, m = F.col("_n"), F.col("_k"), F.col("_l")
+    mean = F.col("_s") / n
+    spread_ = ratio(F.col("_q") / n - mean * mean, mean * mean) * (ratio(n - k, k) + ratio(n - m, m) + 2) / (n - 1)
+    return s.select(*by, F.sqrt(spread_).alias("null_sd"))

@@ -697,10 +697,45 @@ def t20_null(spark, sf):
     return d.select("image_id", num("null_mean", "null_mean"), num("null_variance", "null_variance", 8))
 
 
-@query("t20_permutation_test")
+# The bounds of a permutation test are quantiles of a ratio whose logarithm is nearly normal with a known spread. A
+# quantile of n draws has a standard error of sqrt(q (1 - q) / n) / density; bounds must lie within five of them
+# (and the normal form's own error of a few thousandths of the spread).
+QUANTILE_Z, QUANTILE_ERROR = 1.959963984540054, math.sqrt(0.025 * 0.975) / 0.05844507
+NULL_SQL = (
+    "SELECT {by}, sqrt(va / (mu * mu) * ((n - k) / k + (n - l) / l + 2) / (n - 1)) AS null_sd, mp / mi AS ratio FROM ("
+    "SELECT {by}, avg(v) AS mu, var_pop(v) AS va, count(*)::DOUBLE AS n, (count(*) FILTER ({a}))::DOUBLE AS k, (count(*) FILTER ({b}))::DOUBLE AS l,"
+    " avg(v) FILTER ({a}) AS mp, avg(v) FILTER ({b}) AS mi FROM {t} GROUP BY 1)"
+)
+
+
+def bounds_sql(by: str, n_iter: int) -> str:
+    return f"SELECT {by}, {r('ratio')} AS ratio, {r('null_sd')} AS null_sd, TRUE AS low_fits, TRUE AS high_fits, TRUE AS p_fits, {b(str(n_iter))} AS n_shuffles FROM nl"
+
+
+def bounds_fit(test, levels, by, n_iter):
+    """The result of a test beside the closed form of its null distribution."""
+    from axonframe.functions import dist
+
+    room = F.col("null_sd") * (5 * QUANTILE_ERROR / math.sqrt(n_iter) + 0.01)
+    near = lambda c, z: F.abs(F.log(c) - z * F.col("null_sd")) < room
+    d = test.join(permute.null_ratio(levels, [by]), by)
+    p = dist.normal_p_value(F.abs(F.log("ratio")) / F.col("null_sd"))
+    return d.select(
+        by, num("ratio", "ratio"), num("null_sd", "null_sd"), near("low", -QUANTILE_Z).alias("low_fits"), near("high", QUANTILE_Z).alias("high_fits"),
+        (F.abs(F.col("p_empirical") - p) < 5 * F.sqrt((p * (1 - p) + 1 / n_iter) / n_iter) + 0.02).alias("p_fits"), big("n_shuffles", "n_shuffles"),
+    )
+
+
+def mask_levels(d, by, a, b):
+    return d.groupBy(by, F.col("v").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if(a).alias("n_patch"), F.count_if(b).alias("n_inter"))
+
+
+@query("t20_permutation_test", with_("px", nl=NULL_SQL.format(by="image_id", a="patch AND m", b="NOT patch AND m", t="px"), then=bounds_sql("image_id", 10_000)))
 def t20(spark, sf):
-    d = permute.permutation_test(pixels(spark, sf), ["image_id"], "v", F.col("patch") & F.col("m"), ~F.col("patch") & F.col("m"), n_iter=10_000)
-    return d.select("image_id", *[num(c, c) for c in ("ratio", "low", "high", "p_empirical")], "significant", big("n_shuffles", "n_shuffles"))
+    px = pixels(spark, sf)
+    a, b_ = F.col("patch") & F.col("m"), ~F.col("patch") & F.col("m")
+    d = permute.permutation_test(px, ["image_id"], "v", a, b_, n_iter=10_000)
+    return bounds_fit(d, mask_levels(px, "image_id", a, b_), "image_id", 10_000)
 
 
 def pooled(spark, sf):
@@ -736,10 +771,11 @@ def t21_keyed(spark, sf):
     return out.select("region", big("iter", "iter"), num("ratio", "ratio", 8))
 
 
-@query("t21_pooled_permutation_test")
+@query("t21_pooled_permutation_test", with_("px", **POOLED, nl=NULL_SQL.format(by="region", a="patch", b="NOT patch", t="pl"), then=bounds_sql("region", 50_000)))
 def t21(spark, sf):
-    d = permute.permutation_test(pooled(spark, sf), ["region"], "v", F.col("patch"), ~F.col("patch"), n_iter=50_000, population="masks")
-    return d.select("region", *[num(c, c) for c in ("ratio", "low", "high", "p_empirical")], "significant", big("n_shuffles", "n_shuffles"))
+    px = pooled(spark, sf)
+    d = permute.permutation_test(px, ["region"], "v", F.col("patch"), ~F.col("patch"), n_iter=50_000, population="masks")
+    return bounds_fit(d, mask_levels(px, "region", F.col("patch"), ~F.col("patch")), "region", 50_000)
 
 
 @query(

@@ -216,20 +216,34 @@ def test_permutation_of_overlapping_masks(spark):
     assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(sims, [0.025, 0.975])), abs=0.012)
 
 
+def test_splitting_tree_keeps_totals(spark, monkeypatch):
+    monkeypatch.setattr(permute, "LEVELS_PER_BUCKET", 3)
+    rows = [("g", float(v), n, n // 3, n // 4, 0) for v, n in zip(range(60), range(1, 61))] + [(None, 1.0, 7, 3, 4, 0)]
+    levels = spark.createDataFrame(rows, "g string, value double, n long, n_patch long, n_inter long, n_both long")
+    sums = permute.permutation_sums(levels, ["g"], 2000, 1, chunk=500)
+    got = {r["g"]: r for r in sums.groupBy("g").agg(F.count("*").alias("k"), F.avg("sum_patch").alias("m"), F.stddev("sum_patch").alias("sd")).collect()}
+    assert got["g"]["k"] == got[None]["k"] == 2000 and got[None]["m"] == 3 and got[None]["sd"] == 0
+    v = np.repeat(np.arange(60), np.arange(1, 61)).astype(float)
+    k, n = sum(x // 3 for x in range(1, 61)), len(v)
+    sd = math.sqrt(k * v.var() * (n - k) / (n - 1))
+    assert abs(got["g"]["m"] - k * v.mean()) < 5 * sd / math.sqrt(2000) and got["g"]["sd"] == pytest.approx(sd, rel=0.08)
+
+
 def test_coverage_with_missing_strips(spark):
     rows = [(1, y, [1.0] * 8) for y in (0, 1, 4, 5, 6, 7)]
     got = {(r["tx"], r["ty"]): r["coverage"] for r in raster.tile_coverage(spark.createDataFrame(rows, "image_id int, y int, mask array<double>"), 4, 2).collect()}
     assert got == {(x, y): c for x in (0, 2, 4) for y, c in ((0, 0.5), (2, 0.5), (4, 1.0))}
 
 
-def test_large_population_draws():
+def test_large_population_draws(monkeypatch):
+    monkeypatch.setattr(permute, "NUMPY_LIMIT", 0)
     rng = np.random.default_rng(9)
     good, bad, k = 600, 1400, 300
-    draws = permute._hypergeometric_large(rng, np.full(20_000, good), np.full(20_000, bad), np.full(20_000, k))
+    draws = permute.hypergeometric(rng, np.full(20_000, good), np.full(20_000, bad), np.full(20_000, k))
     var = k * 0.3 * 0.7 * (2000 - k) / 1999
     assert draws.mean() == pytest.approx(90, abs=0.3) and draws.var() == pytest.approx(var, rel=0.05)
     n = 10**13
-    huge = permute._hypergeometric_large(rng, np.full(40_000, n), np.full(40_000, n), np.full(40_000, n)).astype(float)
+    huge = permute.hypergeometric(rng, np.full(40_000, n), np.full(40_000, n), np.full(40_000, n)).astype(float)
     sd = math.sqrt(n * 0.25 * n / (2 * n - 1))
     assert abs(huge.mean() - n / 2) < 5 * sd / 200 and huge.std() == pytest.approx(sd, rel=0.03)
     big = permute.hypergeometric(rng, 3_000_000_000, 7_000_000_000, np.full(5000, 1_000_000))
