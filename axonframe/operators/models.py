@@ -157,24 +157,86 @@ def gamma_glm(df: DataFrame, y: str, factors: dict[str, list], numeric: list[str
     return GammaFit(coef, float(s.dispersion), float(s.aic), float(s.deviance), est[-1], dict(zip(terms, est)))
 
 
-def simulated_residuals(df: DataFrame, y: str, mu: Column, dispersion: float, key: str, n_sim: int = 250, seed: int = 0) -> DataFrame:
-    """(key, observed, fitted, residual): share of ``n_sim`` gamma draws below the observed value.
-
-    Every row draws from a generator seeded by its key, so partitioning does not change the result.
+_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SIMULATED = 1 << 18  # draws made at once
+
+
+def _uniform(key: np.ndarray, stream: int) -> np.ndarray:
+    """A number in (0, 1) for every key and stream: a mixing function of the two, without a state."""
+    x = key + np.uint64((stream + 1) * int(_GOLD) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def keyed_gamma(key: np.ndarray, shape: float) -> np.ndarray:
+    """A gamma draw of unit scale for every key, by rejection (Marsaglia and Tsang) on keyed numbers."""
+    boosted = shape if shape >= 1 else shape + 1
+    d = boosted - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    out, todo, stream = np.empty(key.shape), np.arange(key.size), 1
+    flat, result = key.ravel(), out.ravel()
+    while todo.size:
+        k = flat[todo]
+        x = np.sqrt(-2 * np.log(_uniform(k, stream))) * np.cos(2 * math.pi * _uniform(k, stream + 1))
+        v = (1 + c * x) ** 3
+        ok = v > 0
+        ok[ok] = np.log(_uniform(k[ok], stream + 2)) < 0.5 * x[ok] ** 2 + d - d * v[ok] + d * np.log(v[ok])
+        result[todo[ok]] = d * v[ok]
+        todo, stream = todo[~ok], stream + 3
+    return result.reshape(key.shape) if shape >= 1 else result.reshape(key.shape) * _uniform(key, 0) ** (1 / shape)
+
+
+def simulate(df: DataFrame, y: str, mu: Column, dispersion: float, key: str, n_sim: int = 250, seed: int = 0) -> DataFrame:
+    """One pass of ``n_sim`` gamma draws a row; see :func:`residuals_of` and :func:`dispersion_of`.
+
+    Every draw is a function of the row's key, its number and ``seed``, so partitioning does not change the result,
+    and whole batches are drawn at once. Rows with a NULL response or prediction are left out.
     """
     data = df.select(F.col(key), F.col(y).cast("double").alias("observed"), mu.alias("fitted"))
     data = spread(data.dropna().withColumn("_seed", F.xxhash64(F.lit(seed), key)), key)
+    number = np.arange(1, n_sim + 1, dtype=np.uint64) * _M2
 
     def draw(batches):
+        squares, observed = np.zeros(n_sim), 0.0
         for pdf in batches:
-            out = np.empty(len(pdf))
-            for i, (s, o, m) in enumerate(zip(pdf["_seed"], pdf["observed"], pdf["fitted"])):
-                rng = np.random.default_rng(int(s) & (2**64 - 1))
-                out[i] = (np.count_nonzero(rng.gamma(1 / dispersion, m * dispersion, n_sim) < o) + rng.random()) / (n_sim + 1)
-            yield pdf.drop(columns="_seed").assign(residual=out)
+            residual = np.empty(len(pdf))
+            for at in range(0, len(pdf), max(1, SIMULATED // n_sim)):
+                part = pdf.iloc[at : at + max(1, SIMULATED // n_sim)]
+                o, m = part["observed"].to_numpy()[:, None], part["fitted"].to_numpy()[:, None]
+                keys = (part["_seed"].to_numpy().view(np.uint64)[:, None] ^ number) * _M1
+                sims = keyed_gamma(keys, 1 / dispersion) * (m * dispersion)
+                residual[at : at + len(part)] = ((sims < o).sum(axis=1) + _uniform(keys[:, 0], -2)) / (n_sim + 1)
+                squares += ((sims - m) ** 2).sum(axis=0)
+                observed += float(((o - m) ** 2).sum())
+            yield pdf.drop(columns="_seed").assign(residual=residual, sim=None, squares=None)
+        yield pd.DataFrame({key: None, "observed": None, "fitted": None, "residual": None, "sim": np.arange(-1, n_sim), "squares": np.concatenate([[observed], squares])})
 
     kind = dict(data.dtypes)[key]
-    return data.mapInPandas(draw, f"`{key}` {kind}, observed double, fitted double, residual double")
+    return durable(data.mapInPandas(draw, f"`{key}` {kind}, observed double, fitted double, residual double, sim int, squares double"))
+
+
+def residuals_of(simulated: DataFrame) -> DataFrame:
+    """(key, observed, fitted, residual): share of the draws below the observed value."""
+    return simulated.filter("sim IS NULL").drop("sim", "squares")
+
+
+def dispersion_of(simulated: DataFrame) -> DataFrame:
+    """Ratio of observed to simulated residual spread, with a two-sided simulation p. One row."""
+    per_sim = simulated.filter("sim IS NOT NULL").groupBy("sim").agg(F.sum("squares").alias("ss"))
+    drawn = F.col("sim") >= 0
+    s = per_sim.agg(
+        F.max(F.when(~drawn, F.col("ss"))).alias("_o"), F.avg(F.when(drawn, F.sqrt("ss"))).alias("_m"), F.collect_list(F.when(drawn, F.col("ss"))).alias("_all")
+    )
+    ge, le = F.size(F.filter("_all", lambda v: v >= F.col("_o"))), F.size(F.filter("_all", lambda v: v <= F.col("_o")))
+    p = F.least(F.lit(1.0), 2.0 * (F.least(ge, le) + 1) / (F.size("_all") + 1))
+    return s.select(F.try_divide(F.sqrt("_o"), F.col("_m")).alias("dispersion_ratio"), p.alias("p"))
+
+
+def simulated_residuals(df: DataFrame, y: str, mu: Column, dispersion: float, key: str, n_sim: int = 250, seed: int = 0) -> DataFrame:
+    """(key, observed, fitted, residual) of ``n_sim`` draws."""
+    return residuals_of(simulate(df, y, mu, dispersion, key, n_sim, seed))
 
 
 def uniformity_test(residuals: DataFrame, by: list[str], c: str = "residual") -> DataFrame:
@@ -190,27 +252,8 @@ def uniformity_test(residuals: DataFrame, by: list[str], c: str = "residual") ->
 
 
 def dispersion_test(df: DataFrame, y: str, mu: Column, dispersion: float, key: str, n_sim: int = 250, seed: int = 0) -> DataFrame:
-    """Ratio of observed to simulated residual spread, with a two-sided simulation p. One row."""
-    data = df.select(F.col(y).cast("double").alias("o"), mu.alias("m"), F.xxhash64(F.lit(seed), F.col(key)).alias("s")).dropna()
-    data = spread(data, "s")
-
-    def sums(batches):
-        total, observed = np.zeros(n_sim), 0.0
-        for pdf in batches:
-            for s, o, m in zip(pdf["s"], pdf["o"], pdf["m"]):
-                rng = np.random.default_rng(int(s) & (2**64 - 1))
-                total += (rng.gamma(1 / dispersion, m * dispersion, n_sim) - m) ** 2
-                observed += (o - m) ** 2
-        yield pd.DataFrame({"sim": np.arange(-1, n_sim), "ss": np.concatenate([[observed], total])})
-
-    per_sim = data.mapInPandas(sums, "sim int, ss double").groupBy("sim").agg(F.sum("ss").alias("ss"))
-    obs = F.max(F.when(F.col("sim") < 0, F.col("ss")))
-    s = per_sim.agg(
-        obs.alias("_o"), F.avg(F.when(F.col("sim") >= 0, F.sqrt("ss"))).alias("_m"), F.collect_list(F.when(F.col("sim") >= 0, F.col("ss"))).alias("_all")
-    )
-    ge, le = F.size(F.filter("_all", lambda v: v >= F.col("_o"))), F.size(F.filter("_all", lambda v: v <= F.col("_o")))
-    p = F.least(F.lit(1.0), 2.0 * (F.least(ge, le) + 1) / (n_sim + 1))
-    return s.select(F.try_divide(F.sqrt("_o"), F.col("_m")).alias("dispersion_ratio"), p.alias("p"))
+    """Dispersion ratio and p of ``n_sim`` draws."""
+    return dispersion_of(simulate(df, y, mu, dispersion, key, n_sim, seed))
 
 
 # --- mixed models ----------------------------------------------------------------------------------

@@ -199,18 +199,52 @@ def t16_balanced(spark, sf):
     return fit.variance_components().select("group", num("sd", "sd", 4))
 
 
+def keyed_cells(spark, sf):
+    return large_cells(spark, sf).withColumn("key", F.concat_ws("-", "filename_plus10", "filename_minus55", *EI_ORDINAL)).filter("region IS NOT NULL")
+
+
 @query("t19_residual_diagnostics")
 def t19(spark, sf):
-    data = large_cells(spark, sf).withColumn("key", F.concat_ws("-", "filename_plus10", "filename_minus55", *EI_ORDINAL)).withColumn("all", F.lit("all"))
+    data = keyed_cells(spark, sf)
     fit = ei_plan.region_model(data)
-    used, _ = models.with_terms(data.filter("region IS NOT NULL"), {"region": ["ACC", "RSC"]}, ["rough_ap"])
-    mu = F.exp(fit.linear_predictor())
-    res = models.simulated_residuals(used, "ei_balance", mu, fit.dispersion, "key").withColumn("all", F.lit("all"))
+    used, _ = models.with_terms(data, {"region": ["ACC", "RSC"]}, ["rough_ap"])
+    sim = models.simulate(used, "ei_balance", F.exp(fit.linear_predictor()), fit.dispersion, "key")
+    res = models.residuals_of(sim).withColumn("all", F.lit("all"))
     ks = models.uniformity_test(res, ["all"]).select(F.lit("uniformity").alias("test"), num("d", "statistic"), num("p", "p"))
-    disp = models.dispersion_test(used, "ei_balance", mu, fit.dispersion, "key").select(F.lit("dispersion").alias("test"), num("dispersion_ratio", "statistic"), num("p", "p"))
+    disp = models.dispersion_of(sim).select(F.lit("dispersion").alias("test"), num("dispersion_ratio", "statistic"), num("p", "p"))
     return ks.unionByName(disp)
 
 
+# A residual is a share of n draws: it lies within six standard errors of the gamma distribution function, and the
+# dispersion ratio within a few percent of its closed form.
+@query(
+    "t19_region_residuals",
+    with_(
+        "ei", **CELLS,
+        d="SELECT *, avg(bal) OVER (PARTITION BY region) AS m FROM large WHERE region IS NOT NULL AND bal IS NOT NULL",
+        ph="SELECT sum(pow((bal - m) / m, 2)) / (count(*) - 2) AS phi FROM d",
+        then=f"SELECT {b('count(*)')} AS n, {r('max(phi)', 5)} AS dispersion, {r('sqrt(sum(pow(bal - m, 2)) / (max(phi) * sum(m * m)))', 5)} AS expected_ratio, TRUE AS ratio_fits, {b('0')} AS n_off FROM d, ph",
+    ),
+)
+def t19_region(spark, sf):
+    from axonframe.functions import dist
+
+    data = keyed_cells(spark, sf)
+    fit = models.gamma_glm(data, "ei_balance", {"region": ["ACC", "RSC"]}, [])
+    used, _ = models.with_terms(data, {"region": ["ACC", "RSC"]}, [])
+    sim = models.simulate(used, "ei_balance", F.exp(fit.linear_predictor()), fit.dispersion, "key", n_sim=1000)
+    below = 1 - dist.chi2_p_value(2 * F.col("observed") / (F.col("fitted") * fit.dispersion), F.lit(2 / fit.dispersion))
+    res = models.residuals_of(sim).withColumn("p", below)
+    off = F.abs(F.col("residual") - F.col("p")) > 6 * F.sqrt((F.col("p") * (1 - F.col("p")) + 1e-3) / 1000) + 2e-3
+    ratio = F.sqrt(F.sum((F.col("observed") - F.col("fitted")) ** 2) / (fit.dispersion * F.sum(F.col("fitted") ** 2)))
+    total = res.agg(F.count(F.lit(1)).alias("n"), ratio.alias("expected"), F.count_if(off).alias("off"))
+    d = total.crossJoin(models.dispersion_of(sim))  # one row each
+    return d.select(
+        big("n", "n"), num(F.lit(fit.dispersion), "dispersion", 5), num("expected", "expected_ratio", 5),
+        (F.abs(F.col("dispersion_ratio") / F.col("expected") - 1) < 0.05).alias("ratio_fits"), big("off", "n_off"),
+    )
+
+
 @query(
     "t23_grouped_apply",
     with_(

@@ -166,3 +166,15 @@ def test_two_way_anova_of_many_unbalanced_levels(spark):
         assert abs(got[term].sumsq - want) < 1e-7 * r0
     one_level = models.two_way_anova(spark.createDataFrame([("x", j, v) for _, j, v in rows], "a string, b string, y double"), "y", "a", "b").collect()
     assert abs(one_level[1].sumsq - (r0 - rss(dummy(b)))) < 1e-7 * r0
+
+
+@pytest.mark.parametrize("shape", [0.3, 1.0, 7.5])
+def test_keyed_gamma_has_its_moments(shape):
+    keys = np.random.default_rng(2).integers(0, 2**63, (400, 500)).astype(np.uint64)
+    x = models.keyed_gamma(keys, shape)
+    n = x.size
+    assert abs(x.mean() - shape) < 5 * np.sqrt(shape / n)
+    assert abs(x.var() - shape) < 5 * np.sqrt((2 * shape**2 + 6 * shape) / n)
+    assert (x == models.keyed_gamma(keys, shape)).all()
+    if shape == 1.0:
+        assert abs((x < 1).mean() - (1 - np.exp(-1))) < 5 * 0.5 / np.sqrt(n)
