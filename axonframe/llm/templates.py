@@ -14,16 +14,20 @@ nearest words of its text. A line break ends a sentence in one reading of a docu
 from __future__ import annotations
 
 import re
+from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import stored
 
 WINDOW = 8
-SHORTEST = 3  # items with fewer words are not searched for
+SHORTEST = 3  # items with fewer words have a literal reading only
+TOGETHER = 1 << 18  # characters of texts that are read together
 LITERALS = 2  # words (not placeholders) in a template's hash; windows with fewer are widened to reach so many
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
 SLACK = 8  # words put in or left out between two windows of a copy that follow each other
@@ -41,55 +45,158 @@ class Canon:
     """Words to canonical token hashes, with a bounded cache of word facts."""
 
     def __init__(self):
-        self.facts: dict[str, tuple[int, int, int]] = {}
+        self._clear()
 
-    def fact(self, word: str) -> tuple[int, int, int]:
-        """(hash of the bare word, kind bits: 1 number, 2 unit, 4 capital, 8 ends a sentence)."""
+    def _clear(self) -> None:
+        self.facts: dict[str, int] = {}  # number of a word in the two lists
+        self.hashes, self.kinds = array("Q"), array("b")
+
+    def fact(self, word: str) -> int:
+        """A new word: hash of the bare word, kind bits (1 number, 2 unit, 4 capital, 8 ends a sentence)."""
         import xxhash
 
         bare = word.strip(_EDGE) or word
         low = bare.lower()
         kind = (1 if _NUMBER.fullmatch(low) else 0) | (2 if low in UNITS else 0) | (4 if bare[:1].isupper() and not bare.isupper() else 0) | (8 if word.rstrip("\"')]»”’")[-1:] in ".!?:" else 0)
-        if len(self.facts) > 200_000:
-            self.facts.clear()
-        self.facts[word] = out = (xxhash.xxh3_64_intdigest(low), kind)
-        return out
+        self.facts[word] = n = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(low))
+        self.kinds.append(kind)
+        return n
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bare word hashes, kind bits, begins a line) of a text."""
+    def words(self, *texts: str) -> "Words":
+        """The words of texts, one text after the other."""
+        if len(self.facts) > 200_000:
+            self._clear()
         get, fact = self.facts.get, self.fact
-        pairs, starts = [], []
-        for line in text.splitlines():
-            starts.append(len(pairs))
-            pairs += [get(w) or fact(w) for w in line.split()]
-        first = np.zeros(len(pairs) + 1, bool)
+        numbers, starts, stops = [], [], []
+        for text in texts:
+            for line in text.splitlines():
+                starts.append(len(numbers))
+                numbers += [fact(w) if (k := get(w)) is None else k for w in line.split()]
+            stops.append(len(numbers))
+        at = np.array(numbers, np.int64)
+        first = np.zeros(len(at) + 1, bool)
         first[starts] = True
-        return np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int8), first[:-1]
+        return Words(np.array(self.hashes, np.uint64)[at], np.array(self.kinds, np.int8)[at], first[:-1], np.array(stops, np.int64))
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(canonical token hashes, bare word hashes, is a slot) of a text."""
-        return template(*self.words(text))[:3]
-
-
-def template(bare: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical token hashes, value hashes, is a slot, may be a name) of words; ``first``: begins a line.
+        """(canonical token hashes, value hashes, is a slot) of a text."""
+        t = template(self.words(text))
+        return t.canon, t.value, t.slot
+
+
+@dataclass
+class Words:
+    """Words of texts that stand one after the other; ``stops``: where each text ends."""
+
+    bare: np.ndarray
+    kind: np.ndarray
+    first: np.ndarray  # begins a line
+    stops: np.ndarray
+
+    def begins(self) -> np.ndarray:
+        """Per text, where it begins."""
+        return np.concatenate([[0], self.stops[:-1]]).astype(np.int64)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per word, where its text begins and ends."""
+        low = self.begins()
+        return np.repeat(low, self.stops - low), np.repeat(self.stops, self.stops - low)
+
+    def of(self, texts: np.ndarray) -> "Words":
+        """The words of some of the texts."""
+        size = self.stops - self.begins()
+        chosen = np.zeros(len(size), bool)
+        chosen[texts] = True
+        mine = np.repeat(chosen, size)
+        return Words(self.bare[mine], self.kind[mine], self.first[mine], np.cumsum(size[texts]))
+
+
+@dataclass
+class Template:
+    """Canonical tokens of texts that stand one after the other."""
+
+    canon: np.ndarray
+    value: np.ndarray
+    slot: np.ndarray
+    capital: np.ndarray  # may be a name
+    low: np.ndarray  # per token, where its text begins and ends
+    high: np.ndarray
+
+    def __post_init__(self):
+        n = len(self.canon)
+        self.sums = Sums(self.canon)
+        self.word = np.flatnonzero(~self.slot)
+        self.words_before = np.concatenate([[0], np.cumsum(~self.slot)])
+        self.place = np.arange(n)
+        self.slots_before = np.arange(n + 1) - self.words_before
+
+    def windows(self, width: int, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, hash, first token whose value counts) of every template window.
+
+        A window with fewer than ``LITERALS`` words is widened to the left until it has them, or else to the
+        right; ``both`` gives the two where they exist (a document does not know where an item begins). A
+        window that begins with a capital is also hashed as beginning with any capital, whose value is left out.
+        """
+        at = np.flatnonzero(self.place + width <= self.high)
+        if not len(at):
+            return at, np.empty(0, np.uint64), at
+        after, before = self.words_before[at], self.words_before[at + width]
+        thin = before - after < LITERALS
+        wide = at[~thin]
+        places, hashes = [wide], [_mixed(self.sums.of(wide, wide + width), width, width, 1)]
+        if thin.any():
+            t, after_t, before_t = at[thin], after[thin], before[thin]
+            word = np.append(self.word, [len(self.canon)] * LITERALS)
+            begin = word[before_t - LITERALS]
+            left = (before_t >= LITERALS) & (begin >= self.low[t])
+            end = word[after_t + LITERALS - 1] + 1
+            right = end <= self.high[t]
+            if not both:
+                right &= ~left
+            for keep, b, e, family in ((left, begin, t + width, 2), (right, t, end, 3)):
+                places.append(t[keep])
+                hashes.append(_mixed(self.sums.of(b[keep], e[keep]), width, e[keep] - b[keep], family))
+        a = at[self.capital[at] & (before - self.words_before[at + 1] >= LITERALS)]
+        hashes.append(_mixed(self.sums.of(a, a + width) - self.canon[a], width, width, 4))
+        place = np.concatenate([*places, a])
+        return place, np.concatenate(hashes), np.concatenate([*places, a + 1])
+
+    def values(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot values of stretches one after the other, how many each has)."""
+        first, n = self.slots_before[begin], self.slots_before[end] - self.slots_before[begin]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return self.value[np.flatnonzero(self.slot)[at]].view(np.int64), n
+
+
+def template(words: Words, lines: bool = True) -> Template:
+    """Tokens of words; with ``lines``, a line break ends a sentence.
 
     A run of names is one token, as is a number with its unit; its value is that of the whole run.
     """
+    bare, kind = words.bare, words.kind
+    low, high = words.spans()
     if not len(bare):
-        return bare, bare, np.empty(0, bool), np.empty(0, bool)
+        return Template(bare, bare, np.empty(0, bool), np.empty(0, bool), low, high)
+    begins = np.arange(len(bare)) == low
     number = (kind & 1) > 0
-    unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]])
+    unit = ((kind & 2) > 0) & np.concatenate([[False], number[:-1]]) & ~begins
     capital = ((kind & 4) > 0) & ~number & ~unit
-    name = capital & np.concatenate([[False], (kind[:-1] & 8) == 0]) & ~first
+    name = capital & np.concatenate([[False], (kind[:-1] & 8) == 0]) & ~(words.first if lines else begins) & ~begins
     canon = np.where(number, np.uint64(1), np.where(name, np.uint64(3), bare))
     joined = unit | (name & np.concatenate([[False], name[:-1]]))
     begin = np.flatnonzero(~joined)
+    length = np.diff(np.append(begin, len(bare)))
     value = bare[begin]
-    for k in range(1, int(np.diff(np.append(begin, len(bare))).max())):
-        longer = np.flatnonzero(np.append(begin[1:], len(bare)) - begin > k)
+    longer = np.flatnonzero(length > 1)
+    k = 1
+    while len(longer):
         value[longer] = value[longer] * np.uint64(_P) + bare[begin[longer] + k]
-    return canon[begin], value, (number | name)[begin], capital[begin]
+        k += 1
+        longer = longer[length[longer] > k]
+    token = np.cumsum(~joined) - 1
+    edge = np.append(token, len(begin))
+    return Template(canon[begin], value, (number | name)[begin], capital[begin], edge[low[begin]], edge[high[begin]])
 
 
 class Sums:
@@ -108,51 +215,21 @@ class Sums:
         return (self.sums[end] - self.sums[begin]) * Sums.up[begin]
 
 
-def _mixed(h: np.ndarray, width: int, length: np.ndarray, family: int) -> np.ndarray:
-    h = h * np.uint64(_P) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(width << 8 | family)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+def _mixed(h: np.ndarray, width: int, length: np.ndarray | int, family: int) -> np.ndarray:
+    tail = np.asarray(length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 % 2**63) + np.uint64(width << 8 | family)
+    h = h * np.uint64(_P)
+    h += tail
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def literal_windows(bare: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def literal_windows(words: Words, width: int, sums: Sums | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of every window of words."""
-    at = np.arange(max(len(bare) - width + 1, 0))
-    return at, _mixed(Sums(bare).of(at, at + width), width, np.full(len(at), width), 0)
-
-
-def template_windows(canon: np.ndarray, slot: np.ndarray, capital: np.ndarray, width: int, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first token whose value counts) of every template window.
-
-    A window with fewer than ``LITERALS`` words is widened to the left until it has them, or else to the
-    right; ``both`` gives the two where they exist (a document does not know where an item begins). A
-    window that begins with a capital is also hashed as beginning with any capital, whose value is left out.
-    """
-    at = np.arange(max(len(canon) - width + 1, 0))
-    if not len(at):
-        return at, np.empty(0, np.uint64), at
-    sums, word = Sums(canon), np.flatnonzero(~slot)
-    after, before = np.searchsorted(word, at), np.searchsorted(word, at + width)
-    thin = before - after < LITERALS
-    left, right = thin & (before >= LITERALS), thin & (after + LITERALS <= len(word))
-    if not both:
-        right &= ~left
-    begin_left = word[before[left] - LITERALS] if left.any() else at[:0]
-    end_right = word[after[right] + LITERALS - 1] + 1 if right.any() else at[:0]
-    any_first = capital[at] & (before - np.searchsorted(word, at + 1) >= LITERALS)
-    wide, a = ~thin, at[any_first]
-    parts = [
-        (at[wide], at[wide], at[wide] + width, 1, at[wide]),
-        (at[left], begin_left, at[left] + width, 2, at[left]),
-        (at[right], at[right], end_right, 3, at[right]),
-    ]
-    places = [p[0] for p in parts] + [a]
-    hashes = [_mixed(sums.of(b, e), width, e - b, f) for _, b, e, f, _ in parts]
-    hashes.append(_mixed(sums.of(a, a + width) - canon[a], width, np.full(len(a), width), 4))
-    return np.concatenate(places), np.concatenate(hashes), np.concatenate([p[4] for p in parts] + [a + 1])
-
-
-def _slots(bare: np.ndarray, slot: np.ndarray, begin: int, end: int) -> list[int]:
-    return bare[begin:end][slot[begin:end]].view(np.int64).tolist()
+    high = words.spans()[1] if high is None else high
+    at = np.flatnonzero(np.arange(len(high)) + width <= high)
+    return at, _mixed((sums or Sums(words.bare)).of(at, at + width), width, width, 0)
 
 
 _ITEM = "item_id bigint, reading int, at int, h bigint, slots array<bigint>, width int, n_windows int"
@@ -165,18 +242,20 @@ def _item_windows(window: int, shortest: int):
             rows = []
             for i, t in zip(pdf["item_id"], pdf["text"]):
                 words = canon.words(t if isinstance(t, str) else "")
-                width = min(window, len(words[0]))
-                if width < shortest:
+                width = min(window, len(words.bare))
+                if not width:
                     continue
-                at, h = literal_windows(words[0], width)
+                at, h = literal_windows(words, width)
                 rows += [(int(i), 0, a, x, [], width, len(at)) for a, x in zip(at.tolist(), h.view(np.int64).tolist())]
-                c, bare, slot, capital = template(*words)
-                width = min(window, len(c))
+                tokens = template(words)
+                width = min(window, len(tokens.canon))
                 if width < shortest:
                     continue
-                at, h, begin = template_windows(c, slot, capital, width, both=False)
-                n = len(np.unique(at))
-                rows += [(int(i), 1, a, x, _slots(bare, slot, b, a + width), width, n) for a, x, b in zip(at.tolist(), h.view(np.int64).tolist(), begin.tolist())]
+                at, h, begin = tokens.windows(width, both=False)
+                values, n = tokens.values(begin, at + width)
+                slots = np.split(values, np.cumsum(n)[:-1])
+                count = len(np.unique(at))
+                rows += [(int(i), 1, a, x, v.tolist(), width, count) for a, x, v in zip(at.tolist(), h.view(np.int64).tolist(), slots)]
             yield pd.DataFrame(rows, columns=["item_id", "reading", "at", "h", "slots", "width", "n_windows"])
 
     return run
@@ -192,38 +271,78 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(i, t)), F.hex(F.xxhash64(t, i, F.lit("row"))))
 
 
-def _doc_windows(widths: list[int], bitmap: bytes):
+def _doc_windows(literal: list[int], templates: list[int], bitmap: bytes):
+    names = [c.split()[0] for c in _DOC.split(", ")]
+
+    def batch(doc_id, row, reading=None, at=None, h=None, slots=None, n=None):
+        k = len(doc_id)
+        none = [pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+        if reading is not None:
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            none = [pa.array(np.full(k, reading, np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots))]
+        return pa.RecordBatch.from_arrays([doc_id, row, *none], names)
+
     def run(batches):
         canon, bits = Canon(), np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
-        known = lambda h: np.flatnonzero(bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
-        for pdf in batches:
-            out = []
-            for d, key, t in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist()):
-                text = t if isinstance(t, str) else ""
-                d = None if d is None else int(d)
-                out.append((d, key, None, None, None, None))
-                words = canon.words(text)
-                for width in widths:
-                    at, h = literal_windows(words[0], width)
-                    out += [(d, key, 0, int(at[k]), int(h[k].view(np.int64)), []) for k in known(h)]
-                # a line break ends a sentence in reading 1, and is a blank in reading 2
-                _, kind, first = words
-                readings = [template(*words)]
-                if (first[1:] & ((kind[1:] & 4) > 0) & ((kind[:-1] & 8) == 0)).any():
-                    readings.append(template(*words[:2], np.zeros(len(first), bool)))
-                for number, (c, bare, slot, capital) in enumerate(readings, 1):
-                    for width in widths:
-                        at, h, begin = template_windows(c, slot, capital, width, both=True)
-                        out += [(d, key, number, int(at[k]), int(h[k].view(np.int64)), _slots(bare, slot, begin[k], at[k] + width)) for k in known(h)]
-            # nullable integers: floats would round the hashes
-            whole = lambda i: pd.array([r[i] for r in out], dtype="Int64")  # noqa: B023, E731
-            yield pd.DataFrame({"doc_id": whole(0), "row": [r[1] for r in out], "reading": whole(2), "at": whole(3), "h": whole(4), "slots": [r[5] for r in out]})
+        known = lambda h: np.flatnonzero(bits[(h & np.uint64(BITMAP_BITS - 1)).view(np.int64)])
+
+        def hits(part, texts):
+            """Windows of the texts of ``part`` that some item may have, by reading."""
+
+            def give(reading, place, low, at, h, slots, n):
+                text = pa.array(place)
+                return batch(part.column(0).take(text), part.column(1).take(text), reading, at - low, h, slots, n)
+
+            words = canon.words(*texts)
+            low, high = words.spans()
+            size = words.stops - words.begins()
+            text_of = np.repeat(np.arange(len(texts)), size)
+            sums = Sums(words.bare)
+            for width in literal:
+                at, h = literal_windows(words, width, sums, high)
+                k = known(h)
+                if len(k):
+                    yield give(0, text_of[at[k]], low[at[k]], at[k], h[k], np.empty(0, np.int64), np.zeros(len(k), np.int64))
+            # a line break ends a sentence in reading 1, and is a blank in reading 2
+            kind, first = words.kind, words.first
+            differs = np.flatnonzero(first[1:] & ((kind[1:] & 4) > 0) & ((kind[:-1] & 8) == 0) & (text_of[1:] == text_of[:-1])) + 1
+            some = np.unique(text_of[differs])
+            readings = [(1, np.arange(len(texts)), template(words))]
+            if len(some):
+                readings.append((2, some, template(words.of(some), lines=False)))
+            for reading, numbers, tokens in readings:
+                # where each text's tokens begin tells a token's text
+                begins, which = np.unique(tokens.low, return_inverse=True)
+                named = np.zeros(len(begins), np.int64)
+                filled = numbers[size[numbers] > 0]
+                named[: len(filled)] = filled
+                for width in templates:
+                    at, h, begin = tokens.windows(width, both=True)
+                    k = known(h)
+                    if len(k):
+                        a = at[k]
+                        values, n = tokens.values(begin[k], a + width)
+                        yield give(reading, named[which[a]], tokens.low[a], a, h[k], values, n)
+
+        for whole in batches:
+            texts, held, begin = [], 0, 0
+            for i, t in enumerate(whole.column(2)):
+                texts.append(t.as_py() or "")
+                held += len(texts[-1])
+                if held >= TOGETHER or i + 1 == whole.num_rows:
+                    part = whole.slice(begin, len(texts))
+                    yield batch(part.column(0), part.column(1))
+                    yield from hits(part, texts)
+                    texts, held, begin = [], 0, i + 1
 
     return run
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """Literal (reading 0) and template windows (1) of the items; an item shorter than ``window`` is one window."""
+    """Literal (reading 0) and template windows (1) of the items; an item shorter than ``window`` is one window.
+
+    Items of fewer than ``shortest`` tokens are searched for literally only: their templates say nothing.
+    """
     return benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInPandas(_item_windows(window, shortest), _ITEM)
 
 
@@ -325,10 +444,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     text are judged once and returned as often as they come. Empty tables give empty or clean results.
     """
     items = stored(item_windows(benchmark), "bench-windows")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WINDOW values
-    # ids travel as text: pandas turns whole numbers with gaps into floats
-    body = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
-    found = stored(body.mapInPandas(_doc_windows(widths, bitmap_of(items)), _DOC), "bench-hits")
+    widths = items.select("reading", "width").distinct().collect()  # at most WINDOW values a reading
+    literal, templates = (sorted(w for r, w in widths if r == k) for k in (0, 1))
+    body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    found = stored(body.mapInArrow(_doc_windows(literal, templates, bitmap_of(items)), _DOC), "bench-hits")
     rows = found.filter("at IS NULL").select("doc_id", "row")
     hits = found.filter("at IS NOT NULL").select("row", "reading", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots")).distinct()
     # a row per item and hash, so that an item of repeated windows does not multiply the hits
