@@ -7,6 +7,8 @@ pages, and between a host and its parent domain (both ways), so that hosts witho
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MASS = 10**15  # rank is whole units, so sums do not depend on the order of rows
 DAMPING = 0.85
-ROUNDS = 12
+LEFT = 1e-3  # share of the mass that may still be on its way at the end
+ROUNDS = math.ceil(math.log(LEFT) / math.log(DAMPING))
 MIN_LABELS = 2  # parents with fewer labels (top-level domains) are no nodes
+ADDRESS = r"^[0-9.]+(:|$)|^\["  # hosts that are addresses have no parent domain
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -59,12 +63,14 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, w): links between different hosts, and host to parent domain and back."""
     links = pages.select("host", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1)))).alias("url"))
+    # //host/path takes the scheme of its page
+    links = links.withColumn("url", F.when(F.startswith("url", F.lit("//")), F.concat(F.lit("http:"), "url")).otherwise(F.col("url")))
     links = links.filter(F.col("url").contains("://")).select(F.col("host").alias("src"), host_of(F.col("url")).alias("dst"))
     links = links.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     known = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
     chain = F.filter(suffixes(F.col("host")), lambda d: F.size(F.split(d, r"\.")) >= MIN_LABELS)
     pair = F.transform(F.filter(F.sequence(F.lit(0), F.size("c") - 2), lambda i: i >= 0), lambda i: F.struct(F.get("c", i).alias("src"), F.get("c", i + 1).alias("dst")))
-    up = known.select(chain.alias("c")).filter(F.size("c") > 1).select(F.inline(pair)).distinct()
+    up = known.filter(~F.col("host").rlike(ADDRESS)).select(chain.alias("c")).filter(F.size("c") > 1).select(F.inline(pair)).distinct()
     tree = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1).cast("bigint"))
     return links.unionByName(tree).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
@@ -73,8 +79,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     """(node, trust, distrust): two walks over one edge table.
 
     ``seeds``: (node, trust, distrust) counts. Both walks run in the same joins: each edge carries trust
-    forward and distrust backward. A round is a join on the sending node and a sum; every round is
-    written out, so plans stay short.
+    forward and distrust backward. A round is a join on the sending node and a sum; ranks are written out
+    every few rounds, so plans stay short. Each round moves ``DAMPING`` of what the one before moved, so after
+    ``ROUNDS`` at most ``LEFT`` of the mass is still on its way, whatever the graph; a node farther from every
+    seed than that has no rank.
     """
     trust_out = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("out"))
     back_out = edges.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("out"))
@@ -107,7 +115,7 @@ def judge(pages: DataFrame, rules: DataFrame, factor: float = 1.0, floor: int =
     """
     added = ["host", "path", "rule", "verdict", "trust", "distrust"]
     keep = [c for c in pages.columns if c not in added]
-    rows = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = pages.select(F.struct(*keep).alias("page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     fit = stored(hosts.join(rules_by_host(hosts, rules), "host", "left"), "url-rules")
     best = F.get(F.filter("rules", lambda x: F.startswith(F.col("path"), x["prefix"])), 0)
@@ -120,4 +128,4 @@ def judge(pages: DataFrame, rules: DataFrame, factor: float = 1.0, floor: int =
     scored = ruled.join(ranks.select(F.col("node").alias("host"), "trust", "distrust"), "host", "left").na.fill(0, ["trust", "distrust"])
     bad = (F.col("distrust") >= floor) & (F.col("distrust") > factor * F.col("trust"))
     verdict = F.coalesce(F.col("_best.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
-    return scored.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
+    return scored.select("page.*", "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
