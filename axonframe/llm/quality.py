@@ -44,7 +44,7 @@ POLICIES = {
 }
 CURRENT = "v2"
 
-POSITION_BITS = 24  # a candidate key is 40 hash bits and the position of a window
+FEW_WINDOWS = 1 << 24  # below this, positions take 24 bits of a key and leave 40 to the hash
 
 
 def mask_of(policy: str) -> int:
@@ -65,16 +65,23 @@ def repeat_words(w: Column) -> Column:
     last = F.size(w) - 3
     gram = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    low = F.lit((1 << POSITION_BITS) - 1)
 
     def candidates(h: Column) -> Column:
-        keyed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR(i.cast("bigint"))))
-        top = lambda k: F.shiftright(k, POSITION_BITS)
+        """Positions of windows whose hash is not alone; the hashes are sorted beside them, in one array of longs."""
+        bits = F.lit(32) - F.when(F.size(h) < FEW_WINDOWS, F.lit(8)).otherwise(F.lit(0))  # room for every position an array can have
+        return let(bits, lambda n: _beside(h, n))
+
+    def _beside(h: Column, n: Column) -> Column:
+        one = F.lit(1).cast("bigint")
+        low = F.call_function("shiftleft", one, n) - one
+        keyed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint"))))
+        top = lambda k: k.bitwiseAND(F.bitwise_not(low))
         same = lambda a, b: F.coalesce(top(a) == top(b), F.lit(False))
-        return let(keyed, lambda s: F.filter(s, lambda k, i: same(k, F.get(s, i + 1)) | same(k, F.get(s, i - 1))))
+        found = let(keyed, lambda s: F.filter(s, lambda k, i: same(k, F.get(s, i + 1)) | same(k, F.get(s, i - 1))))
+        return F.transform(found, lambda k: k.bitwiseAND(low).cast("int"))
 
     def repeated(c: Column) -> Column:
-        places = F.sort_array(F.transform(c, lambda k: let(k.bitwiseAND(low).cast("int"), lambda i: F.struct(gram(i).alias("g"), i.alias("i")))))
+        places = F.sort_array(F.transform(c, lambda i: F.struct(gram(i).alias("g"), i.alias("i"))))
         same = lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False))
         kept = let(places, lambda p: F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) | same(x, F.get(p, i - 1))))
         return F.sort_array(F.transform(kept, lambda x: x["i"]))
@@ -111,11 +118,11 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     NULL and empty texts have zero counts and fail ``too_short``; columns of ``docs`` named like a
     measurement are replaced. Repeated rows are judged alike, an empty table gives an empty ledger.
     """
-    made = ["n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "fail_bits", "_w", "_l"]
+    made = ["n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "fail_bits"]
     rest = [c for c in docs.columns if c not in made]
-    out = docs.select(*rest, *measurements(F.col(text)))
+    out = docs.select(F.struct(*rest).alias("doc"), *measurements(F.col(text)))
     out = out.select(
-        *rest, F.col("_w.n").alias("n_words"), F.col("_l.n").alias("n_lines"), "word_chars", "n_symbols",
+        "doc.*", F.col("_w.n").alias("n_words"), F.col("_l.n").alias("n_lines"), "word_chars", "n_symbols",
         F.col("_l.dup").alias("n_dup_lines"), F.col("_w.rep").alias("n_repeat_words"), "n_upper", "n_lower",
     )
     bits = F.lit(0).cast("bigint")
