@@ -6,6 +6,7 @@ Archives are byte streams of bounded size, kept as rows (path, content), which i
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -20,6 +21,7 @@ ARCHIVE_BYTES = 4 << 20  # an archive is closed once it holds so many bytes
 GZIP = b"\x1f\x8b\x08"
 _PIECE = 1 << 14  # bytes of a member that are inflated at once
 _NEEDED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
+_SIZES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}  # digest bytes by algorithm
 _DATE = b"2024-01-01T00:00:00Z"  # fixed, so that reruns write the same bytes
 
 
@@ -100,37 +102,71 @@ def write_archives(records: DataFrame, compress: bool = True, limit: int = ARCHI
     return cols.mapInPandas(_write(compress, limit), "path string, content binary")
 
 
+def digest_bytes(digest: str) -> tuple[str, bytes | None]:
+    """(algorithm, bytes) of ``algorithm:value``; the value is hex, base32 or base64, as its length tells for the algorithm.
+    None for an algorithm that is not known here, or a value that is none of the three."""
+    name, _, value = digest.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    size = _SIZES.get(name)
+    if size is None:
+        return name, None
+    plain = value.rstrip("=")
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        if len(plain) == -(-8 * size // 5):
+            return name, base64.b32decode(plain.upper() + "=" * (-len(plain) % 8))
+        if len(plain) == -(-4 * size // 3):
+            return name, base64.b64decode(plain.replace("-", "+").replace("_", "/") + "=" * (-len(plain) % 4), validate=True)
+    except ValueError:
+        pass
+    return name, None
+
+
+def agrees(digest: str, data: bytes) -> bool | None:
+    """Whether a declared digest is that of ``data``; None if it can't be checked."""
+    name, want = digest_bytes(digest)
+    return None if want is None else hashlib.new(name, data, usedforsecurity=False).digest() == want
+
+
 def _parse(data: bytes, at: int):
     """((fields, block, end), None) of the record at ``at``, or (None, reason)."""
     m = re.compile(rb"WARC/1\.\d\r?\n").match(data, at)
     if not m:
         return None, "no version line"
-    # a header of any length, but none goes on after the next version line
+    # a header of any length, but none goes on after the next version line; lines end as the version line does
+    eol = b"\r\n" if m[0].endswith(b"\r\n") else b"\n"
     limit = data.find(b"\nWARC/1.", m.end())
-    stop = data.find(b"\r\n\r\n", m.end(), len(data) if limit < 0 else limit + 1)
+    stop = data.find(eol * 2, m.end() - len(eol), len(data) if limit < 0 else limit + 1)
     if stop < 0:
         return None, "header does not end"
-    fields = {}
-    for line in data[m.end() : stop].split(b"\r\n"):
+    fields, name = {}, None
+    for line in data[m.end() : stop].split(eol) if stop > m.end() else ():
+        if line[:1] in (b" ", b"\t") and name:  # folded: goes on with the value of the line before
+            fields[name] = (fields[name] + b" " + line.strip()).strip()
+            continue
         name, colon, value = line.partition(b":")
+        name = name.strip().lower()
         if not colon:
             return None, "bad header line"
-        fields[name.strip().lower()] = value.strip()
+        fields[name] = value.strip()
     if not _NEEDED <= fields.keys():
         return None, "a header line is missing"
     length = fields.get(b"content-length", b"")
     if not length.isdigit():
         return None, "bad length"
-    begin, end = stop + 4, stop + 4 + int(length)
+    begin = stop + 2 * len(eol)
+    end = begin + int(length)
     if end > len(data):
         return None, "record is cut off"
     block = data[begin:end]
     want = fields.get(b"warc-block-digest")
-    if want and want != b"sha1:" + hashlib.sha1(block).hexdigest().encode():
+    if want and agrees(want.decode(errors="replace"), block) is False:
         return None, "block digest differs"
-    if data[end : end + 4] != b"\r\n\r\n":
+    tail = next((t for t in (b"\r\n\r\n", b"\n\n") if data.startswith(t, end)), None)
+    if tail is None:
         return None, "record does not end"
-    return (fields, block, end + 4), None
+    return (fields, block, end + len(tail)), None
 
 
 def _plain(data: bytes, base: int):
@@ -213,7 +249,7 @@ def salvage(data: bytes):
         yield "gap", (bad, len(data), reason)
 
 
-_READ = "path string, at bigint, until bigint, reason string, page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string"
+_READ = "path string, at bigint, until bigint, reason string, page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string, checked boolean"
 _CHUNK = 64
 
 
@@ -227,10 +263,16 @@ def _row(path, at, fields, block):
     kind = fields.get(b"warc-type", b"").decode()
     length = re.search(rb"(?i)content-length:\s*(\d+)", head)
     revisit = kind == "revisit"
-    digest = fields.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest()
+    digest = hashlib.sha1(payload).hexdigest()
+    if revisit:  # the payload is elsewhere: its declared SHA-1 as hex, any other digest as it stands
+        declared = fields.get(b"warc-payload-digest", b"").decode(errors="replace")
+        name, value = digest_bytes(declared)
+        digest = value.hex() if name == "sha1" and value else declared
+    block_digest = fields.get(b"warc-block-digest", b"").decode(errors="replace")
+    checked = bool(block_digest) and agrees(block_digest, block) is True
     size = (int(length[1]) if length else None) if revisit else len(payload)
     ref = _page(fields.get(b"warc-refers-to", b""))
-    return (path, at, None, None, _page(fields.get(b"warc-record-id", b"")), fields.get(b"warc-target-uri", b"").decode(errors="replace"), kind, ref, None if revisit else payload, size, digest)
+    return (path, at, None, None, _page(fields.get(b"warc-record-id", b"")), fields.get(b"warc-target-uri", b"").decode(errors="replace"), kind, ref, None if revisit else payload, size, digest, checked)
 
 
 def _read(batches):
@@ -244,7 +286,7 @@ def _read(batches):
         for path, content in zip(pdf["path"], pdf["content"]):
             rows = []
             for kind, x in salvage(bytes(content) if content is not None else b""):
-                rows.append(_row(path, *x) if kind == "record" else (path, x[0], x[1], x[2], *[None] * 7))
+                rows.append(_row(path, *x) if kind == "record" else (path, x[0], x[1], x[2], *[None] * 8))
                 if len(rows) >= _CHUNK:
                     yield frame(rows)
                     rows = []
@@ -253,7 +295,11 @@ def _read(batches):
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Records (``reason`` is NULL) and quarantined gaps [at, until) with their reason, of (path, content)."""
+    """Records (``reason`` is NULL) and quarantined gaps [at, until) with their reason, of (path, content).
+
+    ``checked`` tells that a record's block digest was declared and is right; a record without one, or with one
+    of an unknown algorithm or encoding, is kept unchecked. One that is wrong makes a gap.
+    """
     return archives.select("path", "content").mapInPandas(_read, _READ)
 
 

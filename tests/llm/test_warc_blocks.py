@@ -158,3 +158,38 @@ def test_extract(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in out)
     assert got == [(0, "Head\nOne & two.\nThree.", 22), (1, "Head\nOne & two.\nThree.", 22), (1, "Head\nOne & two.\nThree.", 22), (2, "", 0), (3, "", 0)]
     assert blocks.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+@pytest.mark.parametrize("digest", ["sha1:{hex}", "SHA1:{HEX}", "sha1:{b32}", "sha1:{b64}", "sha-256:{s256}", "blake9:abc", None])
+def test_foreign_digests_and_headers(digest, zipped):
+    import base64
+
+    def record(i, eol):
+        block = b"HTTP/1.1 200 OK" + eol + eol + b"payload %d" % i
+        sha = hashlib.sha1(block).digest()
+        head = [b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:page:%d>" % i, b"WARC-Date: 2020-01-01T00:00:00Z", b"WARC-Target-URI: http://a/" + eol + b"   folded", b"Content-Length: %d" % len(block)]
+        if digest:
+            value = digest.format(hex=sha.hex(), HEX=sha.hex().upper(), b32=base64.b32encode(sha).decode(), b64=base64.b64encode(sha).decode(), s256=hashlib.sha256(block).hexdigest())
+            head.append(b"WARC-Block-Digest: " + value.encode())
+        return eol.join(head) + eol + eol + block + eol + eol
+
+    raw = [record(i, eol) for i, eol in enumerate((b"\r\n", b"\n", b"\r\n"))]
+    data = b"".join(gzip.compress(r) if zipped else r for r in raw)
+    got = list(warc.salvage(data))
+    assert [k for k, _ in got] == ["record"] * 3
+    rows = [warc._row("p", *x) for _, x in got]
+    assert [r[4] for r in rows] == [0, 1, 2] and rows[1][5] == "http://a/ folded"
+    assert all(r[-1] == (digest is not None and "blake9" not in digest) for r in rows)
+    if digest and "blake9" not in digest:
+        wrong = b"".join(raw).replace(b"payload 1", b"payload 7")
+        kinds = [k for k, _ in warc.salvage(wrong)]
+        assert kinds == ["record", "gap", "record"]
+
+
+def test_declared_payload_digest_of_a_revisit_is_hex():
+    import base64
+
+    sha = hashlib.sha1(b"x").digest()
+    fields = {b"warc-type": b"revisit", b"warc-payload-digest": b"sha1:" + base64.b32encode(sha)}
+    assert warc._row("p", 0, fields, b"HTTP/1.1 200 OK\r\n\r\n")[10] == sha.hex()
