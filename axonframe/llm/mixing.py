@@ -83,7 +83,7 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7, block: int = BLOCK_W
     """
     added = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(*keep, n_words(F.col(text)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("_h"))
+    rows = docs.select(F.struct(*keep).alias("doc"), "source", "doc_id", n_words(F.col(text)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("_h"))
     counted = stored(rows.select("source", "doc_id", "size", "_h"), "mix-sizes")
     shards = max(1, -(-counted.count() // rows_per_shard))
     shard = F.pmod(_number(F.col("_h")), F.lit(shards)).cast("int").alias("_shard")
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7, block: int = BLOCK_W
     # the join is on source and shard: a hot source has as many keys as its rows need
     seq = Window.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_shard", shard).withColumn("_end", F.sum("size").over(seq))
-    placed = placed.join(d, placed["source"].eqNullSafe(d["_s"]) & (F.col("_shard") == F.col("_sh")))
+    placed = placed.join(d, placed["source"].eqNullSafe(d["_s"]) & (F.col("_shard") == F.col("_sh"))).drop("source", "doc_id")
     nb = F.greatest(F.ceil(F.col("_tokens") / block), F.lit(1)).cast("bigint")
     start = F.pmod(_number(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_sh").cast("string"), F.col("_s")).cast("binary"))), nb)
     placed = placed.withColumn("_nb", nb).withColumn("_first", start).withColumn("_extra", F.pmod("quota", F.col("_nb"))).withColumn("_rounds", F.floor(F.col("quota") / F.col("_nb")).cast("bigint"))
@@ -116,11 +116,11 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7, block: int = BLOCK_W
     stop = F.col("_first") + F.col("_extra")
     run = overlap(F.col("_first") * block, F.least(stop, F.col("_nb")) * block) + overlap(F.lit(0), F.greatest(stop - F.col("_nb"), F.lit(0)) * block)
     taken = (F.col("_rounds") * F.col("size") + run).cast("bigint")
-    return placed.select(*[F.col(c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def materialise(mixed: DataFrame) -> DataFrame:
     """The mix as whole documents: a row appears as often as its taken words fill it, to the nearest
     whole number. Only the documents at the ends of the runs are ever rounded, two per shard."""
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    return mixed.withColumn("_i", F.explode(F.array_repeat(F.lit(1), copies))).drop("_i")
+    return mixed.select(F.struct(*mixed.columns).alias("doc"), F.explode(F.array_repeat(F.lit(1), copies))).select("doc.*")

@@ -70,7 +70,7 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", bins: int = BIN
     added = ["size", "text_crc32", "shard", "slot"]
     keep = [c for c in docs.columns if c not in added]
     doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("bigint")
-    weighed = docs.select(*keep, (F.octet_length(t) + 1 if size is None else size).cast("bigint").alias("size"), F.crc32(t.cast("binary")).cast("bigint").alias("text_crc32"), F.unhex(F.md5(t.cast("binary"))).alias("_key"), doc_id.alias("_id"))
+    weighed = docs.select(F.struct(*keep).alias("doc"), (F.octet_length(t) + 1 if size is None else size).cast("bigint").alias("size"), F.crc32(t.cast("binary")).cast("bigint").alias("text_crc32"), F.unhex(F.md5(t.cast("binary"))).alias("_key"), doc_id.alias("_id"))
     narrow = stored(weighed.select("_key", "size"), "shard-sizes")
     total = narrow.agg(F.sum("size"), F.count(F.lit(1))).first()
     least = max(1, -(-(total[0] or 0) // bins))
@@ -90,4 +90,4 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", bins: int = BIN
     starts = here.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_chunk").orderBy("_id", "text_crc32", "size")
     numbered = rows.withColumn("_at", F.row_number().over(inside) - 1).join(starts, ["shard", "_chunk"])
-    return numbered.select(*keep, "size", "text_crc32", "shard", (F.col("_start") + F.col("_at")).cast("bigint").alias("slot"))
+    return numbered.select("doc.*", "size", "text_crc32", "shard", (F.col("_start") + F.col("_at")).cast("bigint").alias("slot"))
