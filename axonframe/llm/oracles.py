@@ -35,10 +35,10 @@ ruled AS (
   ) x USING (rn)),
 link AS (
   SELECT host AS src, {_ASCII.format("regexp_extract(substr(l, strpos(l, '://') + 3), '^([^/?#]*)', 1)")} AS dst FROM (
-    SELECT host, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1))) AS l FROM rows) WHERE strpos(l, '://') > 0),
+    SELECT host, CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END AS l FROM (SELECT host, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1))) AS l FROM rows)) WHERE strpos(l, '://') > 0),
 links AS (SELECT src, dst, count(*) AS w FROM link WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
 known AS (SELECT DISTINCT host FROM (SELECT host FROM rows WHERE host <> '' UNION ALL SELECT dst FROM links)),
-lab AS (SELECT string_split(host, '.') AS l FROM known),
+lab AS (SELECT string_split(host, '.') AS l FROM known WHERE NOT regexp_matches(host, '^[0-9.]+(:|$)|^\[')),
 up AS (SELECT DISTINCT array_to_string(l[i:], '.') AS src, array_to_string(l[i + 1:], '.') AS dst FROM (SELECT l, unnest(range(1, len(l)::BIGINT)) AS i FROM lab) WHERE len(l) - i >= {urls.MIN_LABELS}),
 edges AS (SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT * FROM links UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY 1, 2),
 share AS MATERIALIZED (

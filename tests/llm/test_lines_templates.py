@@ -37,6 +37,49 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
         assert out[i].n_lines == t.count("\n") + 1 and out[i].lang == "x"
 
 
+def repeated_windows(rows, least=50):
+    """Per row, the positions of lines in stretches of at least ``least`` words that an earlier row has as well."""
+    out, seen = {}, {}
+    for i, t in sorted(rows):
+        lines = (t or "").split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                window = tuple(lines[a:b])
+                if sum(len(x.split()) for x in window) >= least:
+                    if window in seen:
+                        gone |= set(range(a, b))
+                    break
+        for a in range(len(lines)):
+            for b in range(a + 1, min(a + 12, len(lines)) + 1):
+                seen.setdefault(tuple(lines[a:b]), i)
+        out[i] = gone
+    return out
+
+
+def test_passages_beside_other_repeated_lines(spark):
+    rnd = random.Random(11)
+    menu = ["", "Home", "About us", "", "Share this page with a friend"]
+    passages = [passage(rnd, 5, 14, 14) for _ in range(40)]
+    rows = []
+    for i in range(160):
+        own = passage(rnd, rnd.randint(1, 4), 3, 30)
+        p = passages[i % 40]
+        beside = lambda: [rnd.choice(menu)] * rnd.randint(0, 2) + (rnd.choice(passages) if rnd.random() < 0.1 else [])  # noqa: B023, E731
+        rows.append((i, "\n".join(own[:2] + beside() + p + beside() + own[2:])))
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    need = repeated_windows(rows)
+    assert sum(map(bool, need.values())) > 110
+    for i, t in rows:
+        rest = iter(t.split("\n"))
+        assert all(line in rest for line in out[i].text.split("\n")) or not out[i].text, i  # what is left stands in order
+        # a menu line at the edge may stay; all lines of the passages must go
+        gone = {t.split("\n")[pos] for pos in need[i]} - set(menu)
+        assert not gone & set(out[i].text.split("\n")), i
+    everything = " ".join(r.text for r in out.values()).split()
+    assert {w for _, t in rows for w in t.split()} == set(everything)
+
+
 def test_line_edges(spark):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(2, long), (1, long), (1, long), (None, long), (3, None), (4, ""), (5, "a\nb\na\nb"), (6, "a\nb"), (7, "\n\n" + long + "\n\n"), (8, f"{long}\n{long}")]
@@ -123,6 +166,36 @@ def test_leaks_of_slots_and_line_starts(spark):
     assert [got[i].exact for i in range(9)] == [True] * 6 + [False] * 3 and all(got[i].kept for i in range(9, 13))
 
 
+def test_items_of_one_and_two_words_are_found_literally(spark):
+    got = kept_by(spark, ["Quaternion", "two Words", "three short words"], ["a quaternion, here", "two words", "two other words", "these three short words", "", "Words two"])
+    assert [got[i].item_id for i in range(6)] == [0, 1, None, 2, None, None] and got[0].exact
+
+
+def test_texts_read_together_are_read_alone(spark, monkeypatch):
+    rnd = random.Random(6)
+    bits = ["Alice", "Bob.", "kg", "12", "word", "other\n", "7", "Carol\n", "m", "end.", "NASA", "x"]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(80)]
+    canon = templates.Canon()
+    together = {}
+    words = canon.words(*texts)
+    for lines_end in (True, False):
+        t = templates.template(words, lines_end)
+        for width in (3, 8):
+            at, h, begin = t.windows(width, both=True)
+            starts = [templates.template(canon.words(x), lines_end) for x in texts]
+            offsets, place = [], 0
+            for x in starts:
+                offsets.append(place)
+                place += len(x.canon)
+            alone = []
+            for offset, x in zip(offsets, starts):
+                a, g, b = x.windows(width, both=True)
+                alone += list(zip((a + offset).tolist(), g.tolist(), (b + offset).tolist()))
+            assert sorted(zip(at.tolist(), h.tolist(), begin.tolist())) == sorted(alone)
+            together[lines_end, width] = len(alone)
+    assert all(together.values())
+
+
 def test_leaks_with_values_of_other_lengths(spark):
     item = ITEMS[0][1]
     other = lambda city, load: item.replace("Boston", city).replace("40 kg", load)

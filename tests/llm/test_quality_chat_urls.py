@@ -30,6 +30,23 @@ def test_measurements_against_plain_counts(spark):
     assert quality.ledger(df.limit(0)).count() == 0
 
 
+def test_positions_beyond_24_bits_have_room(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW_WINDOWS", 5)  # longer texts give positions 32 bits
+    texts = ["a b c a b c", "x y z " * 9, " ".join(f"w{i % 37}" for i in range(400)), "one two three four five six seven eight"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_repeat_words for r in quality.ledger(df).collect()} == {i: repeat_words(t.split()) for i, t in enumerate(texts)}
+
+
+def test_relative_links_addresses_and_long_chains(spark):
+    chain = [(i, f"http://h{i}.net/", f'<a href="//h{i + 1}.net/x">') for i in range(20)]
+    pages = [(100, "http://good.org/", '<a href="//h0.net/">'), (101, "http://h20.net/", '<a href=//bad.com/de/>'), (102, "http://bad.com/de/1", ""), (103, "http://10.1.2.3/", '<a href="http://bad.com/de/">'), (104, "http://99.1.2.3/", "")]
+    df = spark.createDataFrame(chain + pages, "page_id bigint, url string, html string")
+    out = {r.host: r for r in urls.judge(df, urls.rule_table(spark)).collect()}
+    assert out["h20.net"].distrust > 0 and out["h20.net"].verdict == "block" and out["h13.net"].trust > 0
+    assert out["10.1.2.3"].verdict == "block" and out["99.1.2.3"].distrust == 0 and out["99.1.2.3"].verdict == "allow"
+    assert urls.DAMPING**urls.ROUNDS <= urls.LEFT
+
+
 def test_policies_and_ablations(spark):
     good, junk = "the cat sat on a mat and " + " ".join(f"w{i}" for i in range(60)), "w### " * 3 + " ".join(f"W{i}$" for i in range(60))
     df = spark.createDataFrame([(1, good), (2, junk), (3, "short"), (4, None)], "doc_id bigint, text string")
