@@ -12,8 +12,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,27 +132,62 @@ def with_terms(df: DataFrame, factors: dict[str, list], numeric: list[str]) -> t
     return df.withColumns(cols), [*cols, *numeric]
 
 
-def gamma_glm(df: DataFrame, y: str, factors: dict[str, list], numeric: list[str], max_iter: int = 100) -> GammaFit:
-    """Gamma GLM with log link. Rows with a missing value are left out; a response <= 0 is an error."""
+def gamma_glm(df: DataFrame, y: str, factors: dict[str, list], numeric: list[str], max_iter: int = 100, tol: float = 1e-11) -> GammaFit:
+    """Gamma GLM with log link. Rows with a missing value are left out; a response <= 0 is an error.
+
+    The data are reduced to covariate patterns with n, sum, sum of squares and sum of logarithms of the response, in
+    one pass. With this link the information matrix does not depend on the coefficients, so a scoring step needs one
+    vector of sums over the patterns. No convergence within ``max_iter`` steps is an error.
+    """
     used = df.dropna(subset=[y, *factors, *numeric])
     for c, levels in factors.items():
         used = used.filter(F.col(c).isin(levels))
     data, terms = with_terms(used, factors, numeric)
-    data = data.select(F.col(y).cast("double").alias("label"), *[F.col(f"`{t}`").cast("double").alias(t) for t in terms])
-    data = durable(data)  # the fit passes over it once per iteration
-    bad = data.filter("label <= 0").count()
-    if bad:
-        raise ValueError(f"{bad} rows have a response that is not positive")
-    features = VectorAssembler(inputCols=terms, outputCol="features").transform(data).select("label", "features")
-    model = GeneralizedLinearRegression(family="gamma", link="log", maxIter=max_iter, tol=1e-9).fit(features)
-    s = model.summary
-    se, t, p = (list(v) for v in (s.coefficientStandardErrors, s.tValues, s.pValues))  # intercept last
-    order = [len(terms), *range(len(terms))]
-    est = [*map(float, model.coefficients), float(model.intercept)]
-    names = [*terms, "(Intercept)"]
-    rows = [(names[i], est[i], float(se[i]), float(t[i]), float(p[i])) for i in order]
+    data = data.select(F.col(y).cast("double").alias("_y"), *[F.col(f"`{t}`").cast("double").alias(f"x{i}") for i, t in enumerate(terms, 1)])
+    xs = [f"x{i}" for i in range(len(terms) + 1)]
+    patterns = data.withColumn("x0", F.lit(1.0)).groupBy(*xs).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q"), F.sum(F.log("_y")).alias("l"), F.count_if(F.col("_y") <= 0).alias("bad")
+    )
+    patterns = durable(patterns)
+    p = len(xs)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = patterns.agg(F.sum("bad"), F.sum("n"), F.sum("s"), F.sum("l"), *[F.sum(F.col("n") * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs]).first()
+    if sums[0]:
+        raise ValueError(f"{sums[0]} rows have a response that is not positive")
+    total = float(sums[1] or 0)
+    if total <= p:
+        raise ValueError(f"{int(total)} rows are too few for {p} coefficients")
+    info = np.zeros((p, p))
+    for (i, j), v in zip(pairs, sums[4:]):
+        info[i, j] = info[j, i] = v
+    inverse = np.linalg.inv(info)
+    beta = np.zeros(p)
+    beta[0] = math.log(sums[2] / total)
+    mean = lambda: F.exp(sum((F.col(x) * float(v) for x, v in zip(xs, beta)), F.lit(0.0)))
+    for _ in range(max_iter):
+        pull = F.col("s") / mean() - F.col("n")
+        score = np.array(patterns.agg(*[F.sum(F.col(x) * pull) for x in xs]).first(), float)
+        step = inverse @ score
+        beta = beta + step
+        # the step is measured by the change of the linear predictor
+        if float(step @ info @ step) <= tol * tol * total:
+            break
+    else:
+        raise RuntimeError(f"the gamma regression did not converge in {max_iter} steps")
+    m, n, s, q = mean(), F.col("n"), F.col("s"), F.col("q")
+    pearson, gap, logs = patterns.agg(F.sum(q / (m * m) - 2 * s / m + n), F.sum(s / m - n), F.sum(n * F.log(m))).first()
+    dispersion = pearson / (total - p)
+    deviance = 2 * (logs - sums[3] + gap)
+    d = deviance / total
+    shape = 1 / d
+    loglik = (shape - 1) * sums[3] - shape * (gap + total) - shape * logs - total * shape * math.log(d) - total * math.lgamma(shape)
+    se = np.sqrt(dispersion * np.diag(inverse))
+    rows = []
+    for name, e, v in zip(["(Intercept)", *terms], beta, se):
+        t = float(e / v)
+        rows.append((name, float(e), float(v), t, float(dist.t_sf2(t, total - p))))
     coef = _rows(df.sparkSession, rows, "term string, estimate double, std_error double, statistic double, p_value double")
-    return GammaFit(coef, float(s.dispersion), float(s.aic), float(s.deviance), est[-1], dict(zip(terms, est)))
+    return GammaFit(coef, dispersion, -2 * loglik + 2 + 2 * p, deviance, float(beta[0]), dict(zip(terms, map(float, beta[1:]))))
 
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -53,8 +53,9 @@ def cumulative(
 ) -> DataFrame:
     """Add ``cum_before`` (count of smaller values) and ``total`` per group.
 
-    ``d`` has one row per (by, value).
+    ``d`` has one row per (by, value). It is written once, as it is counted before it is used.
     """
+    d = durable(d)
     chunked = _with_chunks(d, by, value, chunk_rows)
     if chunked is None:
         w = W.partitionBy(*by)
@@ -88,10 +89,13 @@ def average_ranks(d: DataFrame, by: list[str], value: str, chunk_rows: int = CHU
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str], chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str], chunk_rows: int = CHUNK_ROWS, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per probability."""
-    c = cumulative(distinct_counts(df, by, value), by, value, chunk_rows=chunk_rows)
+    """Linear-interpolation quantiles per group, one column per probability.
+
+    ``counts``: the group's :func:`distinct_counts`, if they are at hand.
+    """
+    c = cumulative(distinct_counts(df, by, value) if counts is None else counts, by, value, chunk_rows=chunk_rows)
     aggs = []
     for p, name in zip(probs, names):
         low = F.floor((F.col("total") - 1) * F.lit(float(p)))

@@ -101,13 +101,44 @@ def t14_region(spark, sf):
     return fit.coefficients.select("term", *[num(c, c) for c in ("estimate", "std_error")], num("statistic", "statistic", 3), num("p_value", "p_value", 4))
 
 
-@query("t14_gamma_glm_region_position")
+# scoring steps on (1, region, position) in a recursion; the information matrix is the same in each
+def gamma_sql(rows: str) -> dict[str, str]:
+    return {
+        "gd": f"SELECT y, CASE WHEN region = 'RSC' THEN 1e0 ELSE 0e0 END AS a, rough_ap::DOUBLE AS x FROM {rows} WHERE y IS NOT NULL AND region IN ('ACC', 'RSC') AND rough_ap IS NOT NULL",
+        "im": "SELECT count(*)::DOUBLE AS n, sum(a) AS sa, sum(x) AS sx, sum(a * a) AS aa, sum(a * x) AS ax, sum(x * x) AS xx FROM gd",
+        "dt": "SELECT *, n * (aa * xx - ax * ax) - sa * (sa * xx - ax * sx) + sx * (sa * ax - aa * sx) AS det FROM im",
+        "iv": "SELECT n, (aa * xx - ax * ax) / det AS i00, (sx * ax - sa * xx) / det AS i01, (sa * ax - sx * aa) / det AS i02, (n * xx - sx * sx) / det AS i11, (sa * sx - n * ax) / det AS i12, (n * aa - sa * sa) / det AS i22 FROM dt",
+        "it": "SELECT 0 AS k, (SELECT ln(avg(y)) FROM gd) AS b0, 0e0 AS b1, 0e0 AS b2 UNION ALL SELECT k + 1, b0 + i00 * u.s0 + i01 * u.s1 + i02 * u.s2, b1 + i01 * u.s0 + i11 * u.s1 + i12 * u.s2, b2 + i02 * u.s0 + i12 * u.s1 + i22 * u.s2"
+        " FROM it, iv, LATERAL (SELECT sum(y / exp(it.b0 + it.b1 * a + it.b2 * x) - 1) AS s0, sum(a * (y / exp(it.b0 + it.b1 * a + it.b2 * x) - 1)) AS s1, sum(x * (y / exp(it.b0 + it.b1 * a + it.b2 * x) - 1)) AS s2 FROM gd) u WHERE k < 40",
+        "be": "SELECT b0, b1, b2 FROM it WHERE k = 40",
+        "pe": "SELECT sum(pow(y / exp(b0 + b1 * a + b2 * x) - 1, 2)) / (count(*) - 3) AS phi, count(*) - 3 AS rdf FROM gd, be",
+        "co": "SELECT '(Intercept)' AS term, b0 AS e, sqrt(phi * i00) AS se, rdf FROM be, iv, pe UNION ALL SELECT 'regionRSC', b1, sqrt(phi * i11), rdf FROM be, iv, pe UNION ALL SELECT 'rough_ap', b2, sqrt(phi * i22), rdf FROM be, iv, pe",
+    }
+
+
+P_SQL = f"CASE WHEN abs(e / se) > 30 THEN 0 ELSE {t_p_sql('(e / se)', 'rdf')} END"
+
+
+@query(
+    "t14_gamma_glm_region_position",
+    with_(
+        "ei", d=YD, **gamma_sql("d"),
+        then=f"SELECT term, {r('e', 5)} AS estimate, {r('se', 5)} AS std_error, {r('e / se', 4)} AS statistic, {r(P_SQL, 4)} AS p_value FROM co",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
 def t14(spark, sf):
     fit = models.gamma_glm(positive(spark, sf), "y", {"region": ["ACC", "RSC"]}, ["rough_ap"])
-    return fit.coefficients.select("term", *[num(c, c, 5) for c in ("estimate", "std_error", "statistic", "p_value")])
+    return fit.coefficients.select("term", num("estimate", "estimate", 5), num("std_error", "std_error", 5), num("statistic", "statistic", 4), num("p_value", "p_value", 4))
 
 
-@query("t15_tidy_coefficients")
+@query(
+    "t15_tidy_coefficients",
+    with_(
+        "ei", **CELLS, d="SELECT *, bal AS y FROM large", **gamma_sql("d"),
+        then="SELECT CASE term WHEN 'rough_ap' THEN 'AP coord' ELSE term END AS term, printf('%.3f', e) AS estimate, printf('%.3f', se) AS std_error, printf('%.3f', e / se) AS statistic,"
+        f" printf('%.3f', {P_SQL}) AS p_value FROM co",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
 def t15(spark, sf):
     from axonframe.functions.scalar import recode
 
