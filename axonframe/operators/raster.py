@@ -136,10 +136,10 @@ def outline(masks: DataFrame, value: str = "mask") -> DataFrame:
     )
 
 
-def _quads(strips: DataFrame, border: str) -> DataFrame:
-    """(image_id, qy, qx, v00, v01, v10, v11) for every cell of four neighbouring pixels.
+def _row_pairs(strips: DataFrame, border: str) -> DataFrame:
+    """(image_id, qy, a, b): every row of pixels with the one below it; one more pair above and below the image.
 
-    Cells reach one pixel beyond the image: there the value is 0 (``constant``) or the edge pixel.
+    A row that is missing is NULL (``constant``: zeros) or the edge row (``reflect``).
     """
     roles = F.array(
         F.struct((F.col("y") - 1).alias("qy"), F.lit("low").alias("role")), F.struct(F.col("y").alias("qy"), F.lit("high").alias("role"))
@@ -149,26 +149,13 @@ def _quads(strips: DataFrame, border: str) -> DataFrame:
         F.first(F.when(F.col("role") == "high", F.col("_v")), ignorenulls=True).alias("a"),
         F.first(F.when(F.col("role") == "low", F.col("_v")), ignorenulls=True).alias("b"),
     )
-    if border == "constant":
-        pick = lambda arr, i, _n: F.coalesce(F.get(F.col(arr), i), F.lit(0.0))
-    else:
-        rows = rows.withColumns({"a": F.coalesce("a", "b"), "b": F.coalesce("b", "a")})
-        pick = lambda arr, i, n: F.get(F.col(arr), F.greatest(F.lit(0), F.least(i, n - 1)))
-    n = F.size(F.coalesce("a", "b"))
-    cells = F.transform(
-        F.sequence(F.lit(-1), n - 1),
-        lambda i: F.struct(
-            i.cast("bigint").alias("qx"),
-            pick("a", i, n).alias("v00"), pick("a", i + 1, n).alias("v01"),
-            pick("b", i, n).alias("v10"), pick("b", i + 1, n).alias("v11"),
-        ),
-    )
-    return rows.select("image_id", "qy", F.inline(cells))
+    return rows if border == "constant" else rows.select("image_id", "qy", F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b"))
 
 
 def bilinear_sample(strips: DataFrame, points: DataFrame, border: str = "constant", name: str = "v") -> DataFrame:
-    """Add the bilinear value at (sx, sy) to ``points``; one equi-join on the cell of each point.
+    """Add the bilinear value at (sx, sy) to ``points``; one equi-join on the row of each point.
 
+    The row meets its points as an array, of which each point reads two pixels: images are never exploded.
     ``border='constant'``: 0 outside. ``border='reflect'``: the image is mirrored about its edges.
     """
     if border not in ("constant", "reflect"):
@@ -185,12 +172,18 @@ def bilinear_sample(strips: DataFrame, points: DataFrame, border: str = "constan
         points = points.withColumns({"_sx": F.col("sx"), "_sy": F.col("sy")})
     points = points.withColumns({"qx": F.floor("_sx"), "qy": F.floor("_sy")})
     fx, fy = F.col("_sx") - F.col("qx"), F.col("_sy") - F.col("qy")
-    value = (1 - fy) * ((1 - fx) * F.col("v00") + fx * F.col("v01")) + fy * ((1 - fx) * F.col("v10") + fx * F.col("v11"))
-    return (
-        points.join(_quads(strips, border), ["image_id", "qy", "qx"], "left")
-        .withColumn(name, F.coalesce(value, F.lit(0.0)))
-        .drop("qy", "qx", "_sx", "_sy", "v00", "v01", "v10", "v11")
-    )
+    last = F.greatest(F.size(F.coalesce("a", "b")) - 1, F.lit(0)).cast("bigint")
+
+    def pixel(row: str, at: Column) -> Column:
+        inside = F.get(F.col(row), F.greatest(F.lit(0).cast("bigint"), F.least(at, last)).cast("int"))
+        value = inside if border == "reflect" else F.when((at >= 0) & (at <= last), inside)
+        return F.coalesce(value, F.lit(0.0))
+
+    left, right = F.col("qx"), F.col("qx") + 1
+    value = (1 - fy) * ((1 - fx) * pixel("a", left) + fx * pixel("a", right)) + fy * ((1 - fx) * pixel("b", left) + fx * pixel("b", right))
+    kept = [c for c in points.columns if c not in ("qy", "qx", "_sx", "_sy")]
+    found = points.join(_row_pairs(strips, border), ["image_id", "qy"], "left")
+    return found.select(*kept, F.coalesce(value, F.lit(0.0)).alias(name))
 
 
 # --- autocorrelation maps --------------------------------------------------------------------------

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv as csv_module
+import re
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -101,18 +103,44 @@ def read_csv_typed(spark: SparkSession, paths: str | list[str], schema: StructTy
     )
 
 
+HEAD_BYTES = 1 << 16
+
+
+def _first_line(path: str) -> str | None:
+    """The first line of a file; only as much is read as it takes."""
+    from pyarrow import fs
+
+    kind, at = fs.FileSystem.from_uri(quote(re.sub(r"^file:/(?!/)", "file:///", path), safe=":/@"))
+    with kind.open_input_file(at) as f:
+        data, n = b"", HEAD_BYTES
+        while b"\n" not in data:
+            more = f.read(n)
+            if not more:
+                break
+            data, n = data + more, 2 * n
+    return data.split(b"\n", 1)[0].rstrip(b"\r").decode(errors="replace") if data else None
+
+
+def _first_lines(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        paths = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([_first_line(p) for p in paths], pa.string())], ["path", "value"])
+
+
+def head_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, value): the first line of every file that has one. The bytes read do not grow with the files.
+
+    Files are listed by Spark and opened in its tasks, by Arrow's file systems (local, HDFS, S3, GCS).
+    """
+    listed = spark.read.format("binaryFile").load(paths).select("path")  # the content is not read
+    return listed.mapInArrow(_first_lines, "path string, value string").filter("value IS NOT NULL")
+
+
 def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """Distinct header lines with their files: the first line of the block at offset 0 of each file."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
-    first = (
-        lines.filter("block = 0").groupBy("path").agg(F.min(F.struct("id", "value")).alias("_f")).select("path", "_f.value")
-    )
-    grouped = first.groupBy("value").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("value")
+    """Distinct header lines with their files."""
+    grouped = head_lines(spark, paths).groupBy("value").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("value")
     return [(r["value"], r["paths"]) for r in grouped.collect()]
 
 

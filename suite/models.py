@@ -285,10 +285,23 @@ def t19_region(spark, sf):
     ),
 )
 def t23(spark, sf):
-    from axonframe.operators.hypothesis import cor_test
+    """A user's function (a correlation from running sums) over the batches of each region."""
+    import numpy as np
 
-    c = surrogate(spark, sf, "roi").groupBy("region", "mouse_id").agg(F.avg("mean").alias("v"), F.count("*").cast("double").alias("k"))
-    return cor_test(c, ["region"], "v", "k").select("region", num("r", "r"), big("n", "n"))
+    from axonframe.operators.grouped import grouped_apply
+
+    c = surrogate(spark, sf, "roi").groupBy("region", "mouse_id").agg(F.avg("mean").alias("v"), F.count("*").cast("double").alias("k")).drop("mouse_id")
+
+    def step(state, batch):
+        v, k = batch.column("v").to_numpy(), batch.column("k").to_numpy()
+        return state + np.array([len(v), v.sum(), k.sum(), (v * v).sum(), (v * k).sum(), (k * k).sum()])
+
+    def finish(state):
+        n, v, k, vv, vk, kk = state
+        return {"r": float((n * vk - v * k) / np.sqrt((n * vv - v * v) * (n * kk - k * k))), "n": int(n)}
+
+    d = grouped_apply(c.filter("v IS NOT NULL"), ["region"], lambda: np.zeros(6), step, finish, "r double, n bigint", merge=lambda a, b: a + b)
+    return d.select("region", num("r", "r"), big("n", "n"))
 
 
 # --- enhancement index -----------------------------------------------------------------------------

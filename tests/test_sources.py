@@ -109,3 +109,14 @@ def test_strips_round_trip(spark):
     back = rasters.read_strips(spark, out)
     assert rasters.image_sizes(back).first().asDict() == {"image_id": 0, "h": 2, "w": 2}
     assert sorted(r["v"] for r in rasters.long_view(rasters.binarise(back, "pixels", equals=255.0)).collect()) == [0, 0, 0, 1]
+
+
+def test_headers_read_only_the_head(spark, tmp_path):
+    big = tmp_path / "big file.csv"
+    big.write_text("a,b\n" + "1,2\n" * 200_000)
+    (tmp_path / "long.csv").write_text("x" * 200_000 + ",y\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "no_end.csv").write_text("a,b")
+    got = {r.path.rpartition("/")[2]: r.value for r in files.head_lines(spark, [str(tmp_path)]).collect()}
+    assert got == {"big file.csv": "a,b", "long.csv": "x" * 200_000 + ",y", "no_end.csv": "a,b"}
+    assert files.read_csv_mixed(spark, [str(big)]).count() == 200_000
