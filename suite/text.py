@@ -171,6 +171,31 @@ def s1(spark, sf):
     return back.select(big("event_id", "event_id"), "cell", num("interval_s", "interval_s"), num("actual_peak", "actual_peak"), edited.alias("edited"))
 
 
+@query(
+    "s1_typed_csv",
+    with_("peaks", then=f"SELECT event_id, cell, CASE WHEN event_id % 4 <> 0 THEN {r('interval_s')} END AS interval_s, CASE WHEN event_id % 5 <> 0 THEN {r('actual_peak')} END AS actual_peak FROM peaks"),
+)
+def s1_typed(spark, sf):
+    d = surrogate(spark, sf, "peaks").select(
+        "event_id", "cell", F.when(F.col("event_id") % 4 != 0, F.col("interval_s")).alias("interval_s"),
+        F.when(F.col("event_id") % 5 != 0, F.col("actual_peak").cast("string")).otherwise("junk").alias("actual_peak"),
+    )
+    root = _folder(spark, "typed-csv")
+    files.write_csv(d, root)  # a missing value is written as NA
+    back = files.read_csv_typed(spark, root, "event_id bigint, cell string, interval_s double, actual_peak double")
+    return back.select(big("event_id", "event_id"), "cell", num("interval_s", "interval_s"), num("actual_peak", "actual_peak"))
+
+
+@query("s9_file_catalogue", with_("peaks", then=f"SELECT DISTINCT {b('event_id % 7')} AS part, TRUE AS listed FROM peaks"))
+def s9_catalogue(spark, sf):
+    root = _folder(spark, "catalogue")
+    d = surrogate(spark, sf, "peaks").select((F.col("event_id") % 7).alias("part"), F.col("event_id").cast("string").alias("value"))
+    d.write.partitionBy("part").text(root)
+    listed = files.catalogue(spark, root, "part-*.txt").filter("length > 0")
+    part = F.regexp_extract("path", "/part=(\\d+)/", 1).cast("bigint")
+    return files.find_by_pattern(listed, "part-").groupBy(part.alias("part")).agg((F.max("length") > 0).alias("listed"))
+
+
 @query(
     "s8_log_files",
     with_("reclog", l="SELECT path % 16 AS log, path, line_no, line FROM reclog", then=f"SELECT {b('log')} AS log, {b('row_number() OVER (PARTITION BY log ORDER BY path, line_no) - 1')} AS line_no, line FROM l"),
