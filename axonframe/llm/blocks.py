@@ -13,7 +13,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 PATH_DIM, WORD_DIM, HIDDEN = 192, 24, 16
 N_NUMBERS = 5
 TRAIN_PAGES, EPOCHS, BATCH = 640, 7, 32
+LONG_PAGE = 4096  # blocks; a page with more is read in parts
 CELLS = 16_384  # blocks, padding included, in one pass of the network
 
 # Element groups of HTML.
@@ -41,14 +44,40 @@ PIECE = re.compile(r"[a-z0-9]+")
 BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
-def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+@lru_cache(maxsize=100_000)
+def _slot(name: str) -> int:
+    return 1 << zlib.crc32(name.encode()) % PATH_DIM
+
+
+class Path(NamedTuple):
+    """A tag path as what the network reads of it: each element adds to that of its parent, so a path costs
+    no more than its last element, however deep it is."""
+
+    slots: int = 0  # bits: names, neighbouring names and marks on the path
+    depth: int = 0
+    last: str = ""
+
+    def down(self, marks: list[str]) -> "Path":
+        slots, before = self.slots, self.last
+        for n in marks:
+            slots |= _slot(n)
+            if before:
+                slots |= _slot(f"{before}>{n}")
+            if "." in n:  # class, id and role marks count wherever they stand
+                slots |= _slot(n.split(".", 1)[1])
+            before = n
+        return Path(slots, self.depth + len(marks), before)
+
+
+def leaf_blocks(html: str | None) -> list[tuple[Path, str, int]]:
     """(tag path, text, characters inside links) of every leaf block with text, in page order.
 
     Markup that never ends, as in a page cut off, is dropped up to the end; end tags without a start are
     ignored. References are decoded, then white space is one space.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open block elements and their path names
+    out: list[tuple[Path, str, int]] = []
+    stack: list[tuple[str, Path]] = []  # open block elements and their paths
+    opened: Counter[str] = Counter()  # how many of each name are open
     parts: list[str] = []
     linked = unseen = in_link = 0
 
@@ -57,9 +86,16 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = BLANK.sub(" ", entities.unescape("".join(parts))).strip(" ")
             if text:
-                out.append((tuple(n for _, names in stack for n in names), text, min(linked, len(text))))
+                out.append((stack[-1][1] if stack else Path(), text, min(linked, len(text))))
         parts, linked = [], 0
 
+    def pop():
+        nonlocal unseen
+        n, _ = stack.pop()
+        opened[n] -= 1
+        unseen -= n in UNSEEN
+        return n
+
     def add(text):
         nonlocal linked
         if text and not unseen:
@@ -88,30 +124,22 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         close()
         in_link = 0
-        names = [n for n, _ in stack]
         if ends:
-            if name in names:
-                while stack:
-                    n, _ = stack.pop()
-                    unseen -= n in UNSEEN
-                    if n == name:
-                        break
+            if opened[name]:
+                while pop() != name:
+                    pass
             continue
-        if "p" in names:  # a block ends an open paragraph
-            while stack:
-                n, _ = stack.pop()
-                unseen -= n in UNSEEN
-                if n == "p":
-                    break
+        if opened["p"]:  # a block ends an open paragraph
+            while pop() != "p":
+                pass
         shut = ENDS_ITSELF.get(name)
-        if shut:
+        if shut and any(opened[n] for n in shut):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in LISTS:
                     break
                 if stack[i][0] in shut:
-                    for n, _ in stack[i:]:
-                        unseen -= n in UNSEEN
-                    del stack[i:]
+                    while len(stack) > i:
+                        pop()
                     break
         if m[4].rstrip().endswith("/") and name in ("path", "circle", "rect", "line"):
             continue
@@ -119,7 +147,8 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if m[4]:
             for key, *value in ATTRIBUTE.findall(m[4]):
                 marks += [f"{key.lower()[0]}.{p}" for p in PIECE.findall("".join(value).lower())]
-        stack.append((name, tuple(marks)))
+        stack.append((name, (stack[-1][1] if stack else Path()).down(marks)))
+        opened[name] += 1
         unseen += name in UNSEEN
     add(html[at:])
     close()
@@ -127,27 +156,26 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 @lru_cache(maxsize=50_000)
-def _path_slots(path: tuple[str, ...]) -> tuple[np.ndarray, int]:
-    names = set(path) | {f"{a}>{b}" for a, b in zip(path, path[1:])} | ({f"last:{path[-1]}"} if path else set())
-    # class, id and role marks count wherever they stand
-    names |= {n.split(".", 1)[1] for n in path if "." in n}
-    return np.array(sorted({zlib.crc32(n.encode()) % PATH_DIM for n in names}), np.int64), len(path)
+def _path_slots(path: Path) -> np.ndarray:
+    slots = path.slots | (_slot(f"last:{path.last}") if path.last else 0)
+    return np.array([i for i in range(PATH_DIM) if slots >> i & 1], np.int64)
 
 
 _word_slot: dict[str, int] = {}
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + N_NUMBERS), np.float32)
-    for i, (path, text, linked) in enumerate(blocks):
-        slots, depth = _path_slots(path)
-        x[i, slots] = 1.0
+def features(blocks: list[tuple[Path, str, int]], first: int = 0, end: int | None = None) -> np.ndarray:
+    """What the network reads of the blocks of a page from ``first`` to ``end``."""
+    part = blocks[first:end]
+    x = np.zeros((len(part), PATH_DIM + WORD_DIM + N_NUMBERS), np.float32)
+    for i, (path, text, linked) in enumerate(part):
+        x[i, _path_slots(path)] = 1.0
         words = text.split(" ")
         if len(_word_slot) > 200_000:
             _word_slot.clear()
         at = [_word_slot[w] if w in _word_slot else _word_slot.setdefault(w, zlib.crc32(w.lower().encode()) % WORD_DIM) for w in words]
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(at, minlength=WORD_DIM) / (2.0 * len(words) ** 0.5)
-        x[i, -N_NUMBERS:] = (np.log1p(len(words)) / 4, linked / len(text), min(depth, 12) / 12, i / len(blocks), text[-1:] in ".!?")
+        x[i, -N_NUMBERS:] = (np.log1p(len(words)) / 4, linked / len(text), min(path.depth, 12) / 12, (first + i) / len(blocks), text[-1:] in ".!?")
     return x
 
 
@@ -160,9 +188,12 @@ def _sigmoid(z):
 
 def _lstm(x, w, u, b, mask, keep=False):
     """x (T, B, D) to hidden states (T, B, H); masked steps pass the state on."""
-    t, n, _ = x.shape
+    return _scan(x @ w + b, u, mask, keep)
+
+
+def _scan(z_in, u, mask, keep=False):
+    t, n, _ = z_in.shape
     h_dim = u.shape[0]
-    z_in = x @ w + b
     h, c = np.zeros((n, h_dim), np.float32), np.zeros((n, h_dim), np.float32)
     hs, saved = np.zeros((t, n, h_dim), np.float32), []
     for i in range(t):
@@ -259,10 +290,23 @@ def train(pages: list[tuple[str, list[int]]], seed: int = 5, epochs: int = EPOCH
     return p
 
 
+def _long_scores(p, blocks: list) -> np.ndarray:
+    """Scores of one long page: the wide features exist for a part of it at a time."""
+    z = {side: np.empty((len(blocks), 1, 4 * HIDDEN), np.float32) for side in "fb"}
+    for at in range(0, len(blocks), LONG_PAGE):
+        x = features(blocks, at, at + LONG_PAGE)
+        for side in "fb":
+            z[side][at : at + len(x), 0] = x @ p[f"w{side}"] + p[f"b{side}"]
+    mask = np.ones((len(blocks), 1), np.float32)
+    hf, _ = _scan(z["f"], p["uf"], mask)
+    hb, _ = _scan(z["b"][::-1], p["ub"], mask)
+    return (np.concatenate([hf, hb[::-1]], axis=2) @ p["v"])[:, 0, 0] + p["k"]
+
+
 def label(p: dict[str, np.ndarray], pages: list[list]) -> list[np.ndarray]:
     """Main-text marks for the blocks of every page."""
-    xs = [features(b) for b in pages]
-    out = [np.zeros(len(b), bool) for b in pages]
+    out = [_long_scores(p, b) > 0 if len(b) > LONG_PAGE else np.zeros(len(b), bool) for b in pages]
+    xs = [features(b) if len(b) <= LONG_PAGE else () for b in pages]
     order = sorted((i for i in range(len(xs)) if len(xs[i])), key=lambda i: len(xs[i]))
     at = 0
     while at < len(order):

@@ -193,3 +193,20 @@ def test_declared_payload_digest_of_a_revisit_is_hex():
     sha = hashlib.sha1(b"x").digest()
     fields = {b"warc-type": b"revisit", b"warc-payload-digest": b"sha1:" + base64.b32encode(sha)}
     assert warc._row("p", 0, fields, b"HTTP/1.1 200 OK\r\n\r\n")[10] == sha.hex()
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    t0 = time.time()
+    found = blocks.leaf_blocks("<div class='a b'>x" * 60_000)
+    assert len(found) == 60_000 and found[-1][0].depth == 180_000 and time.time() - t0 < 20
+    assert found[5][0].slots == found[-1][0].slots  # the same names on the path
+
+
+def test_long_pages_are_read_in_parts(monkeypatch):
+    p = blocks._new_weights(3)
+    page = blocks.leaf_blocks("".join(f"<div class=c{i % 7}><p>word{i} and more words</p></div>" for i in range(90)))
+    whole = blocks.label(p, [page])[0]
+    monkeypatch.setattr(blocks, "LONG_PAGE", 16)
+    assert (blocks.label(p, [page, page[:10]])[0] == whole).all()
