@@ -18,6 +18,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+HALF = 0.500001
 
 
 def query(name: str, sql: str | None = None):
@@ -35,9 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def num(c, name: str, digits: int = 6) -> Column:
-    """Double output column rounded half up, by the same IEEE steps as :func:`r`."""
+    """Double output column rounded half up, by the same IEEE steps as :func:`r`.
+
+    A mean of few decimals can lie on a tie, which the order of a sum moves by its last bit: what is a millionth of
+    a digit below a tie goes up as well.
+    """
     scale = F.lit(10.0**digits)
-    return (F.floor(col(c).cast("double") * scale + 0.5).cast("double") / scale).alias(name)
+    return (F.floor(col(c).cast("double") * scale + HALF).cast("double") / scale).alias(name)
 
 
 def big(c, name: str) -> Column:
@@ -46,7 +51,7 @@ def big(c, name: str) -> Column:
 
 def r(expr: str, digits: int = 6) -> str:
     """SQL twin of :func:`num`."""
-    return f"(CAST(floor(CAST({expr} AS DOUBLE) * 1e{digits} + 0.5e0) AS BIGINT) / 1e{digits})"
+    return f"(CAST(floor(CAST({expr} AS DOUBLE) * 1e{digits} + {HALF}e0) AS BIGINT) / 1e{digits})"
 
 
 def b(expr: str) -> str:
