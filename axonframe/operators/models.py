@@ -21,7 +21,7 @@ from axonframe.session import durable, spread
 
 DENSE_LEVELS = 4000  # levels of the crossed factor, a dense block on the driver (128 MB)
 DENSE_NUMBERS = 60_000_000  # numbers of its sums that may be brought to the driver (480 MB)
-SIZE_GRID = 48  # points of the variance ratio that group sizes are described by
+SIZE_GRID = 64  # points of the variance ratio that group sizes are described by
 PROJECTION_TOLERANCE, PROJECTION_ROUNDS = 1e-12, 500
 
 
@@ -351,13 +351,13 @@ class SizeBasis:
     """Weights ``1 / (ratio + n)`` of groups of size n, for all ratios at once.
 
     As functions of n they span a space of few dimensions: the leading singular vectors of the weights at
-    ``SIZE_GRID`` ratios describe those of every other ratio, to about ten digits. So sums over groups
+    ``SIZE_GRID`` ratios describe those of every other ratio, to about twelve digits. So sums over groups
     are taken once per basis function, whatever the number of distinct sizes.
     """
 
     def __init__(self, least: float, most: float):
         self.most = most
-        self.ratios = np.logspace(math.log10(least) - 7, math.log10(most) + 7, SIZE_GRID)
+        self.ratios = np.logspace(math.log10(least) - 2, math.log10(most) + 2, SIZE_GRID)
         self.sizes = np.unique(np.round(np.concatenate([np.geomspace(least, most, 400), np.arange(least, min(most, least + 200) + 1)])))
         u, d, v = np.linalg.svd(self._scaled(self.sizes[:, None], self.ratios[None, :]), full_matrices=False)
         k = int((d > 1e-14 * d[0]).sum())
