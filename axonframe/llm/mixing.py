@@ -83,7 +83,9 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7, block: int = BLOCK_W
     """
     added = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*keep).alias("doc"), "source", "doc_id", n_words(F.col(text)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("_h"))
+    # a caller's columns travel under numbers, so that no name can clash and unused ones are pruned
+    own = {c: f"c{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], "source", "doc_id", n_words(F.col(text)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("_h"))
     counted = stored(rows.select("source", "doc_id", "size", "_h"), "mix-sizes")
     shards = max(1, -(-counted.count() // rows_per_shard))
     shard = F.pmod(_number(F.col("_h")), F.lit(shards)).cast("int").alias("_shard")
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7, block: int = BLOCK_W
     stop = F.col("_first") + F.col("_extra")
     run = overlap(F.col("_first") * block, F.least(stop, F.col("_nb")) * block) + overlap(F.lit(0), F.greatest(stop - F.col("_nb"), F.lit(0)) * block)
     taken = (F.col("_rounds") * F.col("size") + run).cast("bigint")
-    return placed.select("doc.*", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select(*[F.col(n).alias(c) for c, n in own.items()], "size", "source_size", "target", taken.alias("taken"))
 
 
 def materialise(mixed: DataFrame) -> DataFrame:
