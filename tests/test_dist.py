@@ -49,6 +49,30 @@ def test_noncentral_t_is_the_distribution_of_a_shifted_ratio():
     assert dist.nct_cdf(t, df, low) == pytest.approx(0.975, abs=1e-8)
     assert dist.nct_cdf(t, df, high) == pytest.approx(0.025, abs=1e-8)
 
+@pytest.mark.parametrize("df", [10, 12.5, 60, 900])
+@pytest.mark.parametrize("ncp", [-3.0, 0.0, 0.4, 7.0, 90.0])
+def test_noncentral_t_by_nodes_is_its_series(df, ncp):
+    for t in (0.01, 0.3, 2.0, 80.0, 100.0):
+        assert dist.nct_cdf(t, df, ncp) == pytest.approx(dist._nct_series(t, df, ncp), abs=1e-10)
+
+
+@pytest.mark.parametrize("n", [2_000, 540_000, 5_000_000_000])
+@pytest.mark.parametrize("d", [0.001, 2.2, 300.0])
+def test_noncentral_t_limits_take_the_same_work_for_any_group_size(monkeypatch, n, d):
+    handled = []
+    for name in ("_erfc", "_lgamma"):
+        fn = getattr(dist, name)
+        monkeypatch.setattr(dist, name, lambda x, fn=fn: handled.append(np.size(x)) or fn(x))
+    t = d * math.sqrt(n)
+    low, high = dist.nct_limits(t, n - 1.0)
+    assert sum(handled) < 100_000
+    sd = math.sqrt(1 + d * d / 2)  # of the statistic, for large n
+    for limit, z in ((low, -1.959963984540054), (high, 1.959963984540054)):
+        assert (limit - t) / sd == pytest.approx(z, abs=0.1)
+    assert dist.nct_cdf(t, n - 1.0, low) == pytest.approx(0.975, abs=1e-8)
+    assert dist.nct_cdf(t, n - 1.0, high) == pytest.approx(0.025, abs=1e-8)
+
+
 
 def test_exact_rank_tests_against_enumeration():
     from itertools import combinations
