@@ -26,6 +26,7 @@ from axonframe.session import durable, spread
 LEVELS_PER_BUCKET = 4096
 NUMPY_LIMIT = 1_000_000_000  # largest population that the library's generator takes
 SINGLE_DRAWS = 64
+CELLS = 1 << 20  # counts held at a time: iterations x levels
 
 
 def hypergeometric(rng, good, bad, draws) -> np.ndarray:
@@ -57,21 +58,64 @@ def hypergeometric(rng, good, bad, draws) -> np.ndarray:
     return x
 
 
-def draw_classes(rng, counts, sizes: list[np.ndarray]):
-    """Take the items of each class one after the other from what is left, for all iterations at once.
+def _take(rng, pool, sizes: np.ndarray) -> np.ndarray:
+    """How many of each level are among ``size`` items taken from the pool, one row per iteration.
 
-    ``sizes`` has one array per class. Yields, level by level, how many of each class were of that level.
+    ``pool`` holds the items of each level, one row for all iterations or one row each. NumPy draws a whole row at a
+    time: item by item where a level has few, level by level else, and what takes the whole pool is not drawn.
     """
-    left, open_ = int(sum(counts)), [s.copy() for s in sizes]
-    for c in counts:
-        left -= int(c)
-        here, beyond, taken = np.full(len(open_[0]), int(c)), np.full(len(open_[0]), left), []
-        for s in open_:
-            p = hypergeometric(rng, here, beyond, s)
-            here, beyond = here - p, beyond - (s - p)
-            s -= p
-            taken.append(p)
-        yield taken
+    totals = np.broadcast_to(pool.sum(axis=-1), sizes.shape)
+    if (sizes == totals).all():
+        return np.broadcast_to(pool, (len(sizes), pool.shape[-1]))
+    if totals.max() >= NUMPY_LIMIT:
+        return _take_by_level(rng, pool, sizes)
+    out = np.empty((len(sizes), pool.shape[-1]), np.int64)
+    if pool.ndim == 1:
+        for size in np.unique(sizes):
+            rows = sizes == size
+            out[rows] = rng.multivariate_hypergeometric(pool, size, int(rows.sum()), method=_method(pool.size, totals[0], size))
+    else:
+        for i, (row, total, size) in enumerate(zip(pool, totals, sizes)):
+            out[i] = rng.multivariate_hypergeometric(row, size, method=_method(row.size, total, size))
+    return out
+
+
+def _method(levels: int, total: int, size: int) -> str:
+    return "count" if total <= 64 * levels and min(size, total - size) <= 8 * levels else "marginals"
+
+
+def _take_by_level(rng, pool, sizes: np.ndarray) -> np.ndarray:
+    pool = np.broadcast_to(pool, (len(sizes), pool.shape[-1]))
+    out, beyond, open_ = np.empty(pool.shape, np.int64), pool.sum(axis=1), sizes
+    for level in range(pool.shape[1]):
+        here = pool[:, level]
+        beyond = beyond - here
+        out[:, level] = hypergeometric(rng, here, beyond, open_)
+        open_ = open_ - out[:, level]
+    return out
+
+
+def class_sums(rng, counts: np.ndarray, values: np.ndarray, sizes: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of the values that fall to each class, taken without replacement, for all iterations at once.
+
+    ``sizes`` has one array per class. What no class takes is set aside first.
+    """
+    step = max(1, CELLS // max(1, len(counts)))
+    parts = []
+    for at in range(0, len(sizes[0]), step):
+        some = [size[at : at + step] for size in sizes]
+        union = sum(some)
+        pool = counts if (union == counts.sum()).all() else _take(rng, counts, union)
+        sums = []
+        for size in some:
+            if size.any():
+                taken = _take(rng, pool, size)
+                pool = pool - taken
+            else:
+                taken = 0 * counts
+            sums.append(np.broadcast_to(taken @ values, size.shape))
+        parts.append(sums)
+    return [np.concatenate(c) for c in zip(*parts)]
 
 
 def _seed(*parts) -> int:
@@ -127,6 +171,7 @@ def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, c
         levels.select(key, "value", "n", F.pmod(F.xxhash64("value"), F.lit(1 << depth)).cast("int").alias("_bucket"))
         .groupBy("_key", "_bucket")
         .agg(F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_items"))
+        .select("_key", "_bucket", "_n", F.col("_items.value").alias("_values"), F.col("_items.n").alias("_counts"))
     )
     per_bucket = durable(per_bucket) if depth else per_bucket
     chunks = [(c, min(chunk, n_iter - c * chunk)) for c in range(math.ceil(n_iter / chunk))]
@@ -139,19 +184,12 @@ def permutation_sums(levels: DataFrame, by: list[str], n_iter: int, seed: int, c
 
     def draw(batches):
         for pdf in batches:
-            out = []
-            for k, node, c, items, classes in zip(pdf["_key"], pdf["_node"], pdf["_chunk"], pdf["_items"], pdf["_classes"]):
-                sizes = [np.asarray(x, np.int64) for x in classes]
+            for k, node, c, values, counts, classes in zip(pdf["_key"], pdf["_node"], pdf["_chunk"], pdf["_values"], pdf["_counts"], pdf["_classes"]):
                 rng = np.random.default_rng(_seed(seed, k, c, "bucket", node))
-                sum_patch, sum_inter = np.zeros(len(sizes[0])), np.zeros(len(sizes[0]))
-                for i, (first, second, shared) in zip(items, draw_classes(rng, [int(i["n"]) for i in items], sizes)):
-                    sum_patch += (first + shared) * i["value"]
-                    sum_inter += (second + shared) * i["value"]
-                out.append(pd.DataFrame({"_key": k, "iter": np.arange(len(sum_patch)) + int(c) * chunk, "sum_patch": sum_patch, "sum_inter": sum_inter}))
-            if out:
-                yield pd.concat(out)
-
-    parts = tasks.select("_key", "_node", "_chunk", "_items", "_classes").mapInPandas(draw, "_key string, iter long, sum_patch double, sum_inter double")
+                first, second, shared = class_sums(rng, np.asarray(counts, np.int64), np.asarray(values, float), [np.asarray(x, np.int64) for x in classes])
+                yield pd.DataFrame({"_key": k, "iter": np.arange(len(first)) + int(c) * chunk, "sum_patch": first + shared, "sum_inter": second + shared})
+
+    parts = tasks.select("_key", "_node", "_chunk", "_values", "_counts", "_classes").mapInPandas(draw, "_key string, iter long, sum_patch double, sum_inter double")
     sums = parts.groupBy("_key", "iter").agg(F.sum("sum_patch").alias("sum_patch"), F.sum("sum_inter").alias("sum_inter"))
     return sums.join(totals.select("_key", *by), "_key").select(*by, "iter", "sum_patch", "sum_inter")
 

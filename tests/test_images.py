@@ -229,6 +229,43 @@ def test_splitting_tree_keeps_totals(spark, monkeypatch):
     assert abs(got["g"]["m"] - k * v.mean()) < 5 * sd / math.sqrt(2000) and got["g"]["sd"] == pytest.approx(sd, rel=0.08)
 
 
+def test_permutation_draws_whole_rows_of_counts():
+    class Counting:
+        def __init__(self):
+            self.rng, self.calls = np.random.default_rng(4), 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.rng, name)
+
+    counts, k = np.arange(1, 301), 9000
+    values = np.arange(300) * 1.0
+    flat = np.repeat(values, counts)
+    n, rng = len(flat), Counting()
+    first, second, shared = permute.class_sums(rng, counts, values, [np.full(2000, k), np.full(2000, n - k), np.zeros(2000, int)])
+    assert rng.calls < 10  # not one for every level
+    assert first + second == pytest.approx(flat.sum()) and (shared == 0).all()
+    sd = math.sqrt(k * flat.var() * (n - k) / (n - 1))
+    assert abs(first.mean() - k * flat.mean()) < 5 * sd / math.sqrt(2000) and first.std() == pytest.approx(sd, rel=0.08)
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000_000])
+@pytest.mark.parametrize("scale", [1, 50])
+def test_class_sums_of_varied_sizes(monkeypatch, limit, scale):
+    monkeypatch.setattr(permute, "NUMPY_LIMIT", limit)
+    monkeypatch.setattr(permute, "CELLS", 7000)
+    rng = np.random.default_rng(6)
+    counts, values = np.array([3, 1, 8, 30, 2, 0]) * scale, np.array([1.0, 10.0, 100.0, 1000.0, 1e4, 1e5])
+    sizes = [rng.integers(0, 10 * scale, 3000), np.full(3000, 15 * scale), rng.integers(0, 12 * scale, 3000)]
+    n = counts.sum()
+    flat = np.repeat(values, counts)
+    for size, got in zip(sizes, permute.class_sums(rng, counts, values, sizes)):
+        excess = got - size * flat.mean()
+        var = size * flat.var() * (n - size) / (n - 1)
+        assert got.shape == (3000,) and abs(excess.mean()) < 5 * math.sqrt(var.mean() / 3000)
+        assert (excess * excess).mean() == pytest.approx(var.mean(), rel=0.12)
+
+
 def test_coverage_with_missing_strips(spark):
     rows = [(1, y, [1.0] * 8) for y in (0, 1, 4, 5, 6, 7)]
     got = {(r["tx"], r["ty"]): r["coverage"] for r in raster.tile_coverage(spark.createDataFrame(rows, "image_id int, y int, mask array<double>"), 4, 2).collect()}
