@@ -7,10 +7,15 @@ Arrow functions on the one-row-per-group result. ``by`` names at least one key.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from axonframe.functions import dist
 from axonframe.functions.scalar import ratio
@@ -154,8 +159,11 @@ def signed_rank_interval(df: DataFrame, by: list[str], value: str, level: float
     return _walsh_quantiles(values, by, crit)
 
 
+LONGS = ArrayType(LongType())
 WALSH_SHIFTS = 16  # shifts tried in a pass
 WALSH_LISTED = 20_000  # averages left in a bracket that are listed
+WALSH_PIECE = 2048  # values of a group that are handled together
+WALSH_PAIRS = 1000  # pairs of such runs in a task
 
 
 def _walsh_quantiles(values: DataFrame, by: list[str], crit: float) -> DataFrame:
@@ -174,9 +182,10 @@ def _walsh_quantiles(values: DataFrame, by: list[str], crit: float) -> DataFrame
     shift = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / WALSH_SHIFTS)
     room = (shift(1) > F.col("_lo")) & (shift(WALSH_SHIFTS - 1) < F.col("_hi"))
     wide = (F.col("_at_hi") - F.col("_at_lo") > WALSH_LISTED) & room
+    pieces = _walsh_pieces(values, by) if not state.filter(wide).isEmpty() else None
     while not state.filter(wide).isEmpty():
         tried = F.explode(F.transform(F.sequence(F.lit(1), F.lit(WALSH_SHIFTS - 1)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / WALSH_SHIFTS)))
-        counts = _walsh_at_most(values, state.filter(wide).select(*by, tried.alias("_t")).distinct(), by)
+        counts = _walsh_at_most(pieces, state.filter(wide).select(*by, tried.alias("_t")).distinct(), by)
         steps = null_safe_join(state.filter(wide), counts.groupBy(*by).agg(F.collect_list(F.struct("_t", "_c")).alias("_s")), by, "left")
         inside = F.filter("_s", lambda x: (x["_t"] > F.col("_lo")) & (x["_t"] < F.col("_hi")))
         low = F.array_max(F.filter(inside, lambda x: x["_c"] <= F.col("_r")))
@@ -197,19 +206,72 @@ def _walsh_quantiles(values: DataFrame, by: list[str], crit: float) -> DataFrame
     return out.withColumn("pseudo_median", (F.col("_m0") + F.col("_m1")) / 2).drop("_m0", "_m1")
 
 
-def _walsh_at_most(values: DataFrame, shifts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, _t, _c): Walsh averages up to ``_t``. Of the ordered pairs, those with ``y > 2t - x`` are
-    counted from running totals, then each pair once and each value with itself."""
-    spread = null_safe_join(values, shifts.groupBy(*by).agg(F.collect_list("_t").alias("_ts")), by).select(*by, F.col("_x"), "n", F.explode("_ts").alias("_t"))
-    none = F.lit(0).cast("bigint")
-    data = spread.select(*by, "_t", F.col("_x").alias("_z"), "n", none.alias("_w"))
-    asked = spread.select(*by, "_t", (2 * F.col("_t") - F.col("_x")).alias("_z"), none.alias("n"), F.col("n").alias("_w"))
-    at = data.unionByName(asked).groupBy(*by, "_t", "_z").agg(F.sum("n").alias("n"), F.sum("_w").alias("_w"))
-    run = cumulative(at, [*by, "_t"], "_z")
-    more = F.sum(F.col("_w") * (F.col("total") - F.col("cum_before") - F.col("n")))
-    own = F.sum(F.when(F.col("_z") > 2 * F.col("_t") - F.col("_z"), F.col("n")).otherwise(0))
-    k = F.sum("n")
-    return run.groupBy(*by, "_t").agg((k * (k + 1) / 2 - (more + own) / 2).cast("bigint").alias("_c"))
+def _walsh_pieces(values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _p, _first, _last, _before, _all, _xs, _ns): each group's values in order, in numbered runs of at most
+    ``WALSH_PIECE``, with the number of rows before a run and of all."""
+    run = cumulative(values, by, "_x").withColumn("_run", F.floor(F.col("cum_before") / WALSH_PIECE))
+    items = F.array_sort(F.collect_list(F.struct("_x", "n")))
+    runs = run.groupBy(*by, "_run").agg(items.alias("_i"), F.min("_x").alias("_first"), F.max("_x").alias("_last"), F.min("cum_before").alias("_before"), F.max("total").alias("_all"))
+    number = (F.row_number().over(W.partitionBy(*by).orderBy("_run")) - 1).cast("bigint")
+    heads = runs.select(*by, "_run", number.alias("_p"))  # the order is taken without the values
+    named = null_safe_join(runs, heads, [*by, "_run"])
+    return durable(named.select(*by, "_p", "_first", "_last", "_before", "_all", F.col("_i._x").alias("_xs"), F.col("_i.n").alias("_ns")))
+
+
+@pandas_udf(LONGS)
+def _pairs_up_to(xs: pd.Series, ns: pd.Series, ys: pd.Series, ms: pd.Series, ts: pd.Series) -> pd.Series:
+    """Per shift t, the ordered pairs of two runs with ``y <= 2t - x``."""
+
+    def one(x, n, y, m, t):
+        upto = np.concatenate([[0], np.cumsum(m)])
+        return [int(np.dot(n, upto[np.searchsorted(y, 2 * v - x, "right")])) for v in t]
+
+    return pd.Series([one(*row) for row in zip(xs, ns, ys, ms, ts)])
+
+
+@pandas_udf(LONGS)
+def _selves_up_to(xs: pd.Series, ns: pd.Series, ts: pd.Series) -> pd.Series:
+    """Per shift t, the rows of a run with ``x <= 2t - x``."""
+    return pd.Series([[int(n[~(x > 2 * v - x)].sum()) for v in t] for x, n, t in zip(xs, ns, ts)])
+
+
+def _walsh_at_most(pieces: DataFrame, shifts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _t, _c): Walsh averages up to ``_t``. Of the ordered pairs those with ``y <= 2t - x`` are counted, then
+    each pair once and each value with itself. For a run of x, all runs below ``2t - x`` count as a whole; those that
+    it crosses, two per run on average, meet it."""
+    heads = pieces.select(*by, "_p", "_first", "_last", "_before", "_all", F.aggregate("_ns", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("_rows"))
+    tried = shifts.groupBy(*by).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+    asked = null_safe_join(heads, tried, by).select(*by, "_p", "_first", "_last", "_all", "_rows", F.explode("_ts").alias("_t"))
+    none, no = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    # ends of runs and the questions in one order: runs that end before 2t - last, and that start up to 2t - first
+    line = lambda d, z, kind, end, start, rows, q, t: d.select(*by, z.alias("_z"), F.lit(kind).alias("_kind"), end.alias("_end"), start.alias("_start"), rows.alias("_rows"), q.alias("_q"), t.alias("_at"))
+    one, nan = F.lit(1).cast("bigint"), F.lit(None).cast("double")
+    marks = [
+        line(asked, 2 * F.col("_t") - F.col("_last"), 0, none, none, none, F.col("_p"), F.col("_t")),
+        line(heads, F.col("_last"), 1, one, none, F.col("_rows"), no, nan),
+        line(heads, F.col("_first"), 2, none, one, none, no, nan),
+        line(asked, 2 * F.col("_t") - F.col("_first"), 3, none, none, none, F.col("_p"), F.col("_t")),
+    ]
+    order = W.partitionBy(*by).orderBy("_z", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    seen = reduce(DataFrame.unionByName, marks).select(*by, "_kind", "_q", "_at", *[F.sum(c).over(order).alias(c) for c in ("_end", "_start", "_rows")])
+    met = seen.filter("_q IS NOT NULL").groupBy(*by, F.col("_q").alias("_p"), F.col("_at").alias("_t")).agg(
+        F.max(F.when(F.col("_kind") == 0, F.col("_end"))).alias("_from"), F.max(F.when(F.col("_kind") == 0, F.col("_rows"))).alias("_below"),
+        F.max(F.when(F.col("_kind") == 3, F.col("_start"))).alias("_to"),
+    )
+    met = durable(null_safe_join(met, heads.select(*by, "_p", F.col("_rows").alias("_n")), [*by, "_p"]))
+    whole = met.select(*by, "_t", (F.col("_n") * F.col("_below")).alias("_c"))
+    crossed = met.filter("_from < _to").withColumn("_o", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
+    crossed = durable(crossed.groupBy(*by, "_p", "_o").agg(F.sort_array(F.collect_list("_t")).alias("_ts")))
+    data = pieces.select(*by, "_p", "_xs", "_ns")
+    # both runs' values travel with a pair: tasks by the number of pairs
+    tasks = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), crossed.count() // WALSH_PAIRS)
+    left = null_safe_join(crossed.repartition(tasks, *by, "_p"), data.repartition(tasks, *by, "_p"), [*by, "_p"])
+    other = data.select(*by, F.col("_p").alias("_o"), F.col("_xs").alias("_ys"), F.col("_ns").alias("_ms"))
+    both = null_safe_join(left.repartition(tasks, *by, "_o"), other.repartition(tasks, *by, "_o"), [*by, "_o"])
+    parts = both.select(*by, "_ts", _pairs_up_to("_xs", "_ns", "_ys", "_ms", "_ts").alias("_cs"))
+    own = null_safe_join(pieces, tried, by).select(*by, "_ts", _selves_up_to("_xs", "_ns", "_ts").alias("_cs"))
+    counted = parts.unionByName(own).select(*by, F.inline(F.arrays_zip(F.col("_ts").alias("_t"), F.col("_cs").alias("_c"))))
+    return whole.unionByName(counted.select(*by, "_t", "_c")).groupBy(*by, "_t").agg((F.sum(F.col("_c").cast("decimal(38,0)")) / 2).cast("bigint").alias("_c"))
 
 
 def _walsh_between(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:

@@ -82,6 +82,25 @@ def test_signed_rank_interval_is_exact_in_any_unit_and_size(spark, monkeypatch,
         assert got[g] == pytest.approx(walsh(x), rel=1e-9), g
 
 
+def test_walsh_counts_meet_run_by_run(spark, monkeypatch):
+    """A shift asks each run of values for the few runs it crosses; no row for every value and shift."""
+    monkeypatch.setattr(hypothesis, "WALSH_PIECE", 16)
+    monkeypatch.setattr(hypothesis, "WALSH_PAIRS", 40)
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1, 700), "b": rng.integers(-3, 4, 500).astype(float), None: np.concatenate([rng.normal(9, 2, 90), np.full(60, 9.0)])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, _x double")
+    pieces = hypothesis._walsh_pieces(ordered.distinct_counts(df, ["g"], "_x"), ["g"])
+    assert pieces.select(F.max(F.size("_xs"))).first()[0] <= 16
+    tried = {g: [float(t) for t in (x.min() - 1, *np.quantile(x, [0.01, 0.3, 0.5, 0.8]), x.max())] for g, x in groups.items()}
+    shifts = spark.createDataFrame([(g, t) for g, ts in tried.items() for t in set(ts)], "g string, _t double")
+    got = {(r["g"], r["_t"]): r["_c"] for r in hypothesis._walsh_at_most(pieces, shifts, ["g"]).collect()}
+    for g, x in groups.items():
+        x = np.sort(x)
+        i, j = np.triu_indices(len(x))
+        for t in set(tried[g]):
+            assert got[g, t] == np.count_nonzero(~(x[j] > 2 * t - x[i])), (g, t)
+
+
 def test_one_exploded_group_is_cut(spark):
     """Size estimates do not see what an explode adds; the rows are counted."""
     d = spark.range(40).select(F.lit("g").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"), F.col("id")).select("g", (F.col("id") * 100 + F.col("i")).cast("double").alias("v"))
