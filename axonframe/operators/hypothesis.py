@@ -163,7 +163,6 @@ LONGS = ArrayType(LongType())
 WALSH_SHIFTS = 16  # shifts tried in a pass
 WALSH_LISTED = 20_000  # averages left in a bracket that are listed
 WALSH_PIECE = 2048  # values of a group that are handled together
-WALSH_PAIRS = 1000  # pairs of such runs in a task
 
 
 def _walsh_quantiles(values: DataFrame, by: list[str], crit: float) -> DataFrame:
@@ -261,13 +260,10 @@ def _walsh_at_most(pieces: DataFrame, shifts: DataFrame, by: list[str]) -> DataF
     met = durable(null_safe_join(met, heads.select(*by, "_p", F.col("_rows").alias("_n")), [*by, "_p"]))
     whole = met.select(*by, "_t", (F.col("_n") * F.col("_below")).alias("_c"))
     crossed = met.filter("_from < _to").withColumn("_o", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
-    crossed = durable(crossed.groupBy(*by, "_p", "_o").agg(F.sort_array(F.collect_list("_t")).alias("_ts")))
+    crossed = crossed.groupBy(*by, "_p", "_o").agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
     data = pieces.select(*by, "_p", "_xs", "_ns")
-    # both runs' values travel with a pair: tasks by the number of pairs
-    tasks = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), crossed.count() // WALSH_PAIRS)
-    left = null_safe_join(crossed.repartition(tasks, *by, "_p"), data.repartition(tasks, *by, "_p"), [*by, "_p"])
-    other = data.select(*by, F.col("_p").alias("_o"), F.col("_xs").alias("_ys"), F.col("_ns").alias("_ms"))
-    both = null_safe_join(left.repartition(tasks, *by, "_o"), other.repartition(tasks, *by, "_o"), [*by, "_o"])
+    left = null_safe_join(crossed, data, [*by, "_p"])
+    both = null_safe_join(left, data.select(*by, F.col("_p").alias("_o"), F.col("_xs").alias("_ys"), F.col("_ns").alias("_ms")), [*by, "_o"])
     parts = both.select(*by, "_ts", _pairs_up_to("_xs", "_ns", "_ys", "_ms", "_ts").alias("_cs"))
     own = null_safe_join(pieces, tried, by).select(*by, "_ts", _selves_up_to("_xs", "_ns", "_ts").alias("_cs"))
     counted = parts.unionByName(own).select(*by, F.inline(F.arrays_zip(F.col("_ts").alias("_t"), F.col("_cs").alias("_c"))))

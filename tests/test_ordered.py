@@ -85,7 +85,6 @@ def test_signed_rank_interval_is_exact_in_any_unit_and_size(spark, monkeypatch,
 def test_walsh_counts_meet_run_by_run(spark, monkeypatch):
     """A shift asks each run of values for the few runs it crosses; no row for every value and shift."""
     monkeypatch.setattr(hypothesis, "WALSH_PIECE", 16)
-    monkeypatch.setattr(hypothesis, "WALSH_PAIRS", 40)
     rng = np.random.default_rng(5)
     groups = {"a": rng.normal(0, 1, 700), "b": rng.integers(-3, 4, 500).astype(float), None: np.concatenate([rng.normal(9, 2, 90), np.full(60, 9.0)])}
     df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, _x double")
